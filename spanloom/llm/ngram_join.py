@@ -39,7 +39,7 @@ ORDERS = 4
 BITMAP_BITS = 1 << 23
 
 _POSTING = np.dtype([("key", "<u4"), ("cls", "<u8"), ("n", "<u4"), ("spare", "u1"), ("inside", "u1")])
-_ROW = np.dtype([("doc", "<i8"), ("null", "u1"), ("cls", "<u8"), ("n", "<u4")])
+_ROW = np.dtype([("doc", "<i8"), ("null", "u1"), ("cls", "<u8"), ("n", "<u4"), ("key", "<i8")])
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -53,6 +53,7 @@ def _postings(bits: int, percent: int):
             rows, parts, owners, seen = np.zeros(batch.num_rows, _ROW), [], [], set()
             ids = batch.column(0)
             rows["doc"], rows["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+            rows["key"] = batch.column(2).to_numpy()
             for i, own in shingle_sets(batch.column(1)):
                 n = len(own)
                 rows["cls"][i], rows["n"][i] = cls, _ = _class_of(own), n
@@ -90,7 +91,7 @@ _OUT = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("
 
 def _table(kind: int, x, y, nx, ny=None, spare=None, inside=None, null=None) -> pa.Table:
     n = len(x)
-    signed = lambda v: np.ascontiguousarray(v).astype(np.uint64).view(np.int64) if v is not None else np.zeros(n, np.int64)
+    signed = lambda v: np.ascontiguousarray(v).astype(np.int64 if v.dtype == np.int64 else np.uint64).view(np.int64) if v is not None else np.zeros(n, np.int64)
     return pa.table([
         np.full(n, kind, np.int32), pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, mask=null), signed(y), signed(nx), signed(ny),
         np.zeros(n, np.int32) if spare is None else spare.astype(np.int32), np.zeros(n, bool) if inside is None else inside.astype(bool),
@@ -99,12 +100,12 @@ def _table(kind: int, x, y, nx, ny=None, spare=None, inside=None, null=None) ->
 
 def _meet(bits: int, percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """kind 0: document x, class y, size nx. 1: candidate classes x < y. 2: a common shingle x of class y."""
+        """kind 0: document x, class y, size nx, text key ny. 1: candidate classes x < y. 2: a common shingle x of class y."""
         kinds, out = table.column("kind").to_numpy(), [_OUT.empty_table()]
         blobs = {k: b"".join(b.as_py() for b, kind in zip(table.column("blob"), kinds, strict=True) if kind == k) for k in (0, 1)}
         rows = np.frombuffer(blobs[0], _ROW)
         if len(rows):
-            out.append(_table(0, np.ascontiguousarray(rows["doc"]), rows["cls"], rows["n"], null=rows["null"].astype(bool)))
+            out.append(_table(0, np.ascontiguousarray(rows["doc"]), rows["cls"], rows["n"], rows["key"], null=rows["null"].astype(bool)))
         made = np.frombuffer(blobs[1], _POSTING)
         order = np.lexsort((made["cls"], made["key"]))
         made = made[order]
@@ -179,16 +180,16 @@ def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels): members (doc_id, cls, n) has a row per document, links (a, b, shared, union) verified
+    """(members, links, labels): members (doc_id, cls, n, text_key) has a row per document, links (a, b, shared, union) verified
     pairs of classes that connect every component, and labels (cls, component_id) for classes with a link.
     """
-    given = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     n_docs = given.count()
     bits = min(22, max(7, int(n_docs * 200 // (1 << 18)).bit_length()))
     posted = given.mapInArrow(_postings(bits, percent), "bucket int, kind byte, blob binary")
     met = stash(posted.groupBy("bucket").applyInArrow(_meet(bits, percent), "kind int, x long, y long, nx long, ny long, spare int, inside boolean"), "ngram-met", ["kind"])
 
-    members = met.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), F.col("nx").alias("n"))
+    members = met.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), F.col("nx").alias("n"), F.col("ny").alias("text_key"))
     rare = met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
     common = met.filter("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("nx").alias("n"), "spare", "inside")
@@ -260,3 +261,20 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, doc_col:
     found = members.filter("n > 0").join(known, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each group of linked documents: its smallest doc_id (of equal ones, the smallest text key).
+
+    Rows without words stay, and so do rows of null doc_id, which nothing could name.
+    """
+    members, _, labels = ngram_join(docs, percent)
+    grouped = members.filter("n > 0 and doc_id is not null").join(labels, "cls", "left").withColumn("g", F.coalesce("component_id", "cls")).withColumn("linked", F.col("component_id").isNotNull())
+    first = grouped.groupBy("linked", "g").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    empty = members.filter("n = 0 and doc_id is not null").select("doc_id", "text_key").distinct()
+    keep = first.unionByName(empty).distinct().withColumn("_keep", F.lit(True)).alias("k")
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    both = keyed.join(keep, F.expr("d.doc_id = k.doc_id and d._key = k.text_key"), "left").select("d.*", "k._keep")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_keep"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return both.withColumn("_nth", nth).filter("doc_id is null or _keep").filter(F.col("doc_id").isNull() | ~worded | (F.col("_nth") == 1)).drop("_key", "_keep", "_nth")
