@@ -2,17 +2,22 @@
 
 Documents with equal shingle sets form one class first (its id: a digest of the set), so copies never meet each other.
 Classes then join on prefixes. Each class sends the smallest shingle hashes of its set, in hash order, to hash buckets:
-the p = n - ceil(0.75 n) + 1 that any partner must share one of, and SLACK more. In a bucket:
-
-* a shingle of few classes (at most RARE) groups its classes by size, and all groups of compatible sizes pair up;
-* a common one (a passage, a licence line) would pair everything with everything. The join therefore orders rare
-  shingles before common ones: a class whose first p + SLACK hashes hold p rare ones has its whole prefix among the
-  rare, so two such classes meet there if at all. Only classes with too few rare ones ("dense") use common shingles,
-  and meet every class that has that shingle in its hash-order prefix. Both orders are total, so no link is lost.
-
-Dense classes are mostly one big family of near copies. They are first chained to neighbours in a few pseudorandom
-orders and those links verified; only pairs of different components are then expanded, so a family of m costs
-about m pairs and not m squared. All candidates are verified on whole shingle sets.
+the p = n - ceil(0.75 n) + 1 that any partner must share one of, and SLACK more. Of those p + SLACK a partner must share
+more than SLACK (of two classes, the one whose hashes end first has the overlap that is missing behind its end only in
+the n - p - SLACK hashes there). So in a bucket:
+
+* a shingle of few classes (at most RARE) groups its classes by size; groups of compatible sizes pair up, and pairs are
+  counted over all buckets: they need more than SLACK shingles, less those common ones that both have at most;
+* a common one (a passage, a licence line) would pair everything with everything. Classes that share no rare shingle
+  must share more than SLACK common ones. A class with c of them needs only its c - SLACK least common ones for that,
+  and a class with c <= SLACK ("sparse") none. So a passage in a third of all documents costs nothing unless it makes
+  up most of them.
+
+The other classes ("dense") are mostly one big family of near copies. They are first chained to neighbours in a few
+pseudorandom orders and those links verified. What then lies outside the largest component of a shingle meets all
+classes of that shingle, but in blocks: classes sit in blocks of about BLOCK near ones, an outsider goes once to each
+block that any of its shingles leads to, and only the links come out. So a family of m makes about m rows and not m
+squared. All candidates are verified on whole shingle sets, so no link is lost or made up.
 
 Nulls and texts without a word have the empty set and no links. Repeated rows are copies of each other. Documents of
 a null doc_id take part in linking but name no component.
@@ -36,9 +41,12 @@ PERCENT = 75
 SLACK = 32
 RARE = 16
 ORDERS = 4
+BLOCK = 256
+GUESTS = 512
 BITMAP_BITS = 1 << 23
 
-_POSTING = np.dtype([("key", "<u4"), ("cls", "<u8"), ("n", "<u4"), ("spare", "u1"), ("inside", "u1")])
+_POSTING = np.dtype([("key", "<u4"), ("cls", "<u8"), ("n", "<u4"), ("spare", "u1")])
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("spare", "u1")])
 _ROW = np.dtype([("doc", "<i8"), ("null", "u1"), ("cls", "<u8"), ("n", "<u4"), ("key", "<i8")])
 
 
@@ -62,17 +70,15 @@ def _postings(bits: int, percent: int):
                     p = n - (percent * n + 99) // 100 + 1
                     wide = min(n, p + SLACK)
                     parts.append(own[:wide])
-                    owners.append((cls, n, wide - p, p, wide))
+                    owners.append((cls, n, wide - p, wide))
             out: list[tuple[int, int, bytes]] = []
             if parts:
                 hashes = np.concatenate(parts)
-                wide = np.array([o[4] for o in owners])
+                wide = np.array([o[3] for o in owners])
                 made = np.zeros(len(hashes), _POSTING)
                 made["key"] = (hashes >> shift) & np.uint64(0xFFFFFFFF)
                 for name, j in (("cls", 0), ("n", 1), ("spare", 2)):
                     made[name] = np.repeat(np.array([o[j] for o in owners], dtype=np.uint64), wide)
-                within = np.arange(len(hashes)) - np.repeat(np.cumsum(wide) - wide, wide)
-                made["inside"] = within < np.repeat(np.array([o[3] for o in owners]), wide)
                 bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 made, bucket = made[order], bucket[order]
@@ -86,21 +92,21 @@ def _postings(bits: int, percent: int):
     return run
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("spare", pa.int32()), ("inside", pa.bool_())])
+_OUT = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("spare", pa.int32())])
 
 
-def _table(kind: int, x, y, nx, ny=None, spare=None, inside=None, null=None) -> pa.Table:
+def _table(kind: int, x, y, nx, ny=None, spare=None, null=None) -> pa.Table:
     n = len(x)
     signed = lambda v: np.ascontiguousarray(v).astype(np.int64 if v.dtype == np.int64 else np.uint64).view(np.int64) if v is not None else np.zeros(n, np.int64)
     return pa.table([
         np.full(n, kind, np.int32), pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, mask=null), signed(y), signed(nx), signed(ny),
-        np.zeros(n, np.int32) if spare is None else spare.astype(np.int32), np.zeros(n, bool) if inside is None else inside.astype(bool),
+        np.zeros(n, np.int32) if spare is None else spare.astype(np.int32),
     ], schema=_OUT)
 
 
 def _meet(bits: int, percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """kind 0: document x, class y, size nx, text key ny. 1: candidate classes x < y. 2: a common shingle x of class y."""
+        """kind 0: document x, class y, size nx, text key ny. 1: classes x < y with nx rare shingles. 2: a shingle x, common in ny classes, of class y."""
         kinds, out = table.column("kind").to_numpy(), [_OUT.empty_table()]
         blobs = {k: b"".join(b.as_py() for b, kind in zip(table.column("blob"), kinds, strict=True) if kind == k) for k in (0, 1)}
         rows = np.frombuffer(blobs[0], _ROW)
@@ -121,35 +127,31 @@ def _meet(bits: int, percent: int):
                     for j in range(i + 1, m):
                         a, b = made[at + i], made[at + j]
                         fit = 100 * np.minimum(a["n"], b["n"]).astype(np.int64) >= percent * np.maximum(a["n"], b["n"]).astype(np.int64)
-                        fit &= (a["inside"] | b["inside"]).astype(bool)
-                        found.append((a["cls"][fit], b["cls"][fit], a["n"][fit], b["n"][fit]))
+                        pair = np.zeros(int(fit.sum()), _PAIR)
+                        pair["a"], pair["b"], pair["spare"] = a["cls"][fit], b["cls"][fit], np.minimum(a["spare"], b["spare"])[fit]
+                        found.append(pair)
             if found:
-                a, b, na, nb = (np.concatenate(v) for v in zip(*found, strict=True))
-                pairs = np.unique(np.rec.fromarrays([a, b, na, nb], names="a,b,na,nb"))
-                out.append(_table(1, np.ascontiguousarray(pairs["a"]), pairs["b"], pairs["na"], pairs["nb"]))
-            common = made[np.repeat(sizes > RARE, sizes)]
+                pairs = np.concatenate(found)
+                pairs, shared = np.unique(pairs, return_counts=True)
+                out.append(_table(1, np.ascontiguousarray(pairs["a"]), pairs["b"], shared, None, pairs["spare"]))
+            wide = np.repeat(sizes, sizes)
+            common, often = made[wide > RARE], wide[wide > RARE]
             if len(common):
                 bucket = np.uint64(key[0].as_py() << 32)
-                out.append(_table(2, (bucket | common["key"].astype(np.uint64)).view(np.int64), common["cls"], common["n"], None, common["spare"], common["inside"]))
+                out.append(_table(2, (bucket | common["key"].astype(np.uint64)).view(np.int64), common["cls"], common["n"], often, common["spare"]))
         return pa.concat_tables(out)
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [(c, own) for (_, own), c in zip(shingle_sets(batch.column(1)), batch.column(0).to_pylist(), strict=True)]
-        made = [(c, own.tobytes()) for c, own in made if len(own) and np.uint64(_class_of(own)) == np.uint64(c % (1 << 64))]
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["cls", "blob"])
-
-
 def _verify(percent: int):
-    def run(key: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         """The linked pairs of one chunk, with their overlap."""
-        own = {c: np.frombuffer(b, np.uint64) for c, b in zip(sets["cls"], sets["blob"], strict=True)}
+        sets = dict(zip(texts["cls"], (own for _, own in shingle_sets(pa.array(texts["text"], pa.string()))), strict=True))
+        sets = {c: own for c, own in sets.items() if _class_of(own) == c % (1 << 64)}
         out = []
         for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            x, y = own.get(a), own.get(b)
+            x, y = sets.get(a), sets.get(b)
             if x is None or y is None:
                 continue
             both = np.concatenate((x, y))
@@ -162,12 +164,15 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, n_pairs: int, percent: int) -> DataFrame:
-    """Pairs in chunks by their first member; each chunk gets the sets that it needs once."""
-    chunks = max(1, n_pairs // 256)
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n_pairs: int, percent: int) -> DataFrame:
+    """Pairs in chunks by their first member; each chunk gets the texts that it needs once, and makes their sets."""
+    chunks = max(1, n_pairs // 128)
     dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)).cast("int"))
-    need = dealt.select("chunk", F.col("a").alias("cls")).unionByName(dealt.select("chunk", F.col("b").alias("cls"))).distinct()
-    sent = need.join(sets, "cls").select(F.col("chunk").alias("part"), "cls", "blob")
+    need = dealt.select("chunk", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    need = need.join(_named(members), "cls").groupBy("cls", "d").agg(F.collect_set("chunk").alias("parts")).select("cls", "d.doc_id", "d.text_key", "parts")
+    need = stash(need, "ngram-need")
+    texts = maybe_in(docs, "doc_id", need.select("doc_id")).join(need, ["doc_id", "text_key"])
+    sent = texts.select(F.explode("parts").alias("part"), "cls", "text")
     return dealt.groupBy("chunk").cogroup(sent.groupBy("part")).applyInPandas(_verify(percent), "a long, b long, shared long, union long")
 
 
@@ -187,36 +192,29 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id",
     n_docs = given.count()
     bits = min(22, max(7, int(n_docs * 200 // (1 << 18)).bit_length()))
     posted = given.mapInArrow(_postings(bits, percent), "bucket int, kind byte, blob binary")
-    met = stash(posted.groupBy("bucket").applyInArrow(_meet(bits, percent), "kind int, x long, y long, nx long, ny long, spare int, inside boolean"), "ngram-met", ["kind"])
+    met = stash(posted.groupBy("bucket").applyInArrow(_meet(bits, percent), "kind int, x long, y long, nx long, ny long, spare int"), "ngram-met", ["kind"])
 
     members = met.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), F.col("nx").alias("n"), F.col("ny").alias("text_key"))
-    rare = met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-    common = met.filter("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("nx").alias("n"), "spare", "inside")
-    dense = common.groupBy("cls").agg(F.count("*").alias("hits"), F.max("spare").alias("spare")).filter("hits > spare").select("cls", F.lit(True).alias("dense"))
-    used = common.filter("inside").join(dense, "cls", "left").select("h", "cls", "n", F.coalesce("dense", F.lit(False)).alias("dense"))
-    live = used.groupBy("h").agg(F.max("dense").alias("live")).filter("live").select("h")
-    used = stash(used.join(live, "h", "left_semi"), "ngram-common")
-
-    chained = None
-    for r in range(ORDERS):
-        step = _chain(used.filter("dense"), r)
-        chained = step if chained is None else chained.unionByName(step)
-    first = stash(rare.unionByName(chained.distinct()).filter("a <> b").distinct(), "ngram-first")
-    n_first = first.count()
-
-    wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(used.select("cls")).distinct()
-    chosen = members.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi")
-    chosen = stash(chosen, "ngram-chosen")
-    texts = maybe_in(given, "doc_id", chosen.select("doc_id")).join(chosen, "doc_id").select("cls", "text")
-    sets = stash(texts.mapInArrow(_sets, "cls long, blob binary").dropDuplicates(["cls"]), "ngram-sets")
-
-    linked = stash(verified(first, sets, n_first, percent), "ngram-linked")
+    common = met.filter("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("nx").alias("n"), F.col("ny").alias("often"), "spare")
+    hits = stash(common.groupBy("cls").agg(F.count("*").alias("hits")), "ngram-hits")
+    rare = met.filter("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("nx").alias("shared"), F.min("spare").alias("spare"))
+    for side in ("a", "b"):
+        rare = rare.join(hits.select(F.col("cls").alias(side), F.col("hits").alias(f"hits_{side}")), side, "left")
+    rare = rare.filter("shared + least(coalesce(hits_a, 0L), coalesce(hits_b, 0L)) > spare").select("a", "b")
+
+    least_common = Window.partitionBy("cls").orderBy("often", "h")
+    dense = common.join(hits, "cls").filter("hits > spare").withColumn("rank", F.row_number().over(least_common))
+    used = stash(dense.filter("rank <= hits - spare").select("h", "cls", "often"), "ngram-common")
+
+    chained = _chain(used, 0)
+    for r in range(1, ORDERS):
+        chained = chained.unionByName(_chain(used, r))
+    first = stash(rare.unionByName(chained).distinct(), "ngram-first")
+    linked = stash(verified(first, members, given, first.count(), percent), "ngram-linked")
     label = stash(components(linked.select("a", "b"), "ngram-label"), "ngram-label")
-    rest = stash(_across(used, label, percent).join(first, ["a", "b"], "left_anti"), "ngram-rest")
-    n_rest = rest.count()
-    if n_rest:
-        linked = stash(linked.unionByName(verified(rest, sets, n_rest, percent)), "ngram-linked")
+    rest = stash(_across(used, label, members, given, percent), "ngram-rest")
+    if rest.limit(1).count():
+        linked = stash(linked.unionByName(rest), "ngram-linked")
         label = stash(components(linked.select("a", "b"), "ngram-label"), "ngram-label")
     lowest = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     named = label.join(lowest, label.node == lowest.cls).groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -234,23 +232,62 @@ def _chain(used: DataFrame, r: int) -> DataFrame:
     return pairs.filter("prev is not null").select(F.least("cls", "prev").alias("a"), F.greatest("cls", "prev").alias("b"))
 
 
-def _across(used: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs with a common shingle, at least one of them dense, of fitting sizes and in different components.
+def _meet_block(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between a block's guests and its own classes: for each guest, one to each component."""
+        sets = [own for _, own in shingle_sets(pa.array(rows["text"], pa.string()))]
+        sound = np.array([_class_of(own) == c % (1 << 64) for c, own in zip(rows["cls"], sets, strict=True)])
+        cls, label, guest = rows["cls"].to_numpy(), rows["c"].to_numpy(), rows["guest"].to_numpy()
+        home = np.flatnonzero(~guest & sound)
+        hashes = np.concatenate([sets[i] for i in home]) if len(home) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(home)), [len(sets[i]) for i in home])
+        order = np.argsort(hashes)
+        hashes, owner = hashes[order], owner[order]
+        sizes = np.array([len(sets[i]) for i in home])
+        out = []
+        for g in np.flatnonzero(guest & sound) if len(home) else []:
+            low, high = np.searchsorted(hashes, sets[g], "left"), np.searchsorted(hashes, sets[g], "right")
+            spans = high - low
+            at = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            shared = np.bincount(owner[at], minlength=len(home))
+            union = sizes + len(sets[g]) - shared
+            found = np.flatnonzero((100 * shared >= percent * union) & (label[home] != label[g]))
+            for i in found[np.unique(label[home[found]], return_index=True)[1]]:
+                out.append((min(cls[g], cls[home[i]]), max(cls[g], cls[home[i]]), shared[i], union[i]))
+        return pd.DataFrame(out, columns=["a", "b", "shared", "union"]).astype("int64")
+
+    return run
+
+
+def _across(used: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between classes that share one of their least common shingles and are in different components so far.
 
-    The largest component of a shingle never joins with itself: one side is always outside it.
+    The largest component of a shingle needn't meet itself: one side (the guest) is always outside it.
     """
-    own = used.join(label, used.cls == label.node, "left").select("h", "cls", "n", "dense", F.coalesce("label", "cls").alias("c"))
+    own = used.join(label, used.cls == label.node, "left").select("h", "cls", "often", F.coalesce("label", "cls").alias("c"))
     per = own.groupBy("h", "c").agg(F.count("*").alias("m"))
     main = per.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    own = stash(own.join(main, "h").select("h", "cls", "n", "dense", "c", (F.col("c") == F.col("main")).alias("inner")), "ngram-own")
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        fits = F.expr(f"x.h = y.h and x.c <> y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        return x.join(y, fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-
-    outside = own.filter("not inner")
-    return meet(outside.filter("dense"), own).unionByName(meet(outside.filter("not dense"), own.filter("dense"))).distinct()
+    own = stash(own.join(main, "h").select("h", "cls", "often", "c", (F.col("c") != F.col("main")).alias("outside")), "ngram-own")
+    # A class sits with those that have the same most common shingle.
+    seats = own.groupBy("cls").agg(F.min("c").alias("c"), F.max_by("h", F.struct("often", "h")).alias("home"), F.max("outside").alias("outside"))
+    rooms = seats.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    seats = stash(seats.join(rooms, "home").select("cls", "c", "outside", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "k")).alias("block")), "ngram-seats")
+    blocks = own.join(seats.select("cls", "block"), "cls").groupBy("h").agg(F.collect_set("block").alias("blocks"))
+    tours = own.filter("outside").select("h", "cls").join(blocks, "h").groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    guests = tours.select("cls", F.explode("blocks").alias("block")).join(seats.select("cls", "c"), "cls")
+    tables = guests.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("tables"))
+    guests = guests.join(tables, "block").select("cls", "c", "block", F.pmod(F.xxhash64("cls"), "tables").cast("int").alias("at"), F.lit(True).alias("guest"))
+    hosts = seats.join(tables, "block").select("cls", "c", "block", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("at"), F.lit(False).alias("guest"))
+    places = guests.unionByName(hosts).groupBy("cls", "c").agg(F.collect_list(F.struct("block", "at", "guest")).alias("places"))
+    need = stash(places.join(_named(members), "cls").select("cls", "c", "places", "d.doc_id", "d.text_key"), "ngram-need")
+    texts = maybe_in(docs, "doc_id", need.select("doc_id")).join(need, ["doc_id", "text_key"])
+    rows = texts.select("cls", "c", "text", F.explode("places").alias("p")).select("cls", "c", "text", "p.block", "p.at", "p.guest")
+    return rows.groupBy("block", "at").applyInPandas(_meet_block(percent), "a long, b long, shared long, union long").distinct()
+
+
+def _named(members: DataFrame) -> DataFrame:
+    """One document (d: doc_id, text_key) of each class."""
+    return members.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
