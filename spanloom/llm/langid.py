@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 RARE = 100_000
 OTHERS = 6.0
-SLOT_BITS = 21
+SLOT_BITS = 20
 HASHES = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 KNOWN = 200_000
