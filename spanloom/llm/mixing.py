@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     line, pieces = mix_sources(docs, **options)
     runs = pieces.groupBy("s", "start").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("_runs"))
-    line = line.join(runs, ["s", "start"]).select("doc_id", "text_key", F.col("source").alias("_source"), F.col("size").alias("_size"), "_runs", "start")
+    line = line.filter("size > 0").join(runs, ["s", "start"]).select("doc_id", "text_key", F.col("source").alias("_source"), F.col("size").alias("_size"), "_runs", "start")
     keys = ["doc_id", "text_key", "_source"]
     nth = lambda df, by: df.withColumn("_nth", F.row_number().over(_window(keys, by)))
     own = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_source", F.col("source").cast("string"))
