@@ -19,24 +19,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import mix
+
 RARE = 100_000
 OTHERS = 6.0
 SLOT_BITS = 20
 HASHES = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 KNOWN = 200_000
+CHUNK = 20_000
 UNKNOWN = "und"
-
-
-def grams_of(word: str) -> list[int]:
-    """Hashes of the n-grams of a lower-case word, signed 64-bit."""
-    marked = f"^{word}$"
-    parts = [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in (*parts, "=" + word)]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of lower-case words and of the words as such, and the word that each belongs to."""
+    marked = [f"^{w}$" for w in words]
+    sizes = np.array([len(m) for m in marked], np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    owner, starts = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - starts[owner]
+    rolling, grams, owners = codes, [], []
+    for n in (2, 3, 4):
+        longer = codes.copy()
+        longer[1:] += rolling[:-1] * _BASE
+        rolling, whole = longer, place >= n - 1
+        grams.append(longer[whole] + np.uint64(n))
+        owners.append(owner[whole])
+    if words:
+        powers = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))
+        grams.append(np.add.reduceat(codes * powers[place], starts))
+        owners.append(np.arange(len(words)))
+    return mix(np.concatenate(grams)), np.concatenate(owners)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their counts added up."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(counts, starts)
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -47,11 +72,13 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, counts in words.items():
-                grams: Counter = Counter()
-                for w, n in counts.items():
-                    for g in grams_of(w):
-                        grams[g] += n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.int64()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+                own, times, parts = list(counts), np.array(list(counts.values()), np.int64), []
+                for at in range(0, len(own), CHUNK):
+                    made, owner = grams_of(own[at : at + CHUNK])
+                    parts.append(_summed(made, times[at:][owner]))
+                if parts:
+                    grams, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
             words.clear()
 
         for batch in batches:
@@ -76,15 +103,18 @@ class Filters:
 
     def hits(self, words: list[str]) -> np.ndarray:
         """(words, languages + 1): how many grams of a word each language has, and how many there are."""
-        grams = [grams_of(w) for w in words]
-        sizes = np.array([len(g) for g in grams])
-        flat = np.array([g for own in grams for g in own], dtype=np.int64).view(np.uint64)
-        found = np.full((self.masks.shape[0], len(flat)), np.uint64(2**64 - 1))
-        for j in range(HASHES):
-            found &= self.masks[:, (flat >> np.uint64(SLOT_BITS * j)) & np.uint64((1 << SLOT_BITS) - 1)]
-        starts = np.cumsum(sizes) - sizes
-        each = [np.add.reduceat((found[i // 63] >> np.uint64(i % 63)) & np.uint64(1), starts) for i in range(len(self.langs))]
-        return np.stack([*each, sizes.astype(np.uint64)], axis=1).astype(np.int64)
+        out = np.zeros((len(words), len(self.langs) + 1), np.int64)
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            flat, owner = grams_of(part)
+            found = np.full((self.masks.shape[0], len(flat)), np.uint64(2**64 - 1))
+            for j in range(HASHES):
+                found &= self.masks[:, (flat >> np.uint64(SLOT_BITS * j)) & np.uint64((1 << SLOT_BITS) - 1)]
+            for i in range(len(self.langs)):
+                has = (found[i // 63] >> np.uint64(i % 63)) & np.uint64(1)
+                out[at : at + len(part), i] = np.bincount(owner[has > 0], minlength=len(part))
+            out[at : at + len(part), -1] = np.bincount(owner, minlength=len(part))
+        return out
 
 
 def train(labelled: DataFrame) -> Filters:
