@@ -179,6 +179,18 @@ def test_language_filters(spark, empty):
     assert langid.train(empty).langs == []
 
 
+def test_grams_are_those_of_a_plain_version():
+    words = ["a", "ab", "abab", "über", "文字", "x" * 3000, "abc", "ab"]
+    hashes, owners = langid.grams_of(words)
+    got = [collections.Counter(hashes[owners == i].tolist()) for i in range(len(words))]
+    plain = [collections.Counter([*(f"^{w}$"[i : i + n] for n in (2, 3, 4) for i in range(len(w) + 3 - n)), f"={w}"]) for w in words]
+    assert [sorted(c.values()) for c in got] == [sorted(c.values()) for c in plain]
+    for i in range(len(words)):
+        for k in range(len(words)):
+            assert (got[i] & got[k]).total() == (plain[i] & plain[k]).total()
+    assert len(langid.grams_of([])[0]) == 0
+
+
 def test_kneser_ney(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 100, 2)], "doc_id long, quality int, toxic int")
     near, far = kneser_ney.judge(docs, labels).collect(), kneser_ney.judge(docs, labels, most=0).collect()
