@@ -10,6 +10,7 @@ a row per sequence, never one array.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,12 +47,18 @@ class WordIds(dict):
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                ids = e.ids
+                self[w] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        if any(m in text for m in self.marks):  # special tokens may hold or touch anything
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; every text is split into words once."""
+        split = [None if any(m in t for m in self.marks) else t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*filter(None, split)))
+        for text, words in zip(texts, split, strict=True):
+            if words is None:  # special tokens may hold or touch anything
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(self.__getitem__, words))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -71,10 +78,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end: int = E
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                known.learn({w for t in texts for w in t.replace("\n", " ").split(" ")})
                 doc, start, length, crc, total, ids = [], [], [], [], [], []
-                for d, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    made = known.encode(t) + mark
+                for d, own in zip(batch.column(0).to_pylist(), known.encode_all(texts), strict=True):
+                    made = own + mark
                     for a in range(0, len(made), 4 * room):
                         piece = made[a : a + 4 * room]
                         doc.append(d)
