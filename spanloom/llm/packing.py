@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 ROOM = 2048
 GROUP = 4096
 END = 1
-KNOWN = 400_000
+KNOWN = 1_000_000
+_TAIL = ",.;:!?"
 
 
 class WordIds(dict):
     """The token ids of a word as little-endian 32-bit bytes, found once per worker (up to KNOWN words at a time).
 
-    Right for tokenizers that never let a token cross white space and drop it, such as word_bpe_49k.json.
+    Right for tokenizers that drop white space, lower the case and cut between a letter and punctuation that follows, such
+    as word_bpe_49k.json: a word's ids are those of its core, in small letters, and of the punctuation at its end.
     """
 
     def __init__(self, path: str):
@@ -44,11 +46,22 @@ class WordIds(dict):
         if len(self) + len(new) > KNOWN:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        cores = {w: self.core(w) for w in new}
+        missing = list({p for w, c in cores.items() for p in ((c, w[len(c) :]) if len(c) < len(w) else (c,))}.difference(self))
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = e.ids
                 self[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, c in cores.items():
+            self[w] = self[c] + self[w[len(c) :]] if len(c) < len(w) else self[c]
+
+    @staticmethod
+    def core(word: str) -> str:
+        """The word without punctuation after a last letter of ASCII (others may turn into marks); ASCII in small letters."""
+        core = word.rstrip(_TAIL)
+        core = core if core and core[-1].isascii() and core[-1].isalpha() else word
+        return core.lower() if core.isascii() else core
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; every text is split into words once."""

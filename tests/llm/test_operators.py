@@ -223,3 +223,10 @@ def test_surrogates_that_collide(spark):
     numbers = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, form string")
     got = surrogates.entity_table(numbers).collect()
     assert len({r.made for r in got}) == 300 and not {r.made for r in got} & {r.form for r in got}
+
+
+def test_word_ids_equal_those_of_whole_texts():
+    words = packing.WordIds(tokenizer_path())
+    texts = ["", "It's, 'S. JOHN'LL!? A.B., ½. x١, ΣΑΣ. İ! J̌, é, É! don't'd, क़, a\tb\u00a0C, ...", "<|x, Word", "word, Word. WORD!\nword;;"]
+    for text, ids in zip(texts, words.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
