@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import html_extract, kneser_ney, langid, mixing, ngram_join, order_minhash, packing, secrets, surrogates, weak_rules
@@ -226,7 +227,10 @@ def test_surrogates_that_collide(spark):
 
 
 def test_word_ids_equal_those_of_whole_texts():
-    words = packing.WordIds(tokenizer_path())
+    words = packing.Encoder(tokenizer_path())
     texts = ["", "It's, 'S. JOHN'LL!? A.B., ½. x١, ΣΑΣ. İ! J̌, é, É! don't'd, क़, a\tb\u00a0C, ...", "<|x, Word", "word, Word. WORD!\nword;;"]
-    for text, ids in zip(texts, words.encode_all(texts), strict=True):
+    rng = random.Random(2)
+    pool = "aaaäßéİKΩक़x١½²''.,!?;:-_%$ \n\t ǅﬁ文字가각́é😀<|\r\x0b\x85\u3000≮̸sStTéÉ09"
+    texts += [None, *("".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(5000))]
+    for text, ids in zip((t or "" for t in texts), words.encode(pa.array(texts)).to_pylist(), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
