@@ -1,4 +1,4 @@
-"""Shared pieces: reading tables, shared-folder tables, words, prefix sums, connected components."""
+"""Shared pieces: reading tables, shared-folder tables, words, bitmaps, joins on hot keys, prefix sums, components."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A word is a run of anything but ASCII white space (0x20, 0x09-0x0D).
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\f\r"
+MOST_BITS = 25
+ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is set (tests), one of our own."""
+    """The folder that all executors share; where none is set, one of our own, if there is but one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return path
@@ -46,6 +50,40 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(flat, F.lit(r"\x20[^\x20]")).cast("long")
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """(row): every row as one struct, so that columns added later can't clash with its own; `select("row.*")` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def maybe_among(df: DataFrame, key: Column, wanted: DataFrame, out: str = "maybe") -> DataFrame:
+    """df with a flag: false where `key` is for certain not in `wanted` (one column), true where it is or may be.
+
+    The bitmap has 8 bits a wanted value, but at most 1 << MOST_BITS (4 MB), so it can be broadcast whatever the table.
+    """
+    bits = 1 << min(MOST_BITS, max(16, int(8 * wanted.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word, bit = (lambda s: F.expr(f"cast({s} div 64 as int)")), (lambda s: F.expr(f"shiftleft(1L, cast({s} % 64 as int))"))
+    held = wanted.select(slot(F.col(wanted.columns[0])).alias("_s")).groupBy(word("_s").alias("_w")).agg(F.bit_or(bit("_s")).alias("_bits"))
+    joined = df.withColumn("_s", slot(key)).withColumn("_w", word("_s")).join(F.broadcast(held), "_w", "left")
+    return joined.withColumn(out, F.coalesce(F.col("_bits").bitwiseAND(bit("_s")) != 0, F.lit(False))).drop("_s", "_w", "_bits")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 1000) -> DataFrame:
+    """left joined to right, which has each key once, when a key may have a large share of left's rows.
+
+    Keys with more than a `share`-th of all rows (and of ROWS) are hot: there are at most `share`, so their list can be
+    broadcast. Their rows go to several tasks by a hash of all columns, and right's row to each of these.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    most = max(ROWS, total // share)
+    hot = counts.filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    own = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    other = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return own.join(other, [key, "_salt"], how).drop("_salt")
+
+
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, cells: int) -> DataFrame:
     """Exclusive running sum of `value` within `keys`, in two levels so that a hot key is spread over `cells` tasks.
 

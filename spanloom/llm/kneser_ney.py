@@ -14,9 +14,14 @@ words are looked up in it. A larger one stays sharded: the distinct words of all
 their scores to the documents. Both give the same perplexities.
 
 A document's perplexity is per letter; `WEIGHT` letters at the language's mean are added, so that a short text isn't
-judged on a few letters. It is rejected beyond the quantile KEEP of its language's trusted documents, times SLACK.
+judged on a few letters. The threshold comes from two quantiles of its language's trusted documents that the model hasn't
+seen: it lies REACH times as far from their median, in the logarithm, as their quantile KEEP. A FOLDS-th of the trusted
+texts, by a hash (so copies go together), is held out of the training for that. (Where a language has none, its other
+trusted documents stand in.)
+
 Texts in a language without a model take the model that fits them best. Null, empty and white-space texts are rejected:
-nothing speaks for them. With no trusted text at all, every document with a word is kept.
+nothing speaks for them. With no trusted text at all, every document with a word is kept. Repeated rows get equal verdicts;
+a null doc_id is never trusted; other columns are passed on by kept_documents() whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, stash
+from .common import WORD_BREAK, as_rows, join_hot, maybe_among, stash
 from .wordhash import mix
 
 ORDER = 5
-KEEP = 0.995
-SLACK = 1.5
+KEEP = 0.99
+REACH = 2.0
+FOLDS = 5
 WEIGHT = 60
 MOST = 2_000_000
 KNOWN = 200_000
@@ -217,7 +223,11 @@ class Model:
         return np.stack([np.bincount(owner[real], total[real], len(words)), np.bincount(owner[real], minlength=len(words))], axis=1)
 
 
+_SCORE = "model string, logp double, letters long"
+
+
 def _broadcast_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """doc_id, text_key and lang of every document with its model's verdict on it, where its row lies: nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(Model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,33 +235,39 @@ def _broadcast_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFram
         known: dict[str, dict[str, int]] = {lang: {} for lang in own.langs}
         tables: dict[str, np.ndarray] = {}
         for whole in batches:
-            out: list[tuple] = []
+            best: list[tuple] = []
             for at in range(0, whole.num_rows, 512):
-                ids, langs, texts = (whole.column(i).slice(at, 512).to_pylist() for i in range(3))
+                langs, texts = (whole.column(i).slice(at, 512).to_pylist() for i in (2, 3))
                 words = [_words(t) for t in texts]
                 tried = [[lang] if lang in known else own.langs for lang in langs]
                 for lang in own.langs:
-                    new = list({w for own_words, t in zip(words, tried, strict=True) if lang in t for w in own_words}.difference(known[lang]))
+                    wanted = {w for own_words, t in zip(words, tried, strict=True) if lang in t for w in own_words}
+                    new = [w for w in wanted if w not in known[lang]]
                     if len(known[lang]) + len(new) > KNOWN:
                         known[lang].clear()
-                        new = list({w for own_words, t in zip(words, tried, strict=True) if lang in t for w in own_words})
+                        new = list(wanted)
                         tables.pop(lang, None)
                     if new:
                         old = tables.get(lang, np.zeros((0, 2)))
                         known[lang].update(zip(new, range(len(old), len(old) + len(new)), strict=True))
                         tables[lang] = np.concatenate((old, own.scores(lang, new, order)))
-                for key, own_words, langs_tried in zip(ids, words, tried, strict=True):
+                for own_words, langs_tried in zip(words, tried, strict=True):
+                    made = []
                     for lang in langs_tried if own_words else []:
                         logp, n = tables[lang][list(map(known[lang].__getitem__, own_words))].sum(axis=0)
-                        out.append((key, lang, logp, int(n)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int64()))], ["row", "model", "logp", "letters"])
+                        made.append((logp / n, lang, logp, int(n)))
+                    best.append(max(made)[1:] if made else (None, None, None))
+            kinds = (pa.string(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(whole.column(i) for i in range(3)), *(pa.array([b[i] for b in best], t) for i, t in enumerate(kinds))], ["doc_id", "text_key", "lang", "model", "logp", "letters"])
 
-    return docs.select("row", "lang", "text").mapInArrow(run, "row long, model string, logp double, letters long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_key", "lang", "text").mapInArrow(run, f"doc_id {kind}, text_key long, lang string, {_SCORE}")
 
 
 def _sharded_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """The same by joins: distinct words to the model's shards, then their scores to the documents' words."""
-    docs = docs.dropDuplicates(["row"])
+    """The same by joins: distinct words to the model's shards, then their scores to the words of distinct texts, and these
+    to all their copies."""
+    every, docs = docs, docs.select(F.col("text_key").alias("row"), "lang", "text").dropDuplicates(["row"])
     langs = model.select("lang").distinct().withColumnRenamed("lang", "model")
     parted = F.flatten(F.transform(F.filter(F.split("text", WORD_BREAK), lambda w: w != ""), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / LETTERS).cast("int")), lambda i: F.substring(w, i * LETTERS + 1, F.lit(LETTERS)))))
     words = docs.select("row", "lang", F.explode(parted).alias("word")).groupBy("row", "lang", "word").agg(F.count("*").alias("n"))
@@ -270,7 +286,9 @@ def _sharded_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("n") == F.col("hit"), F.col("logp"))), F.lit(math.log(_TINY))).alias("p"),
         F.coalesce(F.sum(F.when(F.col("n") > F.col("hit"), F.col("logb"))), F.lit(0.0)).alias("back"))
     scored = found.groupBy("model", "word").agg(F.sum(F.col("p") + F.col("back")).alias("score"), F.count("*").alias("size"))
-    return pairs.join(scored, ["model", "word"]).groupBy("row", "model").agg(F.sum(F.col("score") * F.col("n")).alias("logp"), F.sum(F.col("size") * F.col("n")).alias("letters"))
+    scores = pairs.join(scored, ["model", "word"]).groupBy("row", "model").agg(F.sum(F.col("score") * F.col("n")).alias("logp"), F.sum(F.col("size") * F.col("n")).alias("letters"))
+    best = scores.groupBy("row").agg(F.max_by(F.struct("model", "logp", "letters"), F.struct(F.col("logp") / F.col("letters"), F.col("model"))).alias("b")).select(F.col("row").alias("text_key"), "b.*")
+    return join_hot(every.select("doc_id", "text_key", "lang"), stash(best, "kn-best"), "text_key")
 
 
 def _over(keys: list[str]):
@@ -280,35 +298,53 @@ def _over(keys: list[str]):
 
 
 def document_scores(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
-    """(row, model, logp, letters) of documents (row, lang, text) with a word; the best model where lang has none."""
+    """doc_id, text_key and lang of `docs` (and text) with model, logp and letters: null without a word; the best model
+    where lang has none."""
     return _broadcast_scores(docs, model, order) if model.count() <= most else _sharded_scores(docs, model, order)
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP, slack: float = SLACK, most: int = MOST) -> DataFrame:
+def _key(text: str, lang: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(lang).cast("string"), F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", _key("text", "lang").alias("text_key"), F.col("lang").cast("string").alias("lang"), "text")
+
+
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP, most: int = MOST) -> DataFrame:
     """(doc_id, text_key, lang, perplexity, threshold, kept). Trusted documents are those labelled quality 1 and toxic 0."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    given = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    keyed = given.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))))
-    trusted = given.join(good.drop("trusted"), "doc_id", "left_semi")
+    good = stash(labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct(), "kn-good")
+    keyed = _keyed(docs)
+    held_out = F.pmod("text_key", F.lit(FOLDS)) == 0
+    # Only texts that may be trusted are shuffled.
+    trusted = maybe_among(keyed.filter(~held_out), F.col("doc_id"), good).filter("maybe").join(good, "doc_id", "left_semi")
     model = train(trusted, order)
-    n_model = model.count()
-    if not n_model:
-        fine = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    if not model.limit(1).count():
+        fine = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         return keyed.select("doc_id", "text_key", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), fine.alias("kept"))
-    scores = document_scores(keyed.withColumn("row", F.col("text_key")), model, order, most)
-    best = scores.groupBy("row").agg(F.max_by(F.struct("model", "logp", "letters"), F.struct(F.col("logp") / F.col("letters"), F.col("model"))).alias("b")).select(F.col("row").alias("text_key"), "b.*")
-    slim = keyed.select("doc_id", "text_key", "lang").join(best, "text_key", "left").join(good, "doc_id", "left")
-    slim = stash(slim, "kn-scores")
+    scores = document_scores(keyed, model, order, most)
+    slim = stash(scores.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left"), "kn-scores")
     mean = slim.filter("trusted and letters > 0").groupBy("model").agg((F.sum("logp") / F.sum("letters")).alias("mean"))
-    slim = slim.join(F.broadcast(mean), "model", "left").withColumn("perplexity", F.exp(-(F.col("logp") + WEIGHT * F.col("mean")) / (F.col("letters") + WEIGHT)))
-    limit = slim.filter("trusted and letters > 0").groupBy("model").agg((F.percentile_approx("perplexity", keep, 10_000) * slack).alias("threshold"))
-    judged = slim.join(F.broadcast(limit), "model", "left")
+    slim = slim.join(mean, "model", "left") if _many(mean) else slim.join(F.broadcast(mean), "model", "left")
+    slim = slim.withColumn("perplexity", F.exp(-(F.col("logp") + WEIGHT * F.col("mean")) / (F.col("letters") + WEIGHT)))
+    at = F.array(F.lit(0.5), F.lit(keep))
+    unseen = F.percentile_approx(F.when(held_out, F.col("perplexity")), at, 10_000)
+    limit = slim.filter("trusted and letters > 0").groupBy("model").agg(F.coalesce(unseen, F.percentile_approx("perplexity", at, 10_000)).alias("q"))
+    limit = limit.select("model", (F.col("q")[0] * (F.col("q")[1] / F.col("q")[0]) ** REACH).alias("threshold"))
+    judged = slim.join(limit, "model", "left") if _many(limit) else slim.join(F.broadcast(limit), "model", "left")
     return judged.select("doc_id", "text_key", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
+def _many(per_language: DataFrame) -> bool:
+    """Whether a table of one row per language is too large to be broadcast."""
+    return per_language.count() > 100_000
+
+
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that judge() keeps, with their columns."""
-    verdict = judge(docs, labels, **options).filter("kept").select("doc_id", "text_key").distinct().alias("v")
-    own = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("")))).alias("d")
-    same: Column = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("d._key") == F.col("v.text_key"))
-    return own.join(verdict, same, "left_semi").drop("_key")
+    """The documents that judge() keeps, with their columns. Only rows that may be among the rejected are shuffled."""
+    dropped = stash(judge(docs, labels, **options).filter("not kept").select("doc_id", "text_key").distinct(), "kn-dropped")
+    own = as_rows(docs).select("row", F.col("row.doc_id").alias("doc_id"), _key("row.text", "row.lang").alias("text_key"))
+    flagged = maybe_among(own, F.col("text_key"), dropped.select("text_key"))
+    d, v = flagged.filter("maybe").alias("d"), dropped.alias("v")
+    same = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("d.text_key") == F.col("v.text_key"))
+    return flagged.filter("not maybe").select("row.*").unionByName(d.join(v, same, "left_anti").select("row.*"))
