@@ -1,26 +1,29 @@
 """Grouped prefix join on word shingles: every pair of documents with a Jaccard similarity of at least 75 %.
 
-Documents with equal shingle sets form one class first (its id: a digest of the set), so copies never meet each other.
-Classes then join on prefixes. Each class sends the smallest shingle hashes of its set, in hash order, to hash buckets:
-the p = n - ceil(0.75 n) + 1 that any partner must share one of, and SLACK more. Of those p + SLACK a partner must share
-more than SLACK (of two classes, the one whose hashes end first has the overlap that is missing behind its end only in
-the n - p - SLACK hashes there). So in a bucket:
-
-* a shingle of few classes (at most RARE) groups its classes by size; groups of compatible sizes pair up, and pairs are
-  counted over all buckets: they need more than SLACK shingles, less those common ones that both have at most;
-* a common one (a passage, a licence line) would pair everything with everything. Classes that share no rare shingle
-  must share more than SLACK common ones. A class with c of them needs only its c - SLACK least common ones for that,
-  and a class with c <= SLACK ("sparse") none. So a passage in a third of all documents costs nothing unless it makes
-  up most of them.
-
-The other classes ("dense") are mostly one big family of near copies. They are first chained to neighbours in a few
-pseudorandom orders and those links verified. What then lies outside the largest component of a shingle meets all
-classes of that shingle, but in blocks: classes sit in blocks of about BLOCK near ones, an outsider goes once to each
-block that any of its shingles leads to, and only the links come out. So a family of m makes about m rows and not m
-squared. All candidates are verified on whole shingle sets, so no link is lost or made up.
+All shingles have one order, rarest first: by how often a count sketch of all documents (of fixed size, so that it can be
+broadcast) has seen their hash, then by the hash. The sketch only orders; whatever it says, no link is lost. A document's
+prefix are the first p = n - ceil(0.75 n) + 1 shingles of its n, of which any partner must share one, and SLACK more. Of
+those p + SLACK a partner must share more than SLACK: of two documents, the one whose prefix ends first in the order has
+the overlap that is missing behind its end only in its n - p - SLACK shingles there.
+
+1. Documents with identical prefix and size collapse into one group (exact copies always do).
+2. Groups join on the shingles of their prefixes. A shingle of few groups (at most RARE) pairs those of compatible sizes.
+   Pairs are counted over all shingles and filtered: they need more than SLACK of them, and as many as the overlap that
+   their two sizes ask for leaves, less those common ones that both have at most.
+3. A shingle of many groups would pair everything with everything. Groups that share no rare shingle must share more than
+   SLACK common ones. A group with c of them needs only its c - SLACK least common ones for that, and a group with
+   c <= SLACK ("sparse") none. As rare shingles come first, a passage or a template costs nothing unless it makes up most
+   of its documents. The other groups ("dense") are mostly one family of near copies.
+4. Group pairs expand to their members, the distinct shingle sets in them: all pairs of up to EXPAND members a side; the
+   members of larger pairs, and those of dense groups with a common shingle, are first chained to neighbours in a few
+   pseudorandom orders. All are verified on whole shingle sets. What then lies outside the largest component of a shingle
+   (or larger pair) meets all of its members, but in blocks: members sit in blocks of about BLOCK near ones, an outsider
+   goes once to each block that any of its shingles leads to, and only the links come out. So a family of m makes about m
+   rows and not m squared, and no link is lost or made up.
 
 Nulls and texts without a word have the empty set and no links. Repeated rows are copies of each other. Documents of
-a null doc_id take part in linking but name no component.
+a null doc_id take part in linking but name no component. Other columns are passed on by one_of_each() whatever their
+names. An empty table has no links.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import as_rows, components, join_hot, maybe_among, stash
 from .wordhash import mix, shingle_sets
 
 PERCENT = 75
@@ -43,20 +46,57 @@ RARE = 16
 ORDERS = 4
 BLOCK = 256
 GUESTS = 512
-BITMAP_BITS = 1 << 23
+EXPAND = 16
+SKETCH_BITS = 20
+SLICES = 16
 
-_POSTING = np.dtype([("key", "<u4"), ("cls", "<u8"), ("n", "<u4"), ("spare", "u1")])
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("spare", "u1")])
-_ROW = np.dtype([("doc", "<i8"), ("null", "u1"), ("cls", "<u8"), ("n", "<u4"), ("key", "<i8")])
+_POSTING = np.dtype([("key", "<u4"), ("grp", "<u8"), ("n", "<u4"), ("spare", "u1")])
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("na", "<u4"), ("nb", "<u4"), ("spare", "u1")])
+_ROW = np.dtype([("doc", "<i8"), ("null", "u1"), ("cls", "<u8"), ("grp", "<u8"), ("n", "<u4"), ("key", "<i8")])
 
 
 def _class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little") if len(hashes) else 0
 
 
-def _postings(bits: int, percent: int):
+def _group_of(prefix: np.ndarray, n: int) -> int:
+    """Identical prefix and size."""
+    return int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little")
+
+
+def frequency_sketch(docs: DataFrame) -> np.ndarray:
+    """How many texts have a shingle whose hash begins with these SKETCH_BITS bits: 4 MB, whatever the table."""
+    cells, width = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.uint32)
+        for batch in batches:
+            held, size = [], 0
+            for _, own in shingle_sets(batch.column(0)):
+                held.append((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                size += len(own)
+                if size > cells:
+                    total += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint32)
+        for blob in table.column("counts"):
+            total += np.frombuffer(blob.as_py(), np.uint32)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kinds, sketch = "slice int, counts binary", np.zeros(cells, np.uint32)
+    for r in docs.select("text").mapInArrow(count, kinds).groupBy("slice").applyInArrow(add, kinds).collect():
+        sketch[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r.counts), np.uint32)
+    return sketch
+
+
+def _postings(bits: int, percent: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - bits - 32)
+        shift, sketch = np.uint64(64 - bits - 32), held.value
         for batch in batches:
             rows, parts, owners, seen = np.zeros(batch.num_rows, _ROW), [], [], set()
             ids = batch.column(0)
@@ -64,20 +104,23 @@ def _postings(bits: int, percent: int):
             rows["key"] = batch.column(2).to_numpy()
             for i, own in shingle_sets(batch.column(1)):
                 n = len(own)
-                rows["cls"][i], rows["n"][i] = cls, _ = _class_of(own), n
-                if n and cls not in seen:
-                    seen.add(cls)
+                rows["cls"][i], rows["n"][i] = _class_of(own), n
+                if n:
                     p = n - (percent * n + 99) // 100 + 1
                     wide = min(n, p + SLACK)
-                    parts.append(own[:wide])
-                    owners.append((cls, n, wide - p, wide))
+                    prefix = own[np.argsort(sketch[own >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:wide]]
+                    rows["grp"][i] = grp = _group_of(prefix, n)
+                    if grp not in seen:
+                        seen.add(grp)
+                        parts.append(prefix)
+                        owners.append((grp, n, wide - p, wide))
             out: list[tuple[int, int, bytes]] = []
             if parts:
                 hashes = np.concatenate(parts)
                 wide = np.array([o[3] for o in owners])
                 made = np.zeros(len(hashes), _POSTING)
                 made["key"] = (hashes >> shift) & np.uint64(0xFFFFFFFF)
-                for name, j in (("cls", 0), ("n", 1), ("spare", 2)):
+                for name, j in (("grp", 0), ("n", 1), ("spare", 2)):
                     made[name] = np.repeat(np.array([o[j] for o in owners], dtype=np.uint64), wide)
                 bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -92,31 +135,28 @@ def _postings(bits: int, percent: int):
     return run
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("spare", pa.int32())])
+_OUT = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("spare", pa.int32())])
 
 
-def _table(kind: int, x, y, nx, ny=None, spare=None, null=None) -> pa.Table:
-    n = len(x)
-    signed = lambda v: np.ascontiguousarray(v).astype(np.int64 if v.dtype == np.int64 else np.uint64).view(np.int64) if v is not None else np.zeros(n, np.int64)
-    return pa.table([
-        np.full(n, kind, np.int32), pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, mask=null), signed(y), signed(nx), signed(ny),
-        np.zeros(n, np.int32) if spare is None else spare.astype(np.int32),
-    ], schema=_OUT)
+def _table(kind: int, x: np.ndarray, null: np.ndarray | None = None, **columns: np.ndarray) -> pa.Table:
+    signed = lambda v: np.ascontiguousarray(v).astype(np.int64 if v.dtype == np.int64 else np.uint64).view(np.int64)
+    made = {"kind": np.full(len(x), kind, np.int32), "x": pa.array(signed(x), mask=null), "spare": columns.get("spare", np.zeros(len(x))).astype(np.int32)}
+    return pa.table([made[c] if c in made else signed(columns[c]) if c in columns else np.zeros(len(x), np.int64) for c in _OUT.names], schema=_OUT)
 
 
 def _meet(bits: int, percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """kind 0: document x, class y, size nx, text key ny. 1: classes x < y with nx rare shingles. 2: a shingle x, common in ny classes, of class y."""
+        """kind 0: document x of class y in group z, with its size nx and text key ny. 1: groups x < y of sizes nx and ny with z
+        rare shingles. 2: a shingle x, common in ny groups, of group y."""
         kinds, out = table.column("kind").to_numpy(), [_OUT.empty_table()]
         blobs = {k: b"".join(b.as_py() for b, kind in zip(table.column("blob"), kinds, strict=True) if kind == k) for k in (0, 1)}
         rows = np.frombuffer(blobs[0], _ROW)
         if len(rows):
-            out.append(_table(0, np.ascontiguousarray(rows["doc"]), rows["cls"], rows["n"], rows["key"], null=rows["null"].astype(bool)))
+            out.append(_table(0, rows["doc"], rows["null"].astype(bool), y=rows["cls"], z=rows["grp"], nx=rows["n"], ny=rows["key"]))
         made = np.frombuffer(blobs[1], _POSTING)
-        order = np.lexsort((made["cls"], made["key"]))
-        made = made[order]
+        made = made[np.lexsort((made["grp"], made["key"]))]
         if len(made):
-            same = np.concatenate(([False], (made["key"][1:] == made["key"][:-1]) & (made["cls"][1:] == made["cls"][:-1])))
+            same = np.concatenate(([False], (made["key"][1:] == made["key"][:-1]) & (made["grp"][1:] == made["grp"][:-1])))
             made = made[~same]
             cuts = np.flatnonzero(np.concatenate(([True], made["key"][1:] != made["key"][:-1])))
             sizes = np.diff(np.append(cuts, len(made)))
@@ -128,17 +168,16 @@ def _meet(bits: int, percent: int):
                         a, b = made[at + i], made[at + j]
                         fit = 100 * np.minimum(a["n"], b["n"]).astype(np.int64) >= percent * np.maximum(a["n"], b["n"]).astype(np.int64)
                         pair = np.zeros(int(fit.sum()), _PAIR)
-                        pair["a"], pair["b"], pair["spare"] = a["cls"][fit], b["cls"][fit], np.minimum(a["spare"], b["spare"])[fit]
+                        pair["a"], pair["b"], pair["na"], pair["nb"], pair["spare"] = a["grp"][fit], b["grp"][fit], a["n"][fit], b["n"][fit], np.minimum(a["spare"], b["spare"])[fit]
                         found.append(pair)
             if found:
-                pairs = np.concatenate(found)
-                pairs, shared = np.unique(pairs, return_counts=True)
-                out.append(_table(1, np.ascontiguousarray(pairs["a"]), pairs["b"], shared, None, pairs["spare"]))
+                pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+                out.append(_table(1, pairs["a"], y=pairs["b"], z=shared, nx=pairs["na"], ny=pairs["nb"], spare=pairs["spare"]))
             wide = np.repeat(sizes, sizes)
             common, often = made[wide > RARE], wide[wide > RARE]
             if len(common):
                 bucket = np.uint64(key[0].as_py() << 32)
-                out.append(_table(2, (bucket | common["key"].astype(np.uint64)).view(np.int64), common["cls"], common["n"], often, common["spare"]))
+                out.append(_table(2, bucket | common["key"].astype(np.uint64), y=common["grp"], nx=common["n"], ny=often, spare=common["spare"]))
         return pa.concat_tables(out)
 
     return run
@@ -171,45 +210,38 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n_pairs: int
     need = dealt.select("chunk", F.explode(F.array("a", "b")).alias("cls")).distinct()
     need = need.join(_named(members), "cls").groupBy("cls", "d").agg(F.collect_set("chunk").alias("parts")).select("cls", "d.doc_id", "d.text_key", "parts")
     need = stash(need, "ngram-need")
-    texts = maybe_in(docs, "doc_id", need.select("doc_id")).join(need, ["doc_id", "text_key"])
+    texts = maybe_among(docs, F.col("doc_id"), need.select("doc_id")).filter("maybe").join(need, ["doc_id", "text_key"])
     sent = texts.select(F.explode("parts").alias("part"), "cls", "text")
     return dealt.groupBy("chunk").cogroup(sent.groupBy("part")).applyInPandas(_verify(percent), "a long, b long, shared long, union long")
 
 
-def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose column may be among `wanted` (one column of that name): a bitmap of fixed size, so it can be broadcast."""
-    slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
-    bits = wanted.select(slot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
-    with_slot = df.withColumn("_s", slot).withColumn("_w", F.expr("cast(_s div 64 as int)"))
-    return with_slot.join(F.broadcast(bits), "_w").filter("(_bits & shiftleft(1L, cast(_s % 64 as int))) <> 0").drop("_s", "_w", "_bits")
-
-
 def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels): members (doc_id, cls, n, text_key) has a row per document, links (a, b, shared, union) verified
-    pairs of classes that connect every component, and labels (cls, component_id) for classes with a link.
+    """(members, links, labels): members (doc_id, cls, grp, n, text_key) has a row per document, links (a, b, shared, union)
+    verified pairs of classes (equal shingle sets) that connect every component, and labels (cls, component_id) for classes
+    with a link.
     """
     given = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     n_docs = given.count()
     bits = min(22, max(7, int(n_docs * 200 // (1 << 18)).bit_length()))
-    posted = given.mapInArrow(_postings(bits, percent), "bucket int, kind byte, blob binary")
-    met = stash(posted.groupBy("bucket").applyInArrow(_meet(bits, percent), "kind int, x long, y long, nx long, ny long, spare int"), "ngram-met", ["kind"])
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(given))
+    posted = given.mapInArrow(_postings(bits, percent, sketch), "bucket int, kind byte, blob binary")
+    met = stash(posted.groupBy("bucket").applyInArrow(_meet(bits, percent), "kind int, x long, y long, z long, nx long, ny long, spare int"), "ngram-met", ["kind"])
 
-    members = met.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), F.col("nx").alias("n"), F.col("ny").alias("text_key"))
-    common = met.filter("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("nx").alias("n"), F.col("ny").alias("often"), "spare")
-    hits = stash(common.groupBy("cls").agg(F.count("*").alias("hits")), "ngram-hits")
-    rare = met.filter("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("nx").alias("shared"), F.min("spare").alias("spare"))
-    for side in ("a", "b"):
-        rare = rare.join(hits.select(F.col("cls").alias(side), F.col("hits").alias(f"hits_{side}")), side, "left")
-    rare = rare.filter("shared + least(coalesce(hits_a, 0L), coalesce(hits_b, 0L)) > spare").select("a", "b")
+    members = met.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), F.col("z").alias("grp"), F.col("nx").alias("n"), F.col("ny").alias("text_key"))
+    own = stash(members.filter("n > 0").select("grp", "cls").distinct(), "ngram-groups")
+    common = met.filter("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("grp"), F.col("nx").alias("n"), F.col("ny").alias("often"), "spare")
+    hits = stash(common.groupBy("grp").agg(F.count("*").alias("hits")), "ngram-hits")
+    pairs = _expanded(_group_pairs(met.filter("kind = 1"), hits, percent), own)
 
-    least_common = Window.partitionBy("cls").orderBy("often", "h")
-    dense = common.join(hits, "cls").filter("hits > spare").withColumn("rank", F.row_number().over(least_common))
-    used = stash(dense.filter("rank <= hits - spare").select("h", "cls", "often"), "ngram-common")
+    least_common = Window.partitionBy("grp").orderBy("often", "h")
+    dense = common.join(hits, "grp").filter("hits > spare").withColumn("rank", F.row_number().over(least_common))
+    dense = dense.filter("rank <= hits - spare").select("h", "grp", "often").join(own, "grp").select("h", "cls", "often")
+    used = stash(dense.unionByName(pairs[1]), "ngram-common")
 
     chained = _chain(used, 0)
     for r in range(1, ORDERS):
         chained = chained.unionByName(_chain(used, r))
-    first = stash(rare.unionByName(chained).distinct(), "ngram-first")
+    first = stash(pairs[0].unionByName(chained).distinct(), "ngram-first")
     linked = stash(verified(first, members, given, first.count(), percent), "ngram-linked")
     label = stash(components(linked.select("a", "b"), "ngram-label"), "ngram-label")
     rest = stash(_across(used, label, members, given, percent), "ngram-rest")
@@ -222,6 +254,33 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id",
     return members, linked, labels
 
 
+def _group_pairs(met: DataFrame, hits: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of groups that share enough of their prefixes; what holds for two groups holds for all their members."""
+    pairs = met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("shared"), F.min("spare").alias("spare"), F.max("nx").alias("na"), F.max("ny").alias("nb"))
+    for side in ("a", "b"):
+        pairs = pairs.join(hits.select(F.col("grp").alias(side), F.col("hits").alias(f"hits_{side}")), side, "left")
+    pairs = pairs.withColumn("most", F.col("shared") + F.least(F.coalesce("hits_a", F.lit(0)), F.coalesce("hits_b", F.lit(0))))
+    # Behind the prefix that ends first, only its own document's rest can still overlap.
+    rest = lambda n: F.expr(f"greatest(0, {n} - ({n} - ceil({percent} * {n} / 100) + 1 + {SLACK}))")
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    return pairs.filter((F.col("most") > F.col("spare")) & (F.col("most") + F.greatest(rest("na"), rest("nb")) >= needed)).select("a", "b")
+
+
+def _expanded(pairs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (a, b) of the pairs of groups, and of groups with themselves; of groups with over EXPAND classes
+    instead (h, cls, often): all classes of the pair under one number."""
+    sizes = stash(own.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1"), "ngram-multi")
+    both = pairs.unionByName(sizes.select(F.col("grp").alias("a"), F.col("grp").alias("b")))
+    for side in ("a", "b"):
+        both = both.join(sizes.select(F.col("grp").alias(side), F.col("k").alias(f"k_{side}")), side, "left")
+    both = both.select("a", "b", F.coalesce("k_a", F.lit(1)).alias("k_a"), F.coalesce("k_b", F.lit(1)).alias("k_b"))
+    few = both.filter(f"greatest(k_a, k_b) <= {EXPAND}")
+    x, y = own.select(F.col("grp").alias("a"), F.col("cls").alias("x")), own.select(F.col("grp").alias("b"), F.col("cls").alias("y"))
+    made = few.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    many = both.filter(f"greatest(k_a, k_b) > {EXPAND}").select(F.xxhash64("a", "b").alias("h"), F.explode(F.array_distinct(F.array("a", "b"))).alias("grp"), (F.col("k_a") + F.col("k_b")).alias("often"))
+    return made, many.join(own, "grp").select("h", "cls", "often")
+
+
 def _chain(used: DataFrame, r: int) -> DataFrame:
     """Neighbours among the classes of each common shingle, in an order of its own; 256 cells a shingle, then the cells' heads."""
     keyed = used.withColumn("o", F.xxhash64("cls", F.lit(r))).withColumn("cell", F.pmod("o", F.lit(256)))
@@ -259,28 +318,35 @@ def _meet_block(percent: int):
     return run
 
 
-def _across(used: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between classes that share one of their least common shingles and are in different components so far.
+def _places(used: DataFrame, label: DataFrame) -> DataFrame:
+    """(cls, c, block, at, guest): which blocks each class sits in or visits, for those that share one of their least common
+    shingles and are in different components (c) so far.
 
     The largest component of a shingle needn't meet itself: one side (the guest) is always outside it.
     """
-    own = used.join(label, used.cls == label.node, "left").select("h", "cls", "often", F.coalesce("label", "cls").alias("c"))
+    own = stash(used.join(label, used.cls == label.node, "left").select("h", "cls", "often", F.coalesce("label", "cls").alias("c")), "ngram-own")
     per = own.groupBy("h", "c").agg(F.count("*").alias("m"))
-    main = per.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    own = stash(own.join(main, "h").select("h", "cls", "often", "c", (F.col("c") != F.col("main")).alias("outside")), "ngram-own")
+    main = stash(per.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "ngram-main")
+    own = stash(join_hot(own, main, "h", "inner").select("h", "cls", "often", "c", (F.col("c") != F.col("main")).alias("outside")), "ngram-own")
     # A class sits with those that have the same most common shingle.
     seats = own.groupBy("cls").agg(F.min("c").alias("c"), F.max_by("h", F.struct("often", "h")).alias("home"), F.max("outside").alias("outside"))
     rooms = seats.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
     seats = stash(seats.join(rooms, "home").select("cls", "c", "outside", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "k")).alias("block")), "ngram-seats")
-    blocks = own.join(seats.select("cls", "block"), "cls").groupBy("h").agg(F.collect_set("block").alias("blocks"))
-    tours = own.filter("outside").select("h", "cls").join(blocks, "h").groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
-    guests = tours.select("cls", F.explode("blocks").alias("block")).join(seats.select("cls", "c"), "cls")
+    # A shingle's blocks are dealt to 16 tasks, and its guests come to each.
+    blocks = own.join(seats.select("cls", "block"), "cls").select("h", "block", F.pmod(F.xxhash64("block"), F.lit(16)).cast("int").alias("part")).distinct()
+    tours = own.filter("outside").select("h", "cls", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part")).join(blocks, ["h", "part"]).select("cls", "block").distinct()
+    guests = tours.join(seats.select("cls", "c"), "cls")
     tables = guests.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("tables"))
     guests = guests.join(tables, "block").select("cls", "c", "block", F.pmod(F.xxhash64("cls"), "tables").cast("int").alias("at"), F.lit(True).alias("guest"))
     hosts = seats.join(tables, "block").select("cls", "c", "block", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("at"), F.lit(False).alias("guest"))
-    places = guests.unionByName(hosts).groupBy("cls", "c").agg(F.collect_list(F.struct("block", "at", "guest")).alias("places"))
+    return guests.unionByName(hosts)
+
+
+def _across(used: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of different components, found block by block."""
+    places = _places(used, label).groupBy("cls", "c").agg(F.collect_list(F.struct("block", "at", "guest")).alias("places"))
     need = stash(places.join(_named(members), "cls").select("cls", "c", "places", "d.doc_id", "d.text_key"), "ngram-need")
-    texts = maybe_in(docs, "doc_id", need.select("doc_id")).join(need, ["doc_id", "text_key"])
+    texts = maybe_among(docs, F.col("doc_id"), need.select("doc_id")).filter("maybe").join(need, ["doc_id", "text_key"])
     rows = texts.select("cls", "c", "text", F.explode("places").alias("p")).select("cls", "c", "text", "p.block", "p.at", "p.guest")
     return rows.groupBy("block", "at").applyInPandas(_meet_block(percent), "a long, b long, shared long, union long").distinct()
 
@@ -303,15 +369,17 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, doc_col:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each group of linked documents: its smallest doc_id (of equal ones, the smallest text key).
 
-    Rows without words stay, and so do rows of null doc_id, which nothing could name.
+    Rows without words stay, and so do rows of null doc_id, which nothing could name. Only rows that may go are shuffled.
     """
     members, _, labels = ngram_join(docs, percent)
-    grouped = members.filter("n > 0 and doc_id is not null").join(labels, "cls", "left").withColumn("g", F.coalesce("component_id", "cls")).withColumn("linked", F.col("component_id").isNotNull())
-    first = grouped.groupBy("linked", "g").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
-    empty = members.filter("n = 0 and doc_id is not null").select("doc_id", "text_key").distinct()
-    keep = first.unionByName(empty).distinct().withColumn("_keep", F.lit(True)).alias("k")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
-    both = keyed.join(keep, F.expr("d.doc_id = k.doc_id and d._key = k.text_key"), "left").select("d.*", "k._keep")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_keep"))
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return both.withColumn("_nth", nth).filter("doc_id is null or _keep").filter(F.col("doc_id").isNull() | ~worded | (F.col("_nth") == 1)).drop("_key", "_keep", "_nth")
+    worded = members.filter("n > 0 and doc_id is not null")
+    grouped = worded.join(labels, "cls", "left").withColumn("g", F.coalesce("component_id", "cls")).withColumn("linked", F.col("component_id").isNotNull())
+    first = grouped.groupBy("linked", "g").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key", F.lit(True).alias("first"))
+    rows = worded.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).join(first, ["doc_id", "text_key"], "left")
+    concerned = stash(rows.filter("first is null or rows > 1").select("doc_id", "text_key", F.coalesce("first", F.lit(False)).alias("first")), "ngram-concerned")
+    own = as_rows(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("text_key"))
+    flagged = maybe_among(own, F.xxhash64("doc_id", "text_key"), concerned.select(F.xxhash64("doc_id", "text_key")))
+    left = flagged.filter("maybe").join(concerned, ["doc_id", "text_key"], "left")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("first"))
+    left = left.withColumn("nth", nth).filter("first is null or first and nth = 1")
+    return flagged.filter("not maybe").select("row.*").unionByName(left.select("row.*"))

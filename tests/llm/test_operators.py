@@ -234,3 +234,42 @@ def test_word_ids_equal_those_of_whole_texts():
     texts += [None, *("".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(5000))]
     for text, ids in zip((t or "" for t in texts), words.encode(pa.array(texts)).to_pylist(), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_templates_that_link_with_nothing_cost_little(spark, monkeypatch):
+    """Pages that share 60 % of their text: what is verified and shipped stays near their number."""
+    rng = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(60))
+    pages = [(i, template + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))) for i in range(3000)]
+    shipped = []
+    verified, places = ngram_join.verified, ngram_join._places
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (shipped.append(pairs.count()), verified(pairs, *rest))[1])
+    monkeypatch.setattr(ngram_join, "_places", lambda *given: (lambda p: (shipped.append(p.count()), p)[1])(places(*given)))
+    got = ngram_join.near_duplicate_components(spark.createDataFrame(pages, "doc_id long, text string").repartition(4))
+    assert got.filter("doc_id <> component_id").count() == 0 and got.count() == 3000
+    assert len(shipped) == 2 and sum(shipped) < 3000
+
+
+def test_groups_of_many_members(spark, monkeypatch):
+    """Different sets with identical prefix and size, in groups too large to be paired out, lose no link."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts_ = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 1, 2, 3])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts_.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "EXPAND", 2)
+    # One group for all sets of a size: expansion and verification alone must tell them apart.
+    monkeypatch.setattr(ngram_join, "_group_of", lambda prefix, n: n)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts_]
+    up = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(60):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+    got = ngram_join.near_duplicate_components(frame).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(up))
