@@ -1,19 +1,25 @@
 """Main text of HTML pages by tree scoring.
 
 A page's blocks (paragraphs and other runs of text between block borders) give points for length and commas to their
-ancestors, less with distance; a node's points are discounted by its link density. The node with most points is kept,
-or the article that it lies in, with those siblings that also look like text; inside, what is marked as menu, header,
-footer, sidebar, notice, advert, form or reader comment, and lists that are mostly links, is left out.
+ancestors, less with distance; a node's points are discounted by its link density. Blocks below an element whose class, id
+or role names a menu, header, footer, sidebar, notice, advert, form or comments give less. The node with most points is
+kept, or the article that it lies in; siblings that also look like text stay, and of several articles side by side those
+with at least SHARE of the longest one's text.
+
+Inside what is kept, an element with such a name goes if it isn't above the best node and holds less than SMALL of the
+page's text outside links; comments go whatever they hold. Of headers, the headings stay. Menus, footers, scripts and the
+like go by their tags, and so do lists that are mostly links.
 
 Null html, html without text, and pages without any text outside such parts give the empty text. Cut-off pages end
-where they end: an unfinished tag is dropped, an unfinished reference stays as it is. Nesting may be of any depth.
-Nothing is capped.
+where they end: an unfinished tag is dropped, an unfinished reference stays as it is. Nesting may be of any depth, and
+work is linear in the page. Nothing is capped. Repeated rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +32,7 @@ _MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe".split())
-DROPPED = frozenset("head script style noscript template iframe object svg canvas form button select textarea nav aside footer menu dialog".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas button select textarea nav aside footer menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -35,14 +41,22 @@ PARAGRAPHS = frozenset("p pre blockquote li td th dd dt figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A start tag closes an open one of these first, if no border tag is between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-# Words in class, id or role that mark what isn't the article. Fixed values.
+# Words in class, id or role that name what isn't the article: any such part, reader comments, headers. Fixed values.
 BAD = frozenset(
-    "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies "
-    "dialog disclaimer discussion disqus footer footnav gdpr header hidden login masthead menu menubar message modal nav navbar navigation newsletter notice notification "
-    "overlay pager pagination popup promo promoted promotion related remark replies reply respond search share sharing shoutbox sidebar signup skyscraper social "
+    "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies "
+    "dialog disclaimer footer footnav form gdpr hidden login menu menubar message modal nav navbar navigation newsletter notice notification "
+    "overlay pager pagination popup promo promoted promotion related remark search share sharing sidebar signup skyscraper social "
     "sponsor sponsored subscribe subscription toolbar topbar widget warning".split()
 )
+COMMENTS = frozenset("comment comments discussion disqus replies reply respond shoutbox".split())
+HEADERS = frozenset("header masthead".split())
 GOOD = frozenset("article body content entry main post story text".split())
+WORSE = 0.3
+SMALL = 0.4
+SHARE = 0.2
+# What may border or close another element; all else that is open between them is inline.
+_HOLDERS = BLOCKS | frozenset("button object select option".split())
+_STOPS = frozenset("div section article body main".split())
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -55,12 +69,14 @@ def _words(attributes: dict[str, str]) -> set[str]:
 
 
 class Tree:
-    """Nodes in order of their start tags; a subtree is a range of nodes. Blocks are [node, text, letters in links]."""
+    """Nodes in order of their start tags; a subtree is a range of nodes. Blocks are [node, text, letters in links].
+    `bad` says what a node's names make of it: "", "bad", "comments" or "header"."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped, self.good, self.end = ["#root"], [-1], [False], [False], []
+        self.tag, self.parent, self.dropped, self.bad, self.good = ["#root"], [-1], [False], [""], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        open_, run, links, in_link = [0], [], 0, 0
+        self.open, self.holders, self.count = [0], [0], Counter()
+        run, links = [], 0
         at, last = 0, len(source)
 
         def finish() -> None:
@@ -68,26 +84,19 @@ class Tree:
             if run:
                 text = _SPACE.sub(" ", html_lib.unescape("".join(run))).strip()
                 if text:
-                    node = next(n for n in reversed(open_) if self.tag[n] in BLOCKS or n == 0)
+                    node = next(n for n in reversed(self.holders) if self.tag[n] in BLOCKS or n == 0)
                     self.blocks.append((node, text, min(links, len(text))))
             run, links = [], 0
 
-        def pop() -> None:
-            nonlocal in_link
-            node = open_.pop()
-            ends[node] = len(self.tag)
-            in_link -= self.tag[node] == "a"
-
-        ends: dict[int, int] = {}
         while at < last:
             m = _TOKEN.match(source, at)
             at = m.end()
             name = m[2]
             if name is None:
                 if m[0][0] != "<" or m[0] == "<":
-                    if not self.dropped[open_[-1]]:
+                    if not self.dropped[self.open[-1]]:
                         run.append(m[0])
-                        links += len(m[0]) if in_link else 0
+                        links += len(m[0]) if self.count["a"] else 0
                 continue
             name = name.lower()
             if name in BLOCKS:
@@ -95,113 +104,164 @@ class Tree:
             elif name in ("br", "img"):
                 run.append(" ")
             if m[1]:
-                if any(self.tag[n] == name for n in reversed(open_)):
-                    while self.tag[open_[-1]] != name:
-                        pop()
-                    pop()
+                if self.count[name]:
+                    while self.tag[self.open[-1]] != name:
+                        self._pop()
+                    self._pop()
                 continue
             if name in BLOCKS:
-                self._close({"p"}, {"table", "button", "object"}, open_, pop)
+                self._close({"p"}, {"table", "button", "object"})
             if name in CLOSES:
-                self._close(*CLOSES[name], open_, pop)
+                self._close(*CLOSES[name])
             if name in VOID:
                 continue
             attributes = _attributes(m[3]) if m[3] else {}
-            above = open_[-1]
+            above = self.open[-1]
+            words = _words(attributes) if attributes else set()
+            self.dropped.append(self.dropped[above] or name in DROPPED or _is_hidden(name, attributes))
+            self.bad.append(_named(name, words))
+            self.good.append(not words.isdisjoint(GOOD))
             self.tag.append(name)
             self.parent.append(above)
-            self.dropped.append(self.dropped[above] or self._is_bad(name, attributes, open_))
-            self.good.append(bool(attributes) and not _words(attributes).isdisjoint(GOOD))
             if name in RAW:
                 found = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
                 at = found.start() if found else last
                 if name == "noscript" or name == "title":
                     self.dropped[-1] = True
-            in_link += name == "a"
-            open_.append(len(self.tag) - 1)
+            self.open.append(len(self.tag) - 1)
+            self.count[name] += 1
+            if name in _HOLDERS:
+                self.holders.append(len(self.tag) - 1)
         finish()
-        while open_:
-            pop()
-        self.end = [ends[n] for n in range(len(self.tag))]
 
-    def _close(self, names: set[str], borders: set[str], open_: list[int], pop) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            tag = self.tag[open_[k]]
+    def _pop(self) -> None:
+        node = self.open.pop()
+        self.count[self.tag[node]] -= 1
+        if self.holders[-1] == node:
+            self.holders.pop()
+
+    def _close(self, names: set[str], borders: set[str]) -> None:
+        if not any(self.count[n] for n in names):
+            return
+        for node in reversed(self.holders):
+            tag = self.tag[node]
             if tag in names:
-                while len(open_) > k:
-                    pop()
+                while self.open[-1] != node:
+                    self._pop()
+                self._pop()
                 return
-            if tag in borders or tag in ("div", "section", "article", "body", "main"):
+            if tag in borders or tag in _STOPS:
                 return
 
-    def _is_bad(self, name: str, attributes: dict[str, str], open_: list[int]) -> bool:
-        if name in DROPPED:
-            return True
-        if name == "header":  # one inside an article may hold its headings: those are decided below
-            return not any(self.tag[n] in ("article", "main") for n in open_)
-        if any(self.tag[n] == "header" for n in open_[-3:]) and name in BLOCKS and name not in HEADINGS and name not in ("div", "hgroup"):
-            return True
-        if not attributes or name in ("html", "body"):
-            return False
-        if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-            return True
-        bad = _words(attributes) & BAD
-        return bool(bad) and not (name in ("article", "main") and not bad & {"comment", "comments", "reply", "replies", "related", "promo", "sponsored", "ad"})
 
+def _is_hidden(name: str, attributes: dict[str, str]) -> bool:
+    if not attributes or name in ("html", "body"):
+        return False
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
 
-def main_text(source: str | None) -> str:
-    """The text of the article of a page; empty if there is none."""
-    if not source:
+
+def _named(name: str, words: set[str]) -> str:
+    if name in ("html", "body"):
         return ""
-    tree = Tree(source)
-    size = len(tree.tag)
-    letters, linked, points = [0] * size, [0] * size, [0.0] * size
+    if words & COMMENTS:
+        return "comments"
+    if name in ("article", "main"):
+        return "bad" if words & {"related", "promo", "sponsored", "ad"} else ""
+    if name == "header" or words & HEADERS:
+        return "header"
+    return "bad" if name == "form" or words & BAD else ""
+
+
+def node_points(tree: Tree) -> list[float]:
+    """Points that each node gets from the blocks in it."""
+    points, below = [0.0] * len(tree.tag), [0] * len(tree.tag)
+    for n in range(1, len(tree.tag)):
+        below[n] = below[tree.parent[n]] + bool(tree.bad[n])
     for node, text, links in tree.blocks:
-        if tree.dropped[node]:
-            continue
-        letters[node] += len(text)
-        linked[node] += links
         tag = tree.tag[node]
-        if tag in HEADINGS:
+        if tree.dropped[node] or tag in HEADINGS:
             continue
         worth = 1 + text.count(",") + text.count("،") + text.count("、") + text.count("，") + min(len(text) / 100, 3) if len(text) >= 25 else 0.2
-        worth *= 1 - links / len(text)
+        worth *= (1 - links / len(text)) * WORSE ** min(2, below[node])
         above, share = (tree.parent[node] if tag in PARAGRAPHS else node), 1.0
         for level in range(5):
             if above < 0:
                 break
             points[above] += worth * share
             above, share = tree.parent[above], 1 / (2 if level == 0 else 3 * (level + 1))
-    for n in range(size - 1, 0, -1):
-        letters[tree.parent[n]] += letters[n]
-        linked[tree.parent[n]] += linked[n]
-    density = lambda n: linked[n] / letters[n] if letters[n] else 0.0
+    return points
 
-    def score(n: int) -> float:
-        if points[n] <= 0 or tree.dropped[n]:
-            return 0.0
-        return (points[n] + (5 if tree.tag[n] in ("article", "main") else 0) + (2 if tree.good[n] else 0)) * (1 - density(n))
 
-    scores = [score(n) for n in range(size)]
+def main_text(source: str | None) -> str:
+    """The text of the article of a page; empty if there is none."""
+    if not source:
+        return ""
+    tree = Tree(source)
+    size, tag, parent = len(tree.tag), tree.tag, tree.parent
+    letters, linked, points = [0] * size, [0] * size, node_points(tree)
+    for node, text, links in tree.blocks:
+        if not tree.dropped[node]:
+            letters[node] += len(text)
+            linked[node] += links
+    for n in range(size - 1, 0, -1):
+        letters[parent[n]] += letters[n]
+        linked[parent[n]] += linked[n]
+    density = [linked[n] / letters[n] if letters[n] else 0.0 for n in range(size)]
+    plain = [letters[n] - linked[n] for n in range(size)]
+    scores = [
+        0.0 if points[n] <= 0 or tree.dropped[n] else (points[n] + (5 if tag[n] in ("article", "main") else 0) + (2 if tree.good[n] else 0)) * (1 - density[n])
+        for n in range(size)
+    ]
     best = max(range(size), key=lambda n: (scores[n], -n))
     if scores[best] <= 0:
         best = 0
-    above = best
-    while above > 0 and tree.tag[above] != "article":
-        above = tree.parent[above]
-    kept = [above] if above > 0 else [best]
-    if above <= 0 and best > 0:
-        for n in range(tree.parent[best] + 1, tree.end[tree.parent[best]]):
-            if n != best and tree.parent[n] == tree.parent[best] and not tree.dropped[n] and letters[n]:
-                text_like = tree.tag[n] in PARAGRAPHS and letters[n] > 80 and density(n) < 0.25
-                if text_like or scores[n] >= max(4.0, 0.2 * scores[best]) or tree.tag[n] == "h1" and density(n) < 0.5:
-                    kept.append(n)
-    skip = [False] * size
+    line, n = set(), best
+    while n >= 0:
+        line.add(n)
+        n = parent[n]
+    # What goes: dropped elements, and those with a bad name that aren't above the best node.
+    gone, header = [False] * size, [False] * size
+    for n in range(1, size):
+        bad = tree.bad[n] if n not in line else ""
+        gone[n] = gone[parent[n]] or tree.dropped[n] or bad == "comments" or bad == "bad" and plain[n] < SMALL * plain[0]
+        header[n] = header[parent[n]] or bad == "header"
+    kept = _kept(tree, best, scores, letters, plain, density, gone)
+    whole = tag[min(kept)] in ("#root", "html", "body")
+    inside, skip = [False] * size, [False] * size
+    inside[0] = 0 in kept
     for n in range(1, size):
-        menu = tree.tag[n] in ("ul", "ol", "dl", "table", "div", "section", "p") and letters[n] and density(n) > 0.6 and n not in kept and linked[n] > 0
-        skip[n] = skip[tree.parent[n]] or tree.dropped[n] or bool(menu and (tree.tag[n] != "p" or density(n) > 0.9))
-    inside = lambda n: any(k <= n < tree.end[k] for k in kept)
-    return "\n".join(text for node, text, _ in tree.blocks if not skip[node] and not tree.dropped[node] and inside(node))
+        inside[n] = inside[parent[n]] or n in kept
+        menu = tag[n] in ("ul", "ol", "dl", "table", "div", "section", "p") and linked[n] > 0 and density[n] > (0.9 if tag[n] == "p" else 0.6) and n not in kept
+        skip[n] = skip[parent[n]] or gone[n] or menu
+    fits = lambda n: inside[n] and not skip[n] and (not header[n] or tag[n] in HEADINGS and not whole)
+    return "\n".join(text for node, text, _ in tree.blocks if fits(node))
+
+
+def _kept(tree: Tree, best: int, scores: list[float], letters: list[int], plain: list[int], density: list[float], gone: list[bool]) -> set[int]:
+    """The best node or its article, with those beside it that also are text."""
+    tag, parent, size = tree.tag, tree.parent, len(tree.tag)
+    above = best
+    while above > 0 and tag[above] != "article":
+        above = parent[above]
+    if above > 0:
+        beside = [n for n in range(1, size) if tag[n] == "article" and parent[n] == parent[above] and not gone[n] and density[n] < 0.5]
+        least = SHARE * max(plain[n] for n in [above, *beside])
+        return {above, *(n for n in beside if plain[n] >= least)}
+    kept = {best}
+    articles = [n for n in range(best + 1, size) if tag[n] == "article" and not gone[n] and letters[n]] if best else []
+    if best and best in {parent[n] for n in articles}:
+        own = [n for n in articles if parent[n] == best]
+        least = SHARE * max(plain[n] for n in own)
+        for n in own:
+            gone[n] = gone[n] or plain[n] < least
+        for n in range(best + 1, size):
+            gone[n] = gone[n] or gone[parent[n]]
+    for n in range(parent[best] + 1, size) if best else ():
+        if parent[n] == parent[best] and n != best and not gone[n] and letters[n]:
+            text_like = tag[n] in PARAGRAPHS and letters[n] > 80 and density[n] < 0.25
+            if text_like or scores[n] >= max(4.0, 0.2 * scores[best]) or tag[n] == "h1" and density[n] < 0.5:
+                kept.add(n)
+    return kept
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
