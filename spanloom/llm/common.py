@@ -55,6 +55,11 @@ def as_rows(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast in a join if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def maybe_among(df: DataFrame, key: Column, wanted: DataFrame, out: str = "maybe") -> DataFrame:
     """df with a flag: false where `key` is for certain not in `wanted` (one column), true where it is or may be.
 
@@ -68,13 +73,14 @@ def maybe_among(df: DataFrame, key: Column, wanted: DataFrame, out: str = "maybe
     return joined.withColumn(out, F.coalesce(F.col("_bits").bitwiseAND(bit("_s")) != 0, F.lit(False))).drop("_s", "_w", "_bits")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """left joined to right, which has each key once, when a key may have a large share of left's rows.
 
     Keys with more than a `share`-th of all rows (and of ROWS) are hot: there are at most `share`, so their list can be
-    broadcast. Their rows go to several tasks by a hash of all columns, and right's row to each of these.
+    broadcast. Their rows go to several tasks by a hash of all columns, and right's row to each of these. `counts` (key, _n)
+    may say how many rows left has.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts
     total = counts.agg(F.sum("_n")).first()[0] or 0
     most = max(ROWS, total // share)
     hot = counts.filter(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, as_rows, join_hot, maybe_among, stash
+from .common import WORD_BREAK, as_rows, join_hot, maybe_among, small, stash
 from .wordhash import mix
 
 ORDER = 5
@@ -120,7 +120,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
         discount = lambda i: F.when((F.col(f"c{i}") > 0) & (F.col("c1") > 0), F.greatest(F.lit(0.1 * i), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"c{i + 1}") / F.col(f"c{i}")))).otherwise(0.5 * i)
         of = of.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
         take = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.join(F.broadcast(of), "lang").withColumn("take", F.least(take, F.col("a") - 0.05)).withColumn("h", F.expr("left(gram, length(gram) - 1)"))
+        own = own.join(small(of), "lang").withColumn("take", F.least(take, F.col("a") - 0.05)).withColumn("h", F.expr("left(gram, length(gram) - 1)"))
         context = own.groupBy("lang", "h").agg((F.sum("take") / F.sum("a")).alias("gamma"), F.sum("a").alias("total"))
         own = own.join(context, ["lang", "h"]).select("lang", "gram", ((F.col("a") - F.col("take")) / F.col("total")).alias("own"), "gamma")
         if n == 1:
@@ -325,21 +325,16 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float =
     scores = document_scores(keyed, model, order, most)
     slim = stash(scores.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left"), "kn-scores")
     mean = slim.filter("trusted and letters > 0").groupBy("model").agg((F.sum("logp") / F.sum("letters")).alias("mean"))
-    slim = slim.join(mean, "model", "left") if _many(mean) else slim.join(F.broadcast(mean), "model", "left")
+    slim = slim.join(small(mean), "model", "left")
     slim = slim.withColumn("perplexity", F.exp(-(F.col("logp") + WEIGHT * F.col("mean")) / (F.col("letters") + WEIGHT)))
     at = F.array(F.lit(0.5), F.lit(keep))
     unseen = F.percentile_approx(F.when(held_out, F.col("perplexity")), at, 10_000)
     limit = slim.filter("trusted and letters > 0").groupBy("model").agg(F.coalesce(unseen, F.percentile_approx("perplexity", at, 10_000)).alias("q"))
     limit = limit.select("model", (F.col("q")[0] * (F.col("q")[1] / F.col("q")[0]) ** REACH).alias("threshold"))
-    judged = slim.join(limit, "model", "left") if _many(limit) else slim.join(F.broadcast(limit), "model", "left")
+    judged = slim.join(small(limit), "model", "left")
     return judged.select("doc_id", "text_key", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
-def _many(per_language: DataFrame) -> bool:
-    """Whether a table of one row per language is too large to be broadcast."""
-    return per_language.count() > 100_000
-
-
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that judge() keeps, with their columns. Only rows that may be among the rejected are shuffled."""
     dropped = stash(judge(docs, labels, **options).filter("not kept").select("doc_id", "text_key").distinct(), "kn-dropped")

@@ -7,8 +7,9 @@ filters are one Bloom filter, bit-sliced: a slot holds a mask with one bit per l
 gives all languages that contain it. A document's hits per language, corrected for the share of false positives that
 the language's filled slots give, decide; ties go to the first language by name.
 
-Documents without a letter, and null, are `und` with score 0. Training skips null text and null language. With nothing
-to learn from, every document is `und`. Up to 63 languages a slice of masks; more take more slices.
+Documents without a letter (Unicode category L), and null, are `und` with score 0. Training skips null text and null
+language. With nothing to learn from, every document is `und`. Repeated rows get equal predictions; other columns are passed
+on by predict() under their names. Up to 63 languages a slice of masks; more take more slices.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stash
 from .wordhash import mix
 
 RARE = 100_000
@@ -35,6 +37,12 @@ UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_in(text: str) -> list[str]:
+    """Lower-case runs of letters. Numerals such as ½ or Ⅷ look like letters to the pattern, so those without any go."""
+    words = LETTERS.findall(text.lower())
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-grams of lower-case words and of the words as such, and the word that each belongs to."""
     marked = [f"^{w}$" for w in words]
@@ -85,7 +93,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                    words.setdefault(lang, Counter()).update(words_in(text))
                 if sum(map(len, words.values())) > KNOWN:
                     yield from rows()
         yield from rows()
@@ -119,20 +127,19 @@ class Filters:
 
 def train(labelled: DataFrame) -> Filters:
     """Only slots come to the driver: 1 << SLOT_BITS at most for each 63 languages."""
-    counts = gram_counts(labelled).persist()
+    counts = stash(gram_counts(labelled), "lang-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r.lang for r in totals.select("lang").collect())
     masks = np.zeros((max(1, -(-len(langs) // 63)), 1 << SLOT_BITS), np.uint64)
     if langs:
-        shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).filter(f"share >= {1 / RARE}")
+        shares = counts.join(small(totals), "lang").withColumn("share", F.col("n") / F.col("total")).filter(f"share >= {1 / RARE}")
         most = shares.groupBy("gram").agg(F.max("share").alias("most"))
         table = counts.sparkSession.createDataFrame([(name, i) for i, name in enumerate(langs)], "lang string, place int")
-        kept = shares.join(most, "gram").filter(f"share * {OTHERS} >= most").join(F.broadcast(table), "lang")
+        kept = shares.join(most, "gram").filter(f"share * {OTHERS} >= most").join(small(table), "lang")
         slots = F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * j).bitwiseAND((1 << SLOT_BITS) - 1).cast("int") for j in range(HASHES)])
         rows = kept.select(F.explode(slots).alias("slot"), F.expr("place div 63").alias("slice"), F.expr("shiftleft(1L, place % 63)").alias("mask"))
         made = rows.groupBy("slice", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
         masks[made["slice"].to_numpy(), made["slot"].to_numpy()] = made["mask"].to_numpy().view(np.uint64)
-    counts.unpersist()
     return Filters(langs, masks)
 
 
@@ -148,7 +155,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         for whole in batches:
             langs, scores = [], []
             for at in range(0, whole.num_rows, 512):
-                texts = [LETTERS.findall((t or "").lower()) for t in whole.column("text").slice(at, 512).to_pylist()]
+                texts = [words_in(t or "") for t in whole.column("text").slice(at, 512).to_pylist()]
                 new = list({w for words in texts for w in words}.difference(known))
                 if len(known) + len(new) > KNOWN:
                     known.clear()
