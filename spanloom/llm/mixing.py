@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Words of a source, document after document in a pseudorandom order, form a line that is cut to blocks of `block` words.
+Words of a source, document after document in a pseudorandom order, form a line that is cut to blocks of `block` words (of
+fewer in a source with less than PIECES blocks, so that small sources meet their targets too).
 The mix is a list of slots, dealt to output shards. Every shard draws how many of its slots each source gets (a
 multinomial); slots that a source has beyond its quota go to sources that fell short, so totals meet the targets and no
 source passes `most` times its size. The k-th slot of a source takes, in epoch k // blocks, the block that a keyed
@@ -9,7 +10,8 @@ than its blocks' epochs. Slots and blocks are then joined by block number.
 
 Only tables with one row per source come to the driver. Running sums are in two levels (see prefix_sum), so a source
 with a third of all rows is spread over many tasks. Null text has no words; documents without words take part with 0.
-Null is a source like any other, the last one.
+Null is a source like any other, the last one. Repeated rows have places of their own on the line. Columns of the documents
+may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_words_of, prefix_sum, stash
+from .common import as_rows, n_words_of, prefix_sum, small, stash
 from .wordhash import mix
 
 BLOCK = 128
 SHARD = 4096
 MOST = 3
+PIECES = 64
 SEED = 20260101
 
 
@@ -66,7 +69,12 @@ def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def layout(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_of(size: int, block: int = BLOCK) -> int:
+    """How many words a block of a source of this size has."""
+    return max(1, min(block, size // PIECES))
+
+
+def layout(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, source, size, start): where each document's words begin on its source's line."""
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"))
     slim = stash(slim, "mix-sizes")
@@ -76,7 +84,7 @@ def layout(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def slots(spark: SparkSession, sizes: list[tuple[str | None, int]], want: dict[str | None, float], block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(shard, s, block_index): the mix. s is the place of the source in `sizes`."""
-    n_blocks = np.array([-(-n // block) for _, n in sizes], dtype=np.int64)
+    n_blocks = np.array([-(-n // block_of(n, block)) for _, n in sizes], dtype=np.int64)
     quota = np.array([min(MOST * b, round(want[s] * b / n)) if n else 0 for (s, n), b in zip(sizes, n_blocks, strict=True)], dtype=np.int64)
     total = int(quota.sum())
     n_shards = max(1, math.ceil(total / SHARD))
@@ -123,17 +131,15 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, weights: list[float] | None
     of a document in a block (by source, start, block_index; words lo to hi of the document) how many `times` the mix has it.
     """
     spark = docs.sparkSession
-    line = layout(docs, block)
+    line = layout(docs)
     sizes = sorted(((r.source, r.n) for r in line.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     want = targets(sizes, weights, most)
-    place = lambda name, values, kind: F.array(*[F.lit(v) for v in values])[F.col("s")].cast(kind).alias(name) if values else F.lit(None).cast(kind).alias(name)
-    table = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sizes)], "s int, name string")
-    line = line.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    line = line.select("*", place("source_size", [n for _, n in sizes], "long"), place("target", [want[s] for s, _ in sizes], "double"))
+    table = spark.createDataFrame([(i, s, n, float(want[s]), block_of(n, block)) for i, (s, n) in enumerate(sizes)], "s int, name string, source_size long, target double, width int")
+    line = line.join(small(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
     times = slots(spark, sizes, want, block, seed).groupBy("s", "block_index").agg(F.count("*").alias("times"))
-    own = line.filter("size > 0").select("s", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block_index"))
-    span = own.withColumn("lo", F.greatest(F.expr(f"block_index * {block}"), "start") - F.col("start")).withColumn("hi", F.least(F.expr(f"(block_index + 1) * {block}"), F.col("start") + F.col("size")) - F.col("start"))
+    own = line.filter("size > 0").select("s", "start", "size", "width", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")).alias("block_index"))
+    span = own.withColumn("lo", F.greatest(F.expr("block_index * width"), "start") - F.col("start")).withColumn("hi", F.least(F.expr("(block_index + 1) * width"), F.col("start") + F.col("size")) - F.col("start"))
     pieces = span.join(times, ["s", "block_index"]).select("s", "start", "block_index", "lo", "hi", "times")
     return line, pieces
 
@@ -156,14 +162,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     line = line.filter("size > 0").join(runs, ["s", "start"]).select("doc_id", "text_key", F.col("source").alias("_source"), F.col("size").alias("_size"), "_runs", "start")
     keys = ["doc_id", "text_key", "_source"]
     nth = lambda df, by: df.withColumn("_nth", F.row_number().over(_window(keys, by)))
-    own = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_source", F.col("source").cast("string"))
+    own = as_rows(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("text_key"), F.col("row.source").cast("string").alias("_source"))
     own = nth(own, "text_key").alias("d")
     taken = nth(line, "start").alias("t")
     same = F.col("d._nth") == F.col("t._nth")
     for k in keys:
         same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}"))
-    both = own.join(taken, same).select("d.*", "t._runs", "t._size").drop("text_key", "_source", "_nth")
     names = docs.columns
+    held = "_".join(["_mix", *names])  # a name that no column has
+    both = own.join(taken, same).select(F.struct("_runs", "_size").alias(held), "row.*")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
@@ -171,8 +178,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             at, texts = [], []
-            for i, (text, runs, size) in enumerate(zip(batch["text"], batch["_runs"], batch["_size"], strict=True)):
-                ends = None
+            for i, (text, mix_) in enumerate(zip(batch["text"], batch[held], strict=True)):
+                ends, runs, size = None, mix_["_runs"], mix_["_size"]
                 for copy in range(max(r["times"] for r in runs)):
                     spans: list[list[int]] = []
                     for r in runs:

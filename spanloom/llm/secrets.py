@@ -9,7 +9,8 @@ most `scope` code points apart. The interval join deals parts to cells of that w
 neighbouring cells, each reduced to its first and last part per role, so a text with many parts makes no pairs.
 A weak secret that overlaps a base span is that span and is dropped.
 
-Null text counts as empty and has no span. Equal rows get equal results. A null doc_id is kept as it is.
+Null text counts as empty and has no span. Equal rows get equal results. A null doc_id is kept as it is. Other columns are
+passed on by redact_secrets() whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import as_rows, stash
 
 SCOPE = 400
 
@@ -123,9 +124,9 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]")
     other columns stay, n_chars follows the text. Identifiers and endpoints that are linked go too."""
     spans = link_parts(stash(secret_parts(docs), "secret-parts"), scope).select("doc_id", "text_key", "start", "end")
     cut = spans.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    d = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    d = as_rows(docs).select("row", F.col("row.text").alias("text"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("_key")).alias("d")
     c = cut.withColumnRenamed("doc_id", "_doc").alias("c")
-    both = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c._doc")) & (F.col("d._key") == F.col("c.text_key")), "left")
+    both = d.join(c, F.col("d.row.doc_id").eqNullSafe(F.col("c._doc")) & (F.col("d._key") == F.col("c.text_key")), "left")
     # Text from the end of the spans so far to the start of the next; overlapping spans merge as the end only grows.
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -137,7 +138,7 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]")
 
     whole = F.aggregate(F.col("_cut"), empty, step, lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     clean = both.withColumn("_new", F.when(F.col("_cut").isNotNull(), whole).otherwise(F.col("text")))
-    names = {n: F.col(n) for n in docs.columns} | {"text": F.col("_new")}
+    names = {n: F.col("row")[n] for n in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in names:
-        names["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))
+        names["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_new").cast("long")).otherwise(names["n_chars"])
     return clean.select(*[c.alias(n) for n, c in names.items()])
