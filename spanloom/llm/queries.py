@@ -59,7 +59,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_personal_data(read(spark, sf_dir, "documents"))
+    """The key is the session's setting spanloom.surrogates.key; without one, results are for show only."""
+    key = spark.conf.get("spanloom.surrogates.key", None)
+    return surrogates.replace_personal_data(read(spark, sf_dir, "documents"), key.encode() if key else surrogates.KEY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
