@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ import pytest
 from spanloom.llm import html_extract, kneser_ney, langid, mixing, ngram_join, order_minhash, packing, secrets, surrogates, weak_rules
 from spanloom.llm.queries import tokenizer_path
 
+LETTERS = string.ascii_lowercase
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
@@ -105,6 +108,35 @@ def test_weak_rules(docs, rows, empty):
     assert weak_rules.judge(empty).count() == 0
 
 
+def test_weak_rules_fit():
+    """The estimate over vote patterns is that over single documents, finds planted accuracies, and turns majorities."""
+    rng = random.Random(7)
+    ways, n = [(0, 1), (2, 3, 4)], 5
+    common, good = [0.8, 0.12, 0.08], [[0.98, 0.97, 0.99, 0.9, 0.97], [0.1, 0.15, 0.95, 0.9, 0.97], [0.95, 0.96, 0.1, 0.3, 0.2]]
+    docs_ = []
+    for _ in range(60_000):
+        c = rng.choices(range(3), common)[0]
+        docs_.append(tuple((int(rng.random() < good[c][i]) if rng.random() < 0.9 else None) for i in range(n)))
+    fitted = weak_rules.fit(list(collections.Counter(docs_).items()), ways, n)
+    assert np.allclose(fitted[0], common, atol=0.03) and np.allclose(fitted[1], good, atol=0.1)
+    # Plain expectation-maximisation, a document at a time, with arrays.
+    first = [np.array(x) for x in weak_rules.start(ways, n)]
+    v = np.array([[np.nan if x is None else x for x in d] for d in docs_[:500]])
+    p, q = first
+    for _ in range(30):
+        logs = np.log(p) + np.stack([np.nansum(np.log(np.where(v == 1, row, 1 - row)) * ~np.isnan(v), axis=1) for row in q], axis=1)
+        r = np.exp(logs - logs.max(axis=1, keepdims=True))
+        r /= r.sum(axis=1, keepdims=True)
+        said, voted = r.T @ np.nan_to_num(v), r.T @ (~np.isnan(v)).astype(float)
+        p, q = (r.sum(axis=0) + 10 * first[0]) / (len(v) + 10), np.clip((said + 10 * first[1]) / (voted + 10), 0.0001, 0.9999)
+        for c, own in enumerate(ways):
+            q[c + 1, own] = np.minimum(q[c + 1, own], q[0, own])
+    short = weak_rules.fit(list(collections.Counter(docs_[:500]).items()), ways, n, rounds=30)
+    assert np.allclose(short[0], p) and np.allclose(short[1], q)
+    # Two bad votes of a way outweigh three good ones; one bad vote of a rule that blames good documents often doesn't count.
+    assert weak_rules.shares(fitted, (0, 0, 1, 1, 1))[0] < 0.5 < weak_rules.shares(fitted, (1, 1, 1, 0, 1))[0]
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.taken_words(docs, block=16).collect()
     assert sorted((r.doc_id, r["size"]) for r in got) == sorted((i, len(WORD.findall(t or ""))) for i, t, *_ in rows)
@@ -175,7 +207,7 @@ def test_language_filters(spark, empty):
     filters = langid.train(frame.filter("doc_id < 40"))
     got = langid.predict(frame.filter("doc_id >= 40"), filters).collect()
     assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") and 0 < r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "½ ² Ⅷ ①")], "doc_id long, text string")
     assert {r.lang_pred for r in langid.predict(odd, filters).collect()} == {"und"}
     assert langid.train(empty).langs == []
 
@@ -208,6 +240,52 @@ def test_html():
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+PARA = "<p>" + "Some long paragraph of text, with commas, and more words than a menu has, so it counts. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "layout-with-nav", "post no-comments", "entry-content post-message", "post-header-wrap", "container share-enabled"])
+def test_html_wrappers_with_bad_names(name):
+    page = f"<html><body><div class='{name}'>{PARA * 5}<div class='comments'><p>I say, this, and that.</p></div></div></body></html>"
+    assert html_extract.main_text(page).count("\n") == 4 and "I say" not in html_extract.main_text(page)
+
+
+def test_html_headings_articles_and_depth():
+    page = f"<body><header><h1>Site</h1></header><article><div class='post-header'><h1>Title</h1><p>by me</p></div>{PARA}</article></body>"
+    assert html_extract.main_text(page).startswith("Title\nSome long")
+    for n in (1, 2, 3, 4):
+        page = "<body><div>" + f"<article>{PARA}</article>" * n + "<article><p>teaser</p></article></div></body>"
+        assert html_extract.main_text(page).count("Some long") == 3 * n and "teaser" not in html_extract.main_text(page)
+    began = time.process_time()
+    assert html_extract.main_text("<b>x" * 20_000 + "<div>" + "<i>" * 20_000 + "deep").endswith("deep") and time.process_time() - began < 5
+
+
+def test_html_scores_are_those_of_a_plain_scorer():
+    """On generated trees: points by recursion over nested lists instead of ranges of nodes."""
+    rng = random.Random(8)
+
+    def grow(depth):
+        return [grow(depth + 1) if depth < 4 and rng.random() < 0.5 else "word, " * rng.randint(0, 40) + "end" for _ in range(rng.randint(1, 4))]
+
+    def worth(t):
+        return 1 + t.count(",") + min(len(t) / 100, 3) if len(t) >= 25 else 0.2
+
+    def points(node, level=0):
+        own = sum(worth(x) for x in node if isinstance(x, str)) * (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)[level]
+        return own + sum(points(x, level + 1) for x in node if not isinstance(x, str) and level < 4)
+
+    def write(node):
+        return "<div>" + "".join(f"<p>{x}</p>" if isinstance(x, str) else write(x) for x in node) + "</div>"
+
+    def all_of(node):
+        return [points(node), *(p for x in node if not isinstance(x, str) for p in all_of(x))]
+
+    for _ in range(50):
+        made = grow(0)
+        tree = html_extract.Tree(write(made))
+        got = [p for p, tag in zip(html_extract.node_points(tree), tree.tag, strict=True) if tag == "div"]
+        assert np.allclose(got, all_of(made))
+
+
 def test_surrogates(spark, docs, rows, empty):
     made = [(1, "write a.b@x.org or A.B@X.ORG, call +1 (017) 555-7713, card 4111111111111111, at 10.1.2.3"), (2, "a.b@x.org again, not c.d@x.org"), (3, None), (4, "Mr John Smith met Mrs Smith")]
     got = {r.doc_id: r for r in surrogates.replace_personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
@@ -221,9 +299,35 @@ def test_surrogates(spark, docs, rows, empty):
 
 
 def test_surrogates_that_collide(spark):
-    numbers = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, form string")
-    got = surrogates.entity_table(numbers).collect()
-    assert len({r.made for r in got}) == 300 and not {r.made for r in got} & {r.form for r in got}
+    """Short formats and lists that run out: surrogates grow, all differ once rendered, and none is a real entity."""
+    made = [("ssn", f"{i:03d}") for i in range(300)]
+    made += [("email", f"{a}@{b}.{c}") for a in LETTERS for b in LETTERS for c in ("com", "org", "net", "de", "fr", "es", "it", "nl")][:5000]
+    made += [("phone", f"+49{i:07d}") for i in range(20_000)]
+    made += [("given-f-latin", f"name{i}") for i in range(100_000)]
+    rows = spark.createDataFrame(made, "kind string, form string").repartition(8)
+    got = surrogates.entity_table(rows).collect()
+    assert len(got) == len(made)
+    shown = {(r.kind, surrogates.render(r.form.title() if "-" in r.kind else f"+49 {r.form[3:6]} {r.form[6:]}" if r.kind == "phone" else r.form, r.kind, r.made).casefold()) for r in got}
+    assert len(shown) == len(made) and not {(r.kind, r.made) for r in got} & set(made)
+    assert all(r.made.startswith("+49") for r in got if r.kind == "phone")
+    assert len(surrogates.surrogate(b"k", "ssn", "003", surrogates.ROUNDS)) == 3 + surrogates.LAST
+
+
+def test_names_found_in_labelled_sentences():
+    """What is found of persons, and what is wrongly taken for one, on sentences labelled by hand."""
+    labelled = [("My name is Priya Patel, hello.", 2), ("Dear Wei Zhang,", 2), ("Author: Kwame Mensah", 2), ("Mr Obi called.", 1), ("Julia Roth wrote to Frau Meier.", 3), ("Ольга Петрова пришла.", 2),
+                ("Signed by Ingrid Olsen. Later Olsen left.", 3), ("Herr Peter Schmidt", 2), ("Amara Okafor came by.", 2), ("Contact: José Ruiz Soler", 3),
+                ("The House of Commons met.", 0), ("Dear customer, hello", 0), ("New York is large.", 0), ("On 2024-01-15 1234 5678 came", 0), ("a total of 123.456.789 items", 0), ("Anna alone", 0), ("15.03.2024 123 4567", 0)]
+    persons = [len([x for x in surrogates.find(t) if x[2].startswith(("given", "family"))]) for t, _ in labelled]
+    right, wanted = sum(min(p, n) for p, (_, n) in zip(persons, labelled, strict=True)), sum(n for _, n in labelled)
+    assert right / wanted >= 0.9 and all(p <= n for p, (_, n) in zip(persons, labelled, strict=True))
+    assert not [x for t, n in labelled if not n for x in surrogates.find(t)]
+
+
+def test_finding_is_linear():
+    text = " ".join(f"a{i}@b.com" for i in range(20_000))
+    began = time.process_time()
+    assert len(surrogates.find(text)) == 20_000 and time.process_time() - began < 5
 
 
 def test_word_ids_equal_those_of_whole_texts():
