@@ -361,7 +361,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, doc_col:
     members, _, labels = ngram_join(docs, percent, doc_col, text_col)
     lowest = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("lowest"))
     known = lowest.join(labels, "cls", "left").select("cls", F.coalesce("component_id", "lowest").alias("component_id"))
-    found = members.filter("n > 0").join(known, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = join_hot(members.filter("n > 0"), known, "cls", "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
@@ -373,7 +373,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     members, _, labels = ngram_join(docs, percent)
     worded = members.filter("n > 0 and doc_id is not null")
-    grouped = worded.join(labels, "cls", "left").withColumn("g", F.coalesce("component_id", "cls")).withColumn("linked", F.col("component_id").isNotNull())
+    grouped = join_hot(worded, labels, "cls").withColumn("g", F.coalesce("component_id", "cls")).withColumn("linked", F.col("component_id").isNotNull())
     first = grouped.groupBy("linked", "g").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key", F.lit(True).alias("first"))
     rows = worded.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).join(first, ["doc_id", "text_key"], "left")
     concerned = stash(rows.filter("first is null or rows > 1").select("doc_id", "text_key", F.coalesce("first", F.lit(False)).alias("first")), "ngram-concerned")
