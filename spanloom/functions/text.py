@@ -1,31 +1,78 @@
-"""Column functions on text: matches with their offsets, hashes, budgets. All run inside the JVM."""
+"""Functions on text: matches with their offsets, joins of spans, hashes, budgets. All run inside the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Patterns, word lists and stop words that results depend on. (?U): Unicode classes and word borders.
 SENTENCE = r"(?d)[^.!?\n]+(?:[.!?]|$)"
-DATE = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
-TICKET = r"(?U)\b(?:REQ|BUG|INC)-\d+\b"
-QUANTITY = r"(?U)\b\d+(?:\.\d+)? (?:kg|ms|units)\b"
-
+CLASSES = {
+    "temporal.date": r"(?U)\b\d{4}[-/]\d{2}[-/]\d{2}\b",
+    "identifier.version": r"(?U)(?<!\w)v?\d+\.\d+(?:\.\d+)+(?:[-+][0-9A-Za-z.-]+)?\b",
+    "temporal.timestamp": r"(?U)\b\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\b",
+    "numeric.number": r"(?U)(?<![\w.])[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?(?![\w.])",
+    "numeric.currency": r"(?Ui)(?:[$€£₹]\s*[+-]?\d+(?:\.\d+)?|[+-]?\d+(?:\.\d+)?\s+(?:USD|EUR|GBP|INR|JPY|CAD|AUD)\b)",
+    "numeric.percentage": r"(?U)(?<![\w.])[+-]?\d+(?:\.\d+)?\s*%",
+    "numeric.unit": r"(?Ui)(?<![\w.])[+-]?(?:\d+(?:\.\d+)?|\.\d+)\s*(?:ms|milliseconds?|seconds?|minutes?|hours?|days?|kg|g|mg|mb|gb|kb|bytes?|px|meters?|m|cm|mm|hz|khz|%)\b",
+    "identifier.uuid": r"(?U)\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b",
+    "identifier.hex": r"(?U)\b[0-9a-fA-F]{32,64}\b",
+    "identifier.ticket": r"(?Ui)\b(?:CVE-\d{4}-\d+|(?:ID|REQ|TICKET|TRACE|SPAN|SESSION)[-_][A-Za-z0-9._-]+)\b",
+    "entity.named": r"(?U)\b[A-Z][a-z][A-Za-z0-9_-]*\b(?:\s+\b[A-Z][a-z][A-Za-z0-9_-]*\b)*",
+}
+# A number or hexadecimal identity that starts within one of these is part of it.
+HOLDERS, HELD = ("temporal.date", "identifier.version"), ("numeric.number", "identifier.hex")
+STOP_WORDS = ("The", "A", "An", "This", "That", "Use", "Limit", "Error", "Warning", "Info")
+MARKERS = {
+    "logic.negation": ("not", "no", "never", "without", "cannot", "can't", "didn't", "doesn't", "isn't", "won't", "shouldn't", "mustn't"),
+    "logic.quantifier": ("all", "any", "some", "none", "only", "each", "every", r"at\s+least", r"at\s+most", "exactly"),
+    "policy.permission": ("may", "can", "allowed", "permitted", "authori[sz]ed", "shall"),
+    "policy.prohibition": (r"must\s+not", r"do\s+not", "don't", "prohibited", "forbidden", "cannot", "can't"),
+    "logic.condition": ("if", "when", r"provided\s+that", r"only\s+if", r"as\s+long\s+as"),
+    "logic.exception": ("unless", "except", r"other\s+than", "excluding"),
+    "temporal.correction": ("actually", "instead", "correction", "corrected", "supersedes", "updated?", "update"),
+    "dialogue.commitment": ("will", "shall", "promise", "promised", "agree(?:d)?", "commit(?:ted)?", "must"),
+}
+ROLE = r"(?im)^(system|developer|user|assistant|tool)\s*:"
+
+
+def marker(name: str) -> str:
+    return rf"(?Ui)\b(?:{'|'.join(MARKERS[name])})\b"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """An array of (gap, lexeme): what lies before each match of `pattern`, and the match; one more for the tail."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("lexeme"))
+
+
+def match_rows(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
+    """(keys, class, start, end, lexeme): the matches of all patterns in order, by code points, end exclusive.
+
+    A match starts behind the gaps and matches before it: running sums over the rows of a text, so that a text of any number
+    of matches costs their number. Only lengths and lexemes are shuffled.
+    """
+    def listed(name: str, pattern: str) -> Column:
+        return F.transform(matches(F.col(text), pattern), lambda m, i: F.struct(F.lit(name).alias("class"), i.alias("i"), F.length(m["gap"]).alias("gap"), m["lexeme"].alias("lexeme")))
 
-def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, lexeme) of the non-overlapping matches of `pattern`, by code points, end exclusive.
+    found = [listed(name, p) for name, p in patterns.items()]
+    rows = df.select(*keys, F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m")).select(*keys, "m.*").filter("lexeme is not null")
+    upto = Window.partitionBy(*keys, "class").orderBy("i")
+    end = F.sum(F.col("gap") + F.length("lexeme")).over(upto)
+    return rows.withColumn("end", end).select(*keys, "class", (F.col("end") - F.length("lexeme")).alias("start"), "end", "lexeme")
 
-    The k-th match starts after the first k + 1 gaps (what split leaves) and the k matches before it.
-    """
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("lexeme"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,lexeme:string>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + F.length(r["gap"])
-        end = begin + F.coalesce(F.length(r["lexeme"]), F.lit(0))
-        own = F.struct(begin.alias("start"), end.alias("end"), r["lexeme"].alias("lexeme"))
-        return F.struct(end.alias("at"), F.when(r["lexeme"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"))
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = 1024, contains: bool = False) -> DataFrame:
+    """Rows of left (l) and right (r) of equal keys whose [start, end) overlap, or where left contains right.
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    Both sides go to the cells of `width` that they touch; a pair meets in several cells but counts in the first common one.
+    """
+    cells = lambda df: df.withColumn("_cell", F.explode(F.expr(f"sequence(start div {width}, greatest(start, end - 1) div {width})")))
+    l, r = cells(left).alias("l"), cells(right).alias("r")
+    same = F.col("l._cell") == F.col("r._cell")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    meet = F.expr("l.start <= r.start and r.end <= l.end") if contains else F.expr("l.start < r.end and r.start < l.end")
+    return l.join(r, same & meet & (F.col("l._cell") == F.expr(f"greatest(l.start, r.start) div {width}")))
 
 
 def normalized(text: Column) -> Column:
@@ -43,6 +90,16 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_./:@%+-]+)"), F.lit(1))
 
 
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """The same number for the same parts: 20 digits of their digest."""
+    return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 20))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """With six digits, ties to even; null without a whole."""
+    return F.when(whole != 0, F.bround((part / whole).cast("decimal(38,20)"), 6).cast("double"))
+
+
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval; (0, 0) without trials."""
     p, zz = successes / n, z * z

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DATE, QUANTITY, SENTENCE, TICKET, domain_hash, normalized, spans
+from ..functions.text import CLASSES, MARKERS, SENTENCE, domain_hash, marker, match_rows, normalized
 from ..sources.tables import order_notes, part_notes, read
 
 
@@ -32,14 +32,16 @@ def line_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: sentences of every document with exact offsets, counted and summed up per document."""
-    docs = read(spark, sf_dir, "documents").withColumn("s", spans(F.col("text"), SENTENCE))
-    return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("sum_start"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"]).alias("sum_end"))
+    docs = read(spark, sf_dir, "documents")
+    made = match_rows(docs, ["doc_id"], "text", {"sentence": SENTENCE}).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("s"), F.sum("end").alias("e"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", zero("n", "n_sentences"), zero("s", "sum_start"), zero("e", "sum_end"))
 
 
 def duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that a document has more than once: how often, and where first."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.inline(spans(F.col("text"), SENTENCE)))
-    return rows.groupBy("doc_id", F.trim("lexeme").alias("sentence")).agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start")).filter("n > 1")
+    rows = match_rows(read(spark, sf_dir, "documents"), ["doc_id"], "text", {"sentence": SENTENCE})
+    return rows.groupBy("doc_id", F.col("lexeme").alias("sentence")).agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start")).filter("n > 1")
 
 
 def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,40 +56,48 @@ def capitalised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and mentions per class of negation, quantifier and condition words."""
-    classes = {"negation": ["not", "no", "never", "without"], "quantifier": ["all", "any", "each", "every", "only"], "condition": ["if", "when", "unless"]}
+    """Documents and mentions per class of marker: negation, quantifier, condition, exception and the policies."""
+    kinds = [k for k in MARKERS if k.startswith(("logic", "policy"))]
     words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_']+")).alias("word"))
-    kind = F.lit(None).cast("string")
-    for name, list_ in classes.items():
-        kind = F.when(F.col("word").isin(list_), name).otherwise(kind)
-    return words.withColumn("kind", kind).filter("kind is not null").groupBy("kind").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+    single = F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*map(F.lit, SINGLE[k])).alias("words")) for k in kinds])
+    rows = words.filter(F.col("word").isin(sorted({w for k in kinds for w in SINGLE[k]}))).select("doc_id", F.explode(F.filter(single, lambda k: F.array_contains(k["words"], F.col("word")))).alias("k"))
+    return rows.groupBy("k.kind").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+
+
+# Markers of one plain word, by class.
+SINGLE = {k: [w for w in words if w.replace("'", "").isalpha()] for k, words in MARKERS.items()}
 
 
 def extract_dates_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = order_notes(spark, sf_dir)
-    first = lambda p, k: F.get(spans(F.col("text"), p), F.lit(0))[k]
-    return notes.select("source_id", first(DATE, "lexeme").alias("date"), first(DATE, "start").cast("long").alias("date_start"), first(TICKET, "lexeme").alias("ticket"), first(TICKET, "end").cast("long").alias("ticket_end"))
+    found = match_rows(order_notes(spark, sf_dir), ["source_id"], "text", {"date": CLASSES["temporal.date"], "ticket": CLASSES["identifier.ticket"]})
+    pick = lambda kind, c: F.max(F.when(F.col("class") == kind, F.col(c)))
+    return found.groupBy("source_id").agg(pick("date", "lexeme").alias("date"), pick("date", "start").cast("long").alias("date_start"), pick("ticket", "lexeme").alias("ticket"), pick("ticket", "end").cast("long").alias("ticket_end"))
 
 
 def value_unit_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quantity, its unit and the label before it on the line."""
-    rows = part_notes(spark, sf_dir).select("source_id", "text", F.inline(spans(F.col("text"), QUANTITY)))
-    return rows.select("source_id", F.split("lexeme", " ")[0].cast("long").alias("value"), F.split("lexeme", " ")[1].alias("unit"), F.regexp_extract(F.expr("left(text, start)"), r"([^:.\n]+): *$", 1).alias("owner"))
+    notes = part_notes(spark, sf_dir)
+    rows = match_rows(notes, ["source_id"], "text", {"unit": CLASSES["numeric.unit"]}).join(notes, "source_id")
+    value, unit = F.regexp_extract("lexeme", r"^([+-]?[0-9.]+)", 1), F.lower(F.regexp_extract("lexeme", r"([A-Za-z%]+)$", 1))
+    # The label before it on its line, else what it is for within 80 characters.
+    label = F.regexp_extract(F.regexp_extract(F.expr("left(text, start)"), r"([^\n]*)$", 1), r"([A-Za-z_][\w .-]{0,50})\s*[:=]\s*$", 1)
+    target = F.regexp_extract(F.expr("substring(text, cast(end as int) + 1, 80)"), r"(?i)\bfor\s+([A-Za-z_][\w.-]*)", 1)
+    return rows.select("source_id", value.cast("double").alias("value"), unit.alias("unit"), F.coalesce(F.nullif(label, F.lit("")), F.nullif(target, F.lit(""))).alias("owner"))
 
 
 def rule_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with their polarity; what is said before and after an exception word of the same sentence."""
-    rows = order_notes(spark, sf_dir).select("source_id", F.inline(spans(F.col("text"), SENTENCE))).filter(F.col("lexeme").rlike(r"(?U)\b(?:may|must)\b"))
-    polarity = F.when(F.col("lexeme").rlike(r"\b(?:may|must) not\b"), "prohibition").otherwise("permission")
-    rows = rows.withColumn("polarity", polarity).withColumn("exception", F.regexp_extract("lexeme", r" unless (.*)[.]$", 1))
+    rows = match_rows(order_notes(spark, sf_dir), ["source_id"], "text", {"sentence": SENTENCE}).filter(F.col("lexeme").rlike(r"(?U)\b(?:may|must)\b"))
+    polarity = F.when(F.col("lexeme").rlike(marker("policy.prohibition")) | F.col("lexeme").rlike(marker("logic.negation")), "prohibition").otherwise("permission")
+    rows = rows.withColumn("polarity", polarity).withColumn("exception", F.regexp_extract("lexeme", marker("logic.exception") + r" (.*)[.]$", 1))
     return rows.groupBy("polarity", "exception").agg(F.count("*").alias("n"), F.min("source_id").alias("first_source"))
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence that corrects, with the sentence before it, which it supersedes."""
-    rows = order_notes(spark, sf_dir).select("source_id", F.inline(spans(F.col("text"), SENTENCE)))
+    rows = match_rows(order_notes(spark, sf_dir), ["source_id"], "text", {"sentence": SENTENCE})
     before = F.lag("lexeme").over(Window.partitionBy("source_id").orderBy("start"))
-    return rows.withColumn("superseded", F.trim(before)).filter(F.col("lexeme").rlike("^ *Correction:")).select("source_id", "superseded", F.trim("lexeme").alias("current"))
+    return rows.withColumn("superseded", F.trim(before)).filter(F.col("lexeme").rlike(marker("temporal.correction"))).select("source_id", "superseded", F.trim("lexeme").alias("current"))
 
 
 def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,16 +125,19 @@ SQL = {
     "duplicate_sentences": """with m as (select doc_id, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]|$)') as s, regexp_split_to_array(text, '[^.!?\\n]+(?:[.!?]|$)') as g from documents),
         x as (select doc_id, unnest(range(1, len(s) + 1)) as i, unnest(s) as lex, unnest(g[1:len(s)]) as gap from m),
         y as (select doc_id, lex, sum(length(gap) + length(lex)) over (partition by doc_id order by i) - length(lex) as st from x)
-        select doc_id, trim(lex, ' ') as sentence, count(*) as n, cast(min(st) as bigint) as first_start from y group by 1, 2 having count(*) > 1""",
+        select doc_id, lex as sentence, count(*) as n, cast(min(st) as bigint) as first_start from y group by 1, 2 having count(*) > 1""",
     "duplicate_lines": """with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents)
         select doc_id, text, count(*) as n, cast(min(line) as integer) as first_line, cast(max(line) as integer) as last_line, count(*) - 2 as n_marked from l where text <> '' group by 1, 2 having count(*) > 2""",
     "capitalised_words": """with w as (select doc_id, unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}+')) as entity from documents)
         select entity, count(*) as mentions, count(distinct doc_id) as documents from w group by 1""",
     "markers": """with w as (select doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_'']+')) as word from documents),
-        k as (select *, case when word in ('if', 'when', 'unless') then 'condition' when word in ('all', 'any', 'each', 'every', 'only') then 'quantifier' when word in ('not', 'no', 'never', 'without') then 'negation' end as kind from w)
-        select kind, count(*) as mentions, count(distinct doc_id) as documents from k where kind is not null group by 1""",
+        m(kind, list) as (values ('logic.negation', ['not', 'no', 'never', 'without', 'cannot', 'can''t', 'didn''t', 'doesn''t', 'isn''t', 'won''t', 'shouldn''t', 'mustn''t']),
+            ('logic.quantifier', ['all', 'any', 'some', 'none', 'only', 'each', 'every', 'exactly']), ('policy.permission', ['may', 'can', 'allowed', 'permitted', 'shall']),
+            ('policy.prohibition', ['don''t', 'prohibited', 'forbidden', 'cannot', 'can''t']), ('logic.condition', ['if', 'when']), ('logic.exception', ['unless', 'except', 'excluding']))
+        select kind, count(*) as mentions, count(distinct doc_id) as documents from w join m on list_contains(list, word) group by 1""",
     "extract_dates_tickets": """select o_orderkey as source_id, strftime(o_orderdate, '%Y-%m-%d') as date, cast(10 as bigint) as date_start, 'REQ-' || o_orderkey as ticket, cast(31 + length(cast(o_orderkey as varchar)) as bigint) as ticket_end from orders""",
-    "value_unit_owner": """select p_partkey as source_id, cast(p_size as bigint) as value, 'kg' as unit, 'Limit ' || p_name as owner from part""",
+    "value_unit_owner": """select p_partkey as source_id, cast(p_size as double) as value, case p_partkey % 4 when 0 then 'kg' when 1 then 'ms' when 2 then 'gb' else 'hours' end as unit,
+        case when p_partkey % 2 = 0 then 'Limit ' || p_name else regexp_replace(p_brand, '#.*', '') end as owner from part""",
     "rule_exceptions": """select case when o_orderstatus = 'O' then 'permission' else 'prohibition' end as polarity,
         case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'the customer calls' else '' end as exception, count(*) as n, min(o_orderkey) as first_source from orders group by 1, 2""",
     "corrections": """select o_orderkey as source_id, 'Owner ' || o_custkey || '.' as superseded, 'Correction: the owner is someone else.' as current from orders where o_orderkey % 7 = 0""",

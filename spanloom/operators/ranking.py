@@ -9,18 +9,26 @@ from ..functions.text import terms, wilson
 from ..sources.tables import read
 
 K1, B, TOP = 1.2, 0.75, 10
+ASKED = 5_000
 
 
 def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text, by BM25 over the corpus.
 
-    Terms are counted per document before any shuffle of postings, and only terms that a question has are joined.
+    The corpus is split into terms once; of those only the ones that a question has are exploded (by a set of up to ASKED
+    literals, else by a join), and counted per document before any shuffle.
     """
     docs, asked = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    query = asked.select("item_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times"))
     words = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     size = words.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    query = asked.select("item_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    tf = words.select("doc_id", "len", F.explode("t").alias("term")).join(query.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    wanted = query.select("term").distinct()
+    few = wanted.limit(ASKED + 1).toPandas()["term"].tolist()
+    if len(few) <= ASKED:
+        rows = words.select("doc_id", "len", F.explode(F.filter("t", lambda w: w.isin(few))).alias("term"))
+    else:
+        rows = words.select("doc_id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    tf = rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").join(query, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -32,7 +40,7 @@ def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mode_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that each mode allows a document."""
-    modes = spark.createDataFrame([("conservative", 8000), ("target", 5000), ("aggressive", 3000)], "mode string, points int")
+    modes = spark.createDataFrame([("conservative", 5000), ("target", 3000), ("aggressive", 2000)], "mode string, points int")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
     return docs.crossJoin(F.broadcast(modes)).select("doc_id", "mode", F.greatest(F.lit(1).cast("long"), F.expr("n_bytes * cast(points as bigint) div 10000")).alias("budget"))
 
@@ -54,8 +62,8 @@ def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality by source, by language and both at once, with Wilson bounds."""
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    rows.createOrReplaceTempView("_scored")
-    sums = spark.sql("select source, lang, grouping_id(source, lang) as level, count(*) as n, sum(quality) as good from _scored group by grouping sets ((source), (lang), (source, lang))")
+    source, lang = F.col("source"), F.col("lang")
+    sums = rows.groupingSets([[source], [lang], [source, lang]], source, lang).agg(F.grouping_id("source", "lang").alias("level"), F.count("*").alias("n"), F.sum("quality").alias("good"))
     low, high = wilson(F.col("good"), F.col("n"))
     return sums.select("source", "lang", F.col("level").cast("int").alias("level"), "n", "good", F.round(F.abs(low), 6).alias("low"), F.round(high, 6).alias("high"))
 
@@ -110,7 +118,7 @@ SQL = {
         df as (select term, count(*) as df from tf group by 1),
         s as (select item_id, doc_id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from tf join df using (term) join q using (term), z group by 1, 2)
         select item_id, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) where rank <= 10""",
-    "mode_budgets": """select doc_id, mode, greatest(1, strlen(text) * points // 10000) as budget from documents, (values ('conservative', 8000), ('target', 5000), ('aggressive', 3000)) m(mode, points)""",
+    "mode_budgets": """select doc_id, mode, greatest(1, strlen(text) * points // 10000) as budget from documents, (values ('conservative', 5000), ('target', 3000), ('aggressive', 2000)) m(mode, points)""",
     "output_offsets": """select conv_id, turn, cast(e - length(text) - 1 as bigint) as start, cast(e - 1 as bigint) as "end", next_turn from (select *, sum(length(text) + 1) over w as e, lead(turn) over w as next_turn from conversations window w as (partition by conv_id order by turn))""",
     "class_coverage": """select source, count(*) as discovered, count(quality) as represented, round(count(quality) / count(*), 6) as ratio from documents left join labels using (doc_id) group by 1""",
     "score_summary": """with s as (select source, lang, cast(grouping_id(source, lang) as integer) as level, count(*) as n, cast(sum(quality) as bigint) as good from documents join labels using (doc_id) group by grouping sets ((source), (lang), (source, lang))),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import extract, ranking, records
+from ..operators import extract, graph, lexical, ranking, records, selection
 
-MODULES = (extract, records, ranking)
+MODULES = (extract, lexical, records, ranking, selection, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

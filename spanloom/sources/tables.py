@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, text): a labelled quantity per part."""
-    return read(spark, sf_dir, "part").selectExpr("p_partkey as source_id", "concat('Limit ', p_name, ': ', p_size, ' kg for ', p_brand, '.') as text")
+    return read(spark, sf_dir, "part").selectExpr("p_partkey as source_id", "concat('Limit ', p_name, case when p_partkey % 2 = 0 then ': ' else ' ' end, p_size, case p_partkey % 4 when 0 then ' kg' when 1 then 'ms' when 2 then ' GB' else ' hours' end, ' for ', p_brand, '.') as text")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +34,32 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
            ' trace_id=', user_id, ' event_id=', event_id, case when event_type = 'error' and event_id > 0 then concat(' caused_by=', event_id - 1) else '' end,
            ' ', event_type, ' done') as line""",
     )
+
+
+def incident_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, text): a note per order that holds every class of token at places that its key decides, then rules."""
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey as source_id", INCIDENT + " as text")
+
+
+# The same expression in Spark and in DuckDB, but for the functions of the date; {date} stands for those.
+_INCIDENT = """concat('On ', {date}, ' at ', o_orderkey % 24, ':', lpad(cast(o_orderkey % 60 as {text}), 2, '0'), ' version v2.', o_orderkey % 9, '.', o_orderkey % 7,
+    ' cost $', o_orderkey % 500, ' and ', o_orderkey % 900, '.5 EUR share ', o_orderkey % 100, '% load ', o_orderkey % 40 + 1, case o_orderkey % 3 when 0 then ' kg' when 1 then ' ms' else ' GB' end,
+    ' for Depot', o_custkey, ' as REQ-', o_orderkey, ' sum ', md5(cast(o_orderkey as {text})), '. ',
+    case o_orderstatus when 'O' then 'You may enter' when 'F' then 'You must not enter' else 'Nobody can enter' end, case when o_orderkey % 2 = 0 then ' unless all agreed. ' else '. ' end,
+    case when o_orderkey % 5 = 0 then 'If it fails, call at least once. ' else '' end, case when o_orderkey % 7 = 0 then 'We will pay. Actually the sum changed.' else '' end)"""
+INCIDENT = _INCIDENT.format(date="date_format(o_orderdate, 'yyyy-MM-dd')", text="string")
+INCIDENT_SQL = _INCIDENT.format(date="strftime(o_orderdate, '%Y-%m-%d')", text="varchar")
+
+
+def dialogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, text): each conversation as lines `role: text`, in which line feeds of a turn become blanks."""
+    turns = read(spark, sf_dir, "conversations").selectExpr("conv_id as source_id", "turn", "concat(role, ': ', replace(text, chr(10), ' ')) as line")
+    return turns.groupBy("source_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda t: t["line"])).alias("text"))
+
+
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, span_id, start, end, class, cost): a stretch of days per item of an order."""
+    return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as source_id", SPAN_ID + " as span_id", "datediff(l_shipdate, date'1990-01-01') as start", "datediff(l_shipdate, date'1990-01-01') + cast(l_quantity as int) as end", "l_returnflag as class", "cast(l_quantity as int) as cost")
+
+
+SPAN_ID = "concat(l_linenumber, '.', l_partkey, '.', l_suppkey, '.', cast(l_extendedprice * 100 as bigint))"
