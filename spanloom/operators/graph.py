@@ -91,7 +91,7 @@ SQL = {
     "span_nodes": "with s as (select l_orderkey, string_agg(distinct l_returnflag || l_linestatus, ',' order by l_returnflag || l_linestatus) as spans from lineitem group by 1) select spans, count(*) as merged, min(l_orderkey) as first_source from s group by 1",
     "relation_nodes": _R + " select relation_id, n as endpoints, merged from r",
     "node_relations": _R + ", x as (select relation_id, unnest(string_split(joined, ',')) as node from r) select node, count(distinct relation_id) as relations, min(relation_id) as first_relation from x group by 1",
-    "graph_edges": _R + """, s as (select l_orderkey as source_id, concat(l_linenumber, '.', l_partkey, '.', l_suppkey, '.', cast(l_extendedprice * 100 as bigint)) as span_id, date_diff('day', timestamp '1990-01-01', l_shipdate) as a, l_quantity as q, l_returnflag as class from lineitem),
+    "graph_edges": _R + """, s as (select l_orderkey as source_id, concat(l_linenumber, '.', l_partkey, '.', l_suppkey, '.', cast(floor(l_extendedprice * 100) as bigint)) as span_id, date_diff('day', timestamp '1990-01-01', l_shipdate) as a, l_quantity as q, l_returnflag as class from lineitem),
         o as (select source_id, span_id, lead(span_id) over (partition by source_id order by a, a + cast(q as integer), span_id) as nxt from s), d as (select distinct 'source_order' as kind, source_id || '/' || span_id as a, source_id || '/' || nxt as b from o where nxt is not null
         union select 'relation_endpoint', relation_id, unnest(string_split(joined, ',')) from r union select 'evidence', 'source:' || source_id, class from s) select kind, count(*) as edges, count(distinct a) as starts from d group by 1""",
     "protected_closure": """with p as (select 'order:' || o_orderkey as node, 'hard' as reason from orders where o_orderpriority = '1-URGENT' union select 'order:' || o_orderkey, 'relation' from orders where o_totalprice > 150000 union select 'customer:' || o_custkey, 'endpoint' from orders where o_totalprice > 150000),

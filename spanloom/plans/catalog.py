@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import extract, graph, lexical, ranking, records, selection
+from ..operators import extract, graph, lexical, ranking, records, selection, stats, structured, verify
+from ..sources import scans
 
-MODULES = (extract, lexical, records, ranking, selection, graph)
+MODULES = (extract, lexical, records, structured, ranking, selection, graph, verify, stats, scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, such as a file of one row group, dealt to all of them; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +68,4 @@ def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as source_id", SPAN_ID + " as span_id", "datediff(l_shipdate, date'1990-01-01') as start", "datediff(l_shipdate, date'1990-01-01') + cast(l_quantity as int) as end", "l_returnflag as class", "cast(l_quantity as int) as cost")
 
 
-SPAN_ID = "concat(l_linenumber, '.', l_partkey, '.', l_suppkey, '.', cast(l_extendedprice * 100 as bigint))"
+SPAN_ID = "concat(l_linenumber, '.', l_partkey, '.', l_suppkey, '.', cast(floor(l_extendedprice * 100) as bigint))"
