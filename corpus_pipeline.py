@@ -1,7 +1,7 @@
 """A training-data pipeline: five stages, each on all that the one before kept, each written and read again.
 
-SQL can't express the trained model, the draws and the packing, so there is no oracle; tests hold every stage against a
-plain version.
+SQL can't express the trained model, the draws and the packing, so there is no oracle; tests/llm/test_pipeline.py holds every
+stage against what it must do on its own input (near duplicates, secrets, mix and pack by plain code) and run() against them.
 """
 
 from __future__ import annotations
