@@ -47,6 +47,7 @@ FOLDS = 5
 WEIGHT = 60
 MOST = 2_000_000
 KNOWN = 200_000
+HELD = 80_000
 LETTERS = 200
 _TINY = 1e-7
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,7 +244,7 @@ def _broadcast_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFram
                 for lang in own.langs:
                     wanted = {w for own_words, t in zip(words, tried, strict=True) if lang in t for w in own_words}
                     new = [w for w in wanted if w not in known[lang]]
-                    if len(known[lang]) + len(new) > KNOWN:
+                    if len(known[lang]) + len(new) > HELD:
                         known[lang].clear()
                         new = list(wanted)
                         tables.pop(lang, None)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_rows, components, join_hot, maybe_among, stash
+from .common import as_rows, chunks_of, components, join_hot, maybe_among, stash
 from .wordhash import mix, shingle_sets
 
 PERCENT = 75
@@ -49,6 +49,8 @@ GUESTS = 512
 EXPAND = 16
 SKETCH_BITS = 20
 SLICES = 16
+# Bytes of text at a time in a task: the words and hashes of a chunk take some twenty times as much.
+CHUNK = 1 << 22
 
 _POSTING = np.dtype([("key", "<u4"), ("grp", "<u8"), ("n", "<u4"), ("spare", "u1")])
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("na", "<u4"), ("nb", "<u4"), ("spare", "u1")])
@@ -70,7 +72,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks_of(whole, 0, CHUNK)):
             held, size = [], 0
             for _, own in shingle_sets(batch.column(0)):
                 held.append((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
@@ -97,7 +99,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 def _postings(bits: int, percent: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift, sketch = np.uint64(64 - bits - 32), held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks_of(whole, 1, CHUNK)):
             rows, parts, owners, seen = np.zeros(batch.num_rows, _ROW), [], [], set()
             ids = batch.column(0)
             rows["doc"], rows["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)

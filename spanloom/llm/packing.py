@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks_of
+
 ROOM = 2048
 GROUP = 4096
 END = 1
@@ -110,16 +112,6 @@ def _one_run(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
-def chunks_of(batch: pa.RecordBatch, column: int, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `most` bytes of a text column; a longer text is a slice of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 _loaded: dict[str, Encoder] = {}
 
 
@@ -134,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end: int = E
             _loaded[tokenizer] = Encoder(tokenizer)
         known, mark = _loaded[tokenizer], np.array([end], "<u4").tobytes()
         for whole in batches:
-            for batch in chunks_of(whole, 1):
+            for batch in chunks_of(whole, 1, CHUNK):
                 doc, start, length, crc, total, ids = [], [], [], [], [], []
                 for d, own in zip(batch.column(0).to_pylist(), known.encode(batch.column(1)), strict=True):
                     made = own.as_py() + mark
