@@ -224,7 +224,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id",
     """
     given = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     n_docs = given.count()
-    bits = min(22, max(7, int(n_docs * 200 // (1 << 18)).bit_length()))
+    bits = min(22, max(7, int(n_docs * 200 // (1 << 17)).bit_length()))
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(given))
     posted = given.mapInArrow(_postings(bits, percent, sketch), "bucket int, kind byte, blob binary")
     met = stash(posted.groupBy("bucket").applyInArrow(_meet(bits, percent), "kind int, x long, y long, z long, nx long, ny long, spare int"), "ngram-met", ["kind"])
