@@ -74,7 +74,7 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def large(df: DataFrame) -> DataFrame:
+def by_merge(df: DataFrame) -> DataFrame:
     """df, as a side of a join that grows with the input: sorted and merged at every size, so the driver never holds it."""
     return df.hint("merge")
 
@@ -141,7 +141,7 @@ def components(edges: DataFrame, what: str = "components", rounds: int = 40) ->
     def star(df: DataFrame, large: bool) -> DataFrame:
         both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        linked = both.join(large(low), "a")
+        linked = both.join(by_merge(low), "a")
         if large:
             return pairs(linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         return pairs(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, as_rows, join_hot, large, maybe_among, small, stash
+from .common import WORD_BREAK, as_rows, by_merge, join_hot, maybe_among, small, stash
 from .wordhash import mix
 
 ORDER = 5
@@ -123,13 +123,13 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
         take = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
         own = own.join(small(of), "lang").withColumn("take", F.least(take, F.col("a") - 0.05)).withColumn("h", F.expr("left(gram, length(gram) - 1)"))
         context = own.groupBy("lang", "h").agg((F.sum("take") / F.sum("a")).alias("gamma"), F.sum("a").alias("total"))
-        own = own.join(large(context), ["lang", "h"]).select("lang", "gram", ((F.col("a") - F.col("take")) / F.col("total")).alias("own"), "gamma")
+        own = own.join(by_merge(context), ["lang", "h"]).select("lang", "gram", ((F.col("a") - F.col("take")) / F.col("total")).alias("own"), "gamma")
         if n == 1:
             # Below single letters lies a uniform share for letters that were never seen.
             own = own.withColumn("p", F.col("own") + F.col("gamma") * _TINY)
         else:
             low = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-            own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(large(low), ["lang", "suffix"], "left").withColumn("p", F.col("own") + F.col("gamma") * F.coalesce("low", F.lit(_TINY)))
+            own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(by_merge(low), ["lang", "suffix"], "left").withColumn("p", F.col("own") + F.col("gamma") * F.coalesce("low", F.lit(_TINY)))
         below = stash(own.select("lang", "gram", "p"), "kn-p")
         made = below.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb"))
         made = made.unionByName(context.select("lang", F.col("h").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("logb")))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_rows, chunks_of, components, join_hot, large, maybe_among, stash
+from .common import as_rows, by_merge, chunks_of, components, join_hot, maybe_among, stash
 from .wordhash import mix, shingle_sets
 
 PERCENT = 75
@@ -210,7 +210,7 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n_pairs: int
     chunks = max(1, n_pairs // 128)
     dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)).cast("int"))
     need = dealt.select("chunk", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    need = need.join(large(_named(members)), "cls").groupBy("cls", "d").agg(F.collect_set("chunk").alias("parts")).select("cls", "d.doc_id", "d.text_key", "parts")
+    need = need.join(by_merge(_named(members)), "cls").groupBy("cls", "d").agg(F.collect_set("chunk").alias("parts")).select("cls", "d.doc_id", "d.text_key", "parts")
     need = stash(need, "ngram-need")
     texts = maybe_among(docs, F.col("doc_id"), need.select("doc_id")).filter("maybe").join(need, ["doc_id", "text_key"])
     sent = texts.select(F.explode("parts").alias("part"), "cls", "text")
@@ -236,8 +236,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id",
     pairs = _expanded(_group_pairs(met.filter("kind = 1"), hits, percent), own)
 
     least_common = Window.partitionBy("grp").orderBy("often", "h")
-    dense = common.join(large(hits), "grp").filter("hits > spare").withColumn("rank", F.row_number().over(least_common))
-    dense = dense.filter("rank <= hits - spare").select("h", "grp", "often").join(large(own), "grp").select("h", "cls", "often")
+    dense = common.join(by_merge(hits), "grp").filter("hits > spare").withColumn("rank", F.row_number().over(least_common))
+    dense = dense.filter("rank <= hits - spare").select("h", "grp", "often").join(by_merge(own), "grp").select("h", "cls", "often")
     used = stash(dense.unionByName(pairs[1]), "ngram-common")
 
     chained = _chain(used, 0)
@@ -251,7 +251,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id",
         linked = stash(linked.unionByName(rest), "ngram-linked")
         label = stash(components(linked.select("a", "b"), "ngram-label"), "ngram-label")
     lowest = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    named = label.join(large(lowest), label.node == lowest.cls).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = label.join(by_merge(lowest), label.node == lowest.cls).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     labels = label.join(named, "label").select(F.col("node").alias("cls"), "component_id")
     return members, linked, labels
 
@@ -260,7 +260,7 @@ def _group_pairs(met: DataFrame, hits: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of groups that share enough of their prefixes; what holds for two groups holds for all their members."""
     pairs = met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("shared"), F.min("spare").alias("spare"), F.max("nx").alias("na"), F.max("ny").alias("nb"))
     for side in ("a", "b"):
-        pairs = pairs.join(large(hits.select(F.col("grp").alias(side), F.col("hits").alias(f"hits_{side}"))), side, "left")
+        pairs = pairs.join(by_merge(hits.select(F.col("grp").alias(side), F.col("hits").alias(f"hits_{side}"))), side, "left")
     pairs = pairs.withColumn("most", F.col("shared") + F.least(F.coalesce("hits_a", F.lit(0)), F.coalesce("hits_b", F.lit(0))))
     # Behind the prefix that ends first, only its own document's rest can still overlap.
     rest = lambda n: F.expr(f"greatest(0, {n} - ({n} - ceil({percent} * {n} / 100) + 1 + {SLACK}))")
@@ -274,11 +274,11 @@ def _expanded(pairs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = stash(own.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1"), "ngram-multi")
     both = pairs.unionByName(sizes.select(F.col("grp").alias("a"), F.col("grp").alias("b")))
     for side in ("a", "b"):
-        both = both.join(large(sizes.select(F.col("grp").alias(side), F.col("k").alias(f"k_{side}"))), side, "left")
+        both = both.join(by_merge(sizes.select(F.col("grp").alias(side), F.col("k").alias(f"k_{side}"))), side, "left")
     both = both.select("a", "b", F.coalesce("k_a", F.lit(1)).alias("k_a"), F.coalesce("k_b", F.lit(1)).alias("k_b"))
     few = both.filter(f"greatest(k_a, k_b) <= {EXPAND}")
     x, y = own.select(F.col("grp").alias("a"), F.col("cls").alias("x")), own.select(F.col("grp").alias("b"), F.col("cls").alias("y"))
-    made = few.join(large(x), "a").join(large(y), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    made = few.join(by_merge(x), "a").join(by_merge(y), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     many = both.filter(f"greatest(k_a, k_b) > {EXPAND}").select(F.xxhash64("a", "b").alias("h"), F.explode(F.array_distinct(F.array("a", "b"))).alias("grp"), (F.col("k_a") + F.col("k_b")).alias("often"))
     return made, many.join(own, "grp").select("h", "cls", "often")
 
@@ -326,7 +326,7 @@ def _places(used: DataFrame, label: DataFrame) -> DataFrame:
 
     The largest component of a shingle needn't meet itself: one side (the guest) is always outside it.
     """
-    own = stash(used.join(large(label), used.cls == label.node, "left").select("h", "cls", "often", F.coalesce("label", "cls").alias("c")), "ngram-own")
+    own = stash(used.join(by_merge(label), used.cls == label.node, "left").select("h", "cls", "often", F.coalesce("label", "cls").alias("c")), "ngram-own")
     per = own.groupBy("h", "c").agg(F.count("*").alias("m"))
     main = stash(per.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "ngram-main")
     own = stash(join_hot(own, main, "h", "inner").select("h", "cls", "often", "c", (F.col("c") != F.col("main")).alias("outside")), "ngram-own")
@@ -335,9 +335,9 @@ def _places(used: DataFrame, label: DataFrame) -> DataFrame:
     rooms = seats.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
     seats = stash(seats.join(rooms, "home").select("cls", "c", "outside", F.xxhash64("home", F.pmod(F.xxhash64("cls"), "k")).alias("block")), "ngram-seats")
     # A shingle's blocks are dealt to 16 tasks, and its guests come to each.
-    blocks = own.join(large(seats.select("cls", "block")), "cls").select("h", "block", F.pmod(F.xxhash64("block"), F.lit(16)).cast("int").alias("part")).distinct()
+    blocks = own.join(by_merge(seats.select("cls", "block")), "cls").select("h", "block", F.pmod(F.xxhash64("block"), F.lit(16)).cast("int").alias("part")).distinct()
     tours = own.filter("outside").select("h", "cls", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part")).join(blocks, ["h", "part"]).select("cls", "block").distinct()
-    guests = tours.join(large(seats.select("cls", "c")), "cls")
+    guests = tours.join(by_merge(seats.select("cls", "c")), "cls")
     tables = guests.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("tables"))
     guests = guests.join(tables, "block").select("cls", "c", "block", F.pmod(F.xxhash64("cls"), "tables").cast("int").alias("at"), F.lit(True).alias("guest"))
     hosts = seats.join(tables, "block").select("cls", "c", "block", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("at"), F.lit(False).alias("guest"))
@@ -347,7 +347,7 @@ def _places(used: DataFrame, label: DataFrame) -> DataFrame:
 def _across(used: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components, found block by block."""
     places = _places(used, label).groupBy("cls", "c").agg(F.collect_list(F.struct("block", "at", "guest")).alias("places"))
-    need = stash(places.join(large(_named(members)), "cls").select("cls", "c", "places", "d.doc_id", "d.text_key"), "ngram-need")
+    need = stash(places.join(by_merge(_named(members)), "cls").select("cls", "c", "places", "d.doc_id", "d.text_key"), "ngram-need")
     texts = maybe_among(docs, F.col("doc_id"), need.select("doc_id")).filter("maybe").join(need, ["doc_id", "text_key"])
     rows = texts.select("cls", "c", "text", F.explode("places").alias("p")).select("cls", "c", "text", "p.block", "p.at", "p.guest")
     return rows.groupBy("block", "at").applyInPandas(_meet_block(percent), "a long, b long, shared long, union long").distinct()
