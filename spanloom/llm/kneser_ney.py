@@ -105,37 +105,29 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, logp, logb): the log probability of a seen gram's last letter; what backing off from it, as a context,
     costs. A null logp or logb: not seen as such. The empty gram holds the log probability of an unseen letter."""
     raw = stash(raw_grams(word_counts(trusted.filter("text is not null and lang is not null")), order), "kn-raw")
-    level = stash(raw.filter(F.length("gram") == order).select("lang", "gram", F.col("n").alias("a")), "kn-level")
-    levels = {order: level}
-    begins = raw.filter((F.length("gram") < order) & F.col("gram").startswith("^"))
-    for n in range(order - 1, 0, -1):
-        # Each longer gram is one letter before its suffix; those from a word's beginning have nothing before them.
-        longer = levels[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram"))
-        inner = longer.groupBy("lang", "gram").agg(F.count("*").alias("a"))
-        levels[n] = stash(inner.unionByName(begins.filter(F.length("gram") == n).select("lang", "gram", F.col("n").alias("a"))), "kn-level")
-    contexts, below = None, None
+    # Every other gram ends a longer one, and counts the letters before it there; those from a word's beginning have none.
+    ends = raw.filter("length(gram) > 1").select("lang", F.explode(F.expr("transform(sequence(1, length(gram) - 1), i -> substring(gram, i))")).alias("longer"))
+    inner = ends.groupBy("lang", F.expr("substring(longer, 2)").alias("gram")).agg(F.count_distinct(F.expr("left(longer, 1)")).alias("a"))
+    levels = stash(raw.select("lang", "gram", F.col("n").alias("a")).unionByName(inner).withColumn("size", F.length("gram")), "kn-levels")
+    of = levels.groupBy("lang", "size").agg(*[F.count(F.when(F.col("a") == i, 1)).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
+    y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+    discount = lambda i: F.when((F.col(f"c{i}") > 0) & (F.col("c1") > 0), F.greatest(F.lit(0.1 * i), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"c{i + 1}") / F.col(f"c{i}")))).otherwise(0.5 * i)
+    of = of.select("lang", "size", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
+    take = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = levels.join(small(of), ["lang", "size"]).withColumn("take", F.least(take, F.col("a") - 0.05)).withColumn("h", F.expr("left(gram, size - 1)"))
+    context = own.groupBy("lang", "h").agg((F.sum("take") / F.sum("a")).alias("gamma"), F.sum("a").alias("total"))
+    terms = own.join(by_merge(context), ["lang", "h"]).select("lang", "gram", "size", "h", ((F.col("a") - F.col("take")) / F.col("total")).alias("own"), "gamma")
+    terms = stash(terms, "kn-terms")
+    # Below single letters lies a uniform share for letters that were never seen.
+    below = terms.filter("size = 1").select("lang", "gram", (F.col("own") + F.col("gamma") * _TINY).alias("p"))
+    made = terms.select("lang", F.col("h").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("logb"))
     for n in range(1, order + 1):
-        own = levels[n]
-        of = own.groupBy("lang").agg(*[F.count(F.when(F.col("a") == i, 1)).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
-        y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
-        discount = lambda i: F.when((F.col(f"c{i}") > 0) & (F.col("c1") > 0), F.greatest(F.lit(0.1 * i), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"c{i + 1}") / F.col(f"c{i}")))).otherwise(0.5 * i)
-        of = of.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-        take = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.join(small(of), "lang").withColumn("take", F.least(take, F.col("a") - 0.05)).withColumn("h", F.expr("left(gram, length(gram) - 1)"))
-        context = own.groupBy("lang", "h").agg((F.sum("take") / F.sum("a")).alias("gamma"), F.sum("a").alias("total"))
-        own = own.join(by_merge(context), ["lang", "h"]).select("lang", "gram", ((F.col("a") - F.col("take")) / F.col("total")).alias("own"), "gamma")
-        if n == 1:
-            # Below single letters lies a uniform share for letters that were never seen.
-            own = own.withColumn("p", F.col("own") + F.col("gamma") * _TINY)
-        else:
+        if n > 1:
             low = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-            own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(by_merge(low), ["lang", "suffix"], "left").withColumn("p", F.col("own") + F.col("gamma") * F.coalesce("low", F.lit(_TINY)))
-        below = stash(own.select("lang", "gram", "p"), "kn-p")
-        made = below.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb"))
-        made = made.unionByName(context.select("lang", F.col("h").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("logb")))
-        contexts = made if contexts is None else contexts.unionByName(made)
-    merged = contexts.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
-    return stash(merged, "kn-model")
+            level = terms.filter(F.col("size") == n).withColumn("suffix", F.expr("substring(gram, 2)")).join(by_merge(low), ["lang", "suffix"], "left")
+            below = stash(level.select("lang", "gram", (F.col("own") + F.col("gamma") * F.coalesce("low", F.lit(_TINY))).alias("p")), "kn-p")
+        made = made.unionByName(below.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb")))
+    return stash(made.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb")), "kn-model")
 
 
 def _codes(strings: list[str]) -> np.ndarray:
