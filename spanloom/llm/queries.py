@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, kneser_ney, langid, mixing, ngram_join, order_minhash, packing, secrets, surrogates, weak_rules
+from . import ball_tree, html_extract, kneser_ney, langid, mixing, ngram_join, order_minhash, packing, secrets, substring_dedup, surrogates, weak_rules, whitening
 from .common import read
 
 
@@ -64,13 +64,25 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_personal_data(read(spark, sf_dir, "documents"), key.encode() if key else surrogates.KEY)
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_html_extract, op2_packing, op3_order_minhash, op4_ngram_join, op5_secret_scan, op6_language_filters, op7_kneser_ney, op8_weak_rules, op9_mixing, op10_surrogates)
+    every = (op1_html_extract, op2_packing, op3_order_minhash, op4_ngram_join, op5_secret_scan, op6_language_filters, op7_kneser_ney, op8_weak_rules, op9_mixing, op10_surrogates, op11_ball_tree, op12_whitening, op13_substring_dedup)
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op11_ball_tree": OP11_SQL, "op13_substring_dedup": OP13_SQL}
 
 
 OP4_SQL = """
@@ -92,3 +104,39 @@ links as (
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from documents d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by 1) c using (doc_id)
 """
+
+OP11_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents
+), tf as (select r, doc_id, term, count(*) as tf from d group by all),
+size as (select r, sum(tf)::bigint as n from tf group by 1),
+total as (select count(*) as big_n, sum(n)::bigint as big_l from size),
+weight as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by term, big_n),
+q as (
+  select distinct item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), scored as (
+  select q.item_id, q.text, tf.r, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::bigint as score
+  from q join tf using (term) join weight using (term) join size using (r), total group by all
+), placed as (
+  select item_id, doc_id, score, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as rank from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from placed where rank <= 50
+"""
+
+OP13_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), win as (
+  select r, doc_id, i, array_to_string(ws[i : i + 49], ' ') as s from (select r, doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d)
+), hit as (
+  select r, i from (select r, i, doc_id, min(doc_id) over (partition by s) as lowest from win) where doc_id > lowest
+), gone as (select distinct r, i + j as place from hit, range(50) t(j)),
+kept as (
+  select r, string_agg(word, ' ' order by place) as text, count(*) as n
+  from (select r, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as place from d) w where not exists (select 1 from gone g where g.r = w.r and g.place = w.place) group by 1
+)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from d left join kept using (r)
+"""

@@ -42,13 +42,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data and data.size else np.zeros(0, np.uint8), at
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, n + 1 word offsets) for runs of rows of about 1 MB; a longer text makes a longer run."""
     data, at = buffers(column)
     row, rows = 0, len(at) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(at, at[row] + _SPAN, "right")) - 1)
-        part, cuts = _LOWER[data[at[row] : at[end]]], at[row : end + 1] - at[row]
+        part, cuts = data[at[row] : at[end]], at[row : end + 1] - at[row]
+        part = _LOWER[part] if lower else part
         solid = ~_WHITE[part]
         first = np.zeros(len(part) + 1, bool)
         first[cuts] = True
@@ -66,6 +67,15 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         row = end
 
 
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """Rabin-Karp hashes of every k consecutive words, from running sums of words times powers of the base."""
+    up, down = _tables(max(_SPAN * 2, len(words) + 1))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    n = max(0, len(words) - k + 1)
+    return (sums[k : k + n] - sums[:n]) * down[:n]
+
+
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of its k-word shingles); fewer words: the whole sequence as one; no word: empty."""
     steps = [np.uint64(pow(int(_STEP[j % 5]), j // 5 + 1, 1 << 64)) for j in range(k)]
