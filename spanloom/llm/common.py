@@ -132,19 +132,23 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out
 def components(edges: DataFrame, what: str = "components", rounds: int = 40) -> DataFrame:
     """(node, label) for every node of `edges` (a, b): label is the smallest node of its component.
 
-    Alternating large-star and small-star steps, each a minimum per node and a join; every step is written to the
-    shared folder. Minima combine before the shuffle, so a hot node costs no task more than its share.
+    Alternating large-star and small-star steps, each a minimum per node and a join, written to the shared folder one by
+    one, so that no plan holds more than one of them. Minima combine before the shuffle, and the joins are plain ones that
+    Spark splits where a node is hot.
     """
     def pairs(df: DataFrame) -> DataFrame:
         return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
-        both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
+    def large(df: DataFrame) -> DataFrame:
+        both = df.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        linked = both.join(by_merge(low), "a")
-        if large:
-            return pairs(linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        return pairs(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))
+        return pairs(both.filter("b > a").join(by_merge(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+
+    def small_star(df: DataFrame) -> DataFrame:
+        low = df.groupBy("a").agg(F.min("b").alias("m"))
+        moved = df.join(by_merge(low), "a")
+        ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        return pairs(moved.select(ends.alias("e")).select("e.*"))
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -154,7 +158,7 @@ def components(edges: DataFrame, what: str = "components", rounds: int = 40) ->
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = stash(star(star(now, True), False), what)
+        now = stash(small_star(stash(large(now), what)), what)
         after = mark(now)
         if after == seen:
             break

@@ -206,9 +206,12 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n_pairs: int, percent: int) -> DataFrame:
-    """Pairs in chunks by their first member; each chunk gets the texts that it needs once, and makes their sets."""
+    """Pairs in chunks by their first member, of which one with many pairs has several; each chunk gets the texts that it
+    needs once, and makes their sets."""
     chunks = max(1, n_pairs // 128)
-    dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)).cast("int"))
+    busy = pairs.groupBy("a").agg(F.count("*").alias("n")).filter("n > 128").select("a", F.ceil(F.col("n") / 128).alias("slices"))
+    part = F.pmod(F.xxhash64("b"), F.coalesce("slices", F.lit(1)))
+    dealt = stash(pairs.join(by_merge(busy), "a", "left").select("a", "b", F.pmod(F.xxhash64("a", part), F.lit(chunks)).cast("int").alias("chunk")), "ngram-dealt")
     need = dealt.select("chunk", F.explode(F.array("a", "b")).alias("cls")).distinct()
     need = need.join(by_merge(_named(members)), "cls").groupBy("cls", "d").agg(F.collect_set("chunk").alias("parts")).select("cls", "d.doc_id", "d.text_key", "parts")
     need = stash(need, "ngram-need")
@@ -233,17 +236,14 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, doc_col: str = "doc_id",
     own = stash(members.filter("n > 0").select("grp", "cls").distinct(), "ngram-groups")
     common = met.filter("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("grp"), F.col("nx").alias("n"), F.col("ny").alias("often"), "spare")
     hits = stash(common.groupBy("grp").agg(F.count("*").alias("hits")), "ngram-hits")
-    pairs = _expanded(_group_pairs(met.filter("kind = 1"), hits, percent), own)
+    pairs = _expanded(stash(_group_pairs(met.filter("kind = 1"), hits, percent), "ngram-group-pairs"), own)
 
     least_common = Window.partitionBy("grp").orderBy("often", "h")
     dense = common.join(by_merge(hits), "grp").filter("hits > spare").withColumn("rank", F.row_number().over(least_common))
     dense = dense.filter("rank <= hits - spare").select("h", "grp", "often").join(by_merge(own), "grp").select("h", "cls", "often")
     used = stash(dense.unionByName(pairs[1]), "ngram-common")
 
-    chained = _chain(used, 0)
-    for r in range(1, ORDERS):
-        chained = chained.unionByName(_chain(used, r))
-    first = stash(pairs[0].unionByName(chained).distinct(), "ngram-first")
+    first = stash(stash(pairs[0], "ngram-pairs").unionByName(_chain(used)).distinct(), "ngram-first")
     linked = stash(verified(first, members, given, first.count(), percent), "ngram-linked")
     label = stash(components(linked.select("a", "b"), "ngram-label"), "ngram-label")
     rest = stash(_across(used, label, members, given, percent), "ngram-rest")
@@ -283,12 +283,13 @@ def _expanded(pairs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made, many.join(own, "grp").select("h", "cls", "often")
 
 
-def _chain(used: DataFrame, r: int) -> DataFrame:
-    """Neighbours among the classes of each common shingle, in an order of its own; 256 cells a shingle, then the cells' heads."""
-    keyed = used.withColumn("o", F.xxhash64("cls", F.lit(r))).withColumn("cell", F.pmod("o", F.lit(256)))
-    inner = Window.partitionBy("h", "cell").orderBy("o", "cls")
-    heads = keyed.groupBy("h", "cell").agg(F.min_by("cls", "o").alias("cls"))
-    outer = Window.partitionBy("h").orderBy("cell")
+def _chain(used: DataFrame) -> DataFrame:
+    """Neighbours among the classes of each common shingle, in ORDERS orders of its own; 256 cells each, then the cells' heads."""
+    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
+    keyed = used.select("h", "cls", orders.alias("r")).withColumn("o", F.xxhash64("cls", "r")).withColumn("cell", F.pmod("o", F.lit(256)))
+    inner = Window.partitionBy("h", "r", "cell").orderBy("o", "cls")
+    heads = keyed.groupBy("h", "r", "cell").agg(F.min_by("cls", "o").alias("cls"))
+    outer = Window.partitionBy("h", "r").orderBy("cell")
     pairs = keyed.select("cls", F.lag("cls").over(inner).alias("prev")).unionByName(heads.select("cls", F.lag("cls").over(outer).alias("prev")))
     return pairs.filter("prev is not null").select(F.least("cls", "prev").alias("a"), F.greatest("cls", "prev").alias("b"))
 
@@ -346,7 +347,7 @@ def _places(used: DataFrame, label: DataFrame) -> DataFrame:
 
 def _across(used: DataFrame, label: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components, found block by block."""
-    places = _places(used, label).groupBy("cls", "c").agg(F.collect_list(F.struct("block", "at", "guest")).alias("places"))
+    places = stash(_places(used, label), "ngram-places").groupBy("cls", "c").agg(F.collect_list(F.struct("block", "at", "guest")).alias("places"))
     need = stash(places.join(by_merge(_named(members)), "cls").select("cls", "c", "places", "d.doc_id", "d.text_key"), "ngram-need")
     texts = maybe_among(docs, F.col("doc_id"), need.select("doc_id")).filter("maybe").join(need, ["doc_id", "text_key"])
     rows = texts.select("cls", "c", "text", F.explode("places").alias("p")).select("cls", "c", "text", "p.block", "p.at", "p.guest")
