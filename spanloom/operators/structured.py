@@ -1,4 +1,4 @@
-"""JSON, logs and documents compiled: paths, typed leaves, deviations, schemas with rows, templates, runs, repeated lines."""
+"""Logs and documents compiled: schemas with rows, fields, templates, runs, repeated lines."""
 
 from __future__ import annotations
 
@@ -8,76 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.text import domain_hash
 from ..sources.tables import read
 
-# Keys and words that tell what a value is. Fixed values.
-VALUE_KEYS, UNIT_KEYS, OWNER_KEYS = ("value", "amount", "limit"), ("unit", "units"), ("owner", "service", "name", "entity")
-FAILURES = r"(?i)^(error|failed|failure|critical)$"
+# Keys of log fields. Fixed values.
 ID_FIELDS = "request_id|request|trace_id|trace|span_id|correlation_id|error_code|code|event_id|caused_by|previous_event|service"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
-def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, text): an order as JSON, with an array of its items; some items lack a key."""
-    item = F.to_json(F.struct(F.col("l_linenumber").alias("id"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("int")).alias("value"), F.lit("pieces").alias("unit"), F.col("l_suppkey").cast("string").alias("owner"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok").alias("status")))
-    items = _items(spark, sf_dir)
-    listed = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("j")))).alias("items"))
-    text = F.concat(F.lit('{"a/b":{"~n":'), F.col("l_orderkey").cast("string"), F.lit('},"records":['), F.concat_ws(",", F.transform("items", lambda i: i["j"])), F.lit("]}"))
-    return listed.select(F.col("l_orderkey").alias("source_id"), text.alias("text"))
-
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item per number of an order: the one of the smallest part, supplier and price."""
     nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
     return read(spark, sf_dir, "lineitem").withColumn("nth", nth).filter("nth = 1").drop("nth")
 
 
-def json_nodes(texts: DataFrame, depth: int = 8) -> DataFrame:
-    """(source_id, pointer, key, parent, kind, value) of every node below the root, level by level as far as there are any;
-    keys in pointers are escaped (~ as ~0, / as ~1)."""
-    escaped = lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-    level, out = texts.select("source_id", F.lit("").alias("pointer"), F.col("text").alias("value")), None
-    for _ in range(depth):
-        fields = F.map_entries(F.from_json("value", "map<string,string>"))
-        cells = F.transform(F.from_json("value", "array<string>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
-        children = F.when(F.col("value").startswith("{"), fields).when(F.col("value").startswith("["), cells)
-        level = level.select("source_id", F.col("pointer").alias("parent"), F.explode(children).alias("c")).select("source_id", F.concat("parent", F.lit("/"), escaped(F.col("c.key"))).alias("pointer"), F.col("c.key").alias("key"), "parent", F.col("c.value").alias("value"))
-        if not level.limit(1).count():
-            break
-        kind = F.when(F.col("value").isNull(), "null").when(F.col("value").startswith("{"), "object").when(F.col("value").startswith("["), "array").when(F.col("value").rlike(r"^-?\d+$"), "integer").otherwise("string")
-        rows = level.withColumn("kind", kind)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def json_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes per path, with indices of arrays left out: kinds and how many."""
-    rows = json_nodes(order_json(spark, sf_dir))
-    return rows.groupBy(F.regexp_replace("pointer", r"/\d+(?=/|$)", "/[]").alias("path"), "kind").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
-
-
-def json_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values with their unit and owner: siblings by the first key of each list that is there."""
-    rows = json_nodes(order_json(spark, sf_dir)).groupBy("source_id", "parent").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
-    first = lambda keys: F.coalesce(*[F.col("m")[k] for k in keys])
-    made = rows.select("source_id", "parent", first(VALUE_KEYS).cast("long").alias("value"), first(UNIT_KEYS).alias("unit"), first(OWNER_KEYS).alias("owner"))
-    return made.filter("value is not null and (unit is not null or owner is not null)")
-
-
-def json_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of arrays that lack a key that others have or hold the last present value of a key that varies, and rows whose
-    status is a failure."""
-    nodes = json_nodes(order_json(spark, sf_dir))
-    arrays = nodes.filter("parent = '/records' and kind = 'object'").select("source_id", F.col("pointer").alias("row"), F.col("key").cast("int").alias("i"))
-    leaves = nodes.filter("parent like '/records/%'").select("source_id", F.col("parent").alias("row"), "key", "value")
-    sizes = arrays.groupBy("source_id").agg(F.count("*").alias("rows")).filter("rows >= 2")
-    cells = arrays.join(sizes, "source_id").join(leaves.select("source_id", "key").distinct(), "source_id").join(leaves, ["source_id", "row", "key"], "left")
-    group = Window.partitionBy("source_id", "key")
-    last = F.last("value", ignorenulls=True).over(group.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cells = cells.withColumn("last", last).withColumn("present", F.count("value").over(group)).withColumn("low", F.min("value").over(group)).withColumn("high", F.max("value").over(group))
-    varies = cells.filter((F.col("present") < F.col("rows")) | (F.col("low") != F.col("high"))).filter(F.col("value").isNull() | (F.col("value") == F.col("last"))).select("source_id", "row", F.concat(F.lit("peer:"), "key").alias("reason"))
-    failed = leaves.filter("key = 'status'").filter(F.col("value").rlike(FAILURES)).select("source_id", "row", F.lit("status").alias("reason"))
-    return varies.unionByName(failed).distinct().groupBy("reason").agg(F.count("*").alias("rows"), F.countDistinct("source_id").alias("sources"))
-
-
 def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of flat objects as a header (keys in order of first sight, types, number of rows) and a line per row, with ~
     for what is missing; as a digest and its size."""
@@ -177,13 +118,6 @@ _E = """with e as (select user_id as source_id, event_id as ordinal, event_type,
     case when event_type = 'error' then 'E' || event_id % 7 end as code, case when event_id % 9 = 0 then null when event_type = 'error' then 'ERROR' when event_type = 'purchase' then 'WARN' else 'INFO' end as severity, event_id % 4 = 0 as two from events),
     t as (select *, coalesce(severity || ' ', '') || two || coalesce(code, '') as template from e)"""
 SQL = {
-    "json_structure": _I + """ select path, kind, count(*) as n, count(distinct k) as sources from (select l_orderkey as k, unnest([('/records/[]/id', 'integer'), ('/records/[]/unit', 'string'), ('/records/[]/owner', 'integer'), ('/records/[]/status', 'string'), ('/records/[]', 'object')]) as x, x[1] as path, x[2] as kind from i
-        union all select l_orderkey, null, '/records/[]/value', 'integer' from i where l_linenumber % 3 <> 0 union all select distinct l_orderkey, null, '/records', 'array' from i union all select distinct l_orderkey, null, '/a~1b', 'object' from i union all select distinct l_orderkey, null, '/a~1b/~0n', 'integer' from i) group by 1, 2""",
-    "json_owners": _I + " select l_orderkey as source_id, '/records/' || (row_number() over (partition by l_orderkey order by l_linenumber) - 1) as parent, case when l_linenumber % 3 <> 0 then cast(l_quantity as bigint) end as value, 'pieces' as unit, cast(l_suppkey as varchar) as owner from i qualify value is not null",
-    "json_anomalies": _I + """, r as (select l_orderkey as k, l_linenumber as ln, case when l_linenumber % 3 <> 0 then cast(l_quantity as bigint) end as v, l_suppkey as o, l_returnflag = 'R' as f from i), g as (select *, count(*) over (partition by k) as rows, count(v) over (partition by k) as vs, max(v) over (partition by k) as vh, min(v) over (partition by k) as vl,
-        min(o) over (partition by k) <> max(o) over (partition by k) as od, bool_or(f) over (partition by k) and bool_or(not f) over (partition by k) as fd, max(ln) over (partition by k) as last, last_value(v ignore nulls) over w as lv, last_value(o) over w as lo, last_value(f) over w as lf from r window w as (partition by k order by ln rows between unbounded preceding and unbounded following)),
-        x as (select k, ln, 'status' as reason from g where f union all select k, ln, 'peer:id' from g where rows >= 2 and ln = last union all select k, ln, 'peer:owner' from g where rows >= 2 and od and o = lo union all select k, ln, 'peer:status' from g where rows >= 2 and fd and f = lf
-        union all select k, ln, 'peer:value' from g where rows >= 2 and vs > 0 and (vs < rows or vl <> vh) and (v is null or v = lv)) select reason, count(*) as rows, count(distinct k) as sources from x group by 1""",
     "json_table": _I + """, l as (select l_orderkey, count(*) as n, '@schema id value flag' || chr(10) || '@types integer ' || case when count(*) filter (l_linenumber % 3 <> 0) > 0 then 'integer' else 'null' end || ' string' || chr(10) || '@rows=' || count(*) || chr(10) ||
         string_agg('@row ' || l_linenumber || ' ' || case when l_linenumber % 3 <> 0 then cast(cast(l_quantity as integer) as varchar) else '~' end || ' ' || l_returnflag, chr(10) order by l_linenumber) as t from i group by 1) select l_orderkey, n, sha256(t) as digest, strlen(t) as n_bytes from l""",
     "canonical_hashes": """with j as (select c_custkey, '{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '","title":' || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || '}' as json from customer) select c_custkey, json, 'sha256:' || sha256('spanloom.record' || chr(0) || json) as hash from j""",

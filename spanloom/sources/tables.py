@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,29 @@ INCIDENT = _INCIDENT.format(date="date_format(o_orderdate, 'yyyy-MM-dd')", text=
 INCIDENT_SQL = _INCIDENT.format(date="strftime(o_orderdate, '%Y-%m-%d')", text="varchar")
 
 
+# An order's items as objects of JSON: some lack a key, some have more, numbers have two forms.
+_VALUE = "case when nth % 3 <> 0 then concat(cast(cast(l_quantity as {whole}) as {text}), case when nth % 2 = 0 then '.5' else '' end) end"
+_ITEM = """concat('{{"id":', nth, case when nth % 3 <> 0 then concat(', "value": ', {value}) else '' end, ',"unit":"pieces","owner":"', l_suppkey, '","status":"', case when l_returnflag = 'R' then 'request failed' else 'ok' end, '"',
+    case when nth % 4 = 0 then {rest} else '' end, '}}')"""
+_HEAD = """concat(case when l_orderkey % 5 = 0 then {bom} else '' end, '{{"a/b":{{"~n":', l_orderkey, '}},"records":[')"""
+_REST = """',"share":" 12% ","tags":[true,null,{"k/~":[1.50]}],"trace_id":"tSLASHu00e9"'"""
+_NTH = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+ORDER_ITEMS_SQL = (
+    "with l as (select *, " + _NTH + " as nth from lineitem), i as (select l_orderkey as k, nth, " + _ITEM.format(value=_VALUE.format(whole="integer", text="varchar"), rest=_REST.replace("SLASH", "\\")) + " as item, "
+    + _VALUE.format(whole="integer", text="varchar") + " as value, l_returnflag = 'R' as failed, cast(l_suppkey as varchar) as owner, " + _HEAD.format(bom="chr(65279)") + " as head, case when l_orderkey % 5 = 0 then chr(65279) else '' end as bom from l)"
+)
+
+
+def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, text): an order as JSON, with an array of all its items; some texts begin with a byte order mark, some are
+    broken: a key twice, an open bracket, a number with a leading zero."""
+    items = read(spark, sf_dir, "lineitem").selectExpr("*", _NTH + " as nth").selectExpr("l_orderkey", "nth", _ITEM.format(value=_VALUE.format(whole="int", text="string"), rest=_REST.replace("SLASH", "\\\\")) + " as item")
+    listed = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("nth", "item"))).alias("items"))
+    tail = "case when l_orderkey % 11 = 0 then '],\"records\":0}' when l_orderkey % 13 = 0 then ']' when l_orderkey % 17 = 0 then '],\"x\":01}' else ']}' end"
+    text = F.concat(F.expr(_HEAD.format(bom="cast(x'EFBBBF' as string)")), F.concat_ws(",", F.transform("items", lambda i: i["item"])), F.expr(tail))
+    return listed.select(F.col("l_orderkey").alias("source_id"), text.alias("text"))
+
+
 def dialogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, text): each conversation as lines `role: text`, in which line feeds of a turn become blanks."""
     turns = read(spark, sf_dir, "conversations").selectExpr("conv_id as source_id", "turn", "concat(role, ': ', replace(text, chr(10), ' ')) as line")
