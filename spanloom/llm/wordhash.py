@@ -14,7 +14,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_SPAN = 1 << 20
+_SPAN = 1 << 17
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -43,7 +43,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, n + 1 word offsets) for runs of rows of about 1 MB; a longer text makes a longer run."""
+    """(first row, word hashes, n + 1 word offsets) for runs of rows of about 128 KB; a longer text makes a longer run."""
     data, at = buffers(column)
     row, rows = 0, len(at) - 1
     while row < rows:
