@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import extract, graph, json_index, lexical, ranking, records, selection, stats, structured, verify
-from ..sources import scans
+from ..sources import offsets, scans
 
-MODULES = (extract, lexical, records, json_index, structured, ranking, selection, graph, verify, stats, scans)
+MODULES = (extract, lexical, records, json_index, structured, ranking, selection, graph, verify, stats, scans, offsets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

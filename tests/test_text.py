@@ -1,7 +1,6 @@
 """What the tables can't show: hard lexemes, mode boundaries, nested JSON, sinks, pooled blocks."""
 
 import hashlib
-import json
 import random
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import CLASSES, SENTENCE, marker, match_rows, overlap_join
 from spanloom.operators.lexical import typed_rows
 from spanloom.operators.stats import isotonic, pooled
-from spanloom.operators.structured import json_nodes, parsed_events
+from spanloom.operators.structured import parsed_events
 from spanloom.sources import scans, sinks
 
 
@@ -57,12 +56,6 @@ def test_overlaps_are_those_of_a_plain_version(spark):
         assert sorted(map(tuple, got)) == sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and fits(x, y))
 
 
-def test_nested_json(spark):
-    text = json.dumps({"a/b": {"~x": [1, {"y": None}]}, "s": "t"})
-    rows = {r.pointer: (r.kind, r.value) for r in json_nodes(spark.createDataFrame([(1, text)], "source_id long, text string")).collect()}
-    assert rows["/a~1b/~0x/0"] == ("integer", "1") and rows["/a~1b/~0x/1/y"][0] == "null" and rows["/s"] == ("string", "t") and rows["/a~1b"][0] == "object"
-
-
 def test_last_field_wins(spark):
     line = "2024-01-01T10:00:00.5+02:00 WARN trace=a span_id=b request=r code=E1 code=E2 IOError"
     r = parsed_events(spark.createDataFrame([(1, 1, line)], "source_id long, ordinal long, line string")).first()
