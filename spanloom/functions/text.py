@@ -91,11 +91,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_./:@%+-]+)"), F.lit(1))
 
 
-def stable_id(prefix: str, *parts: Column) -> Column:
-    """The same number for the same parts: 20 digits of their digest."""
-    return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 20))
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """With six digits, ties to even; null without a whole."""
     return F.when(whole != 0, F.bround((part / whole).cast("decimal(38,20)"), 6).cast("double"))

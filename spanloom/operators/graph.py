@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
+from ..functions.canonical import stable_id
 from ..sources.tables import line_spans, read
 
 
@@ -85,9 +85,9 @@ def fact_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _R = """with e as (select distinct l_orderkey as k, 'part:' || l_partkey as node from lineitem union select o_orderkey, 'customer:' || o_custkey from orders), g as (select k, string_agg(node, ',' order by node) as joined, count(*) as n from e group by 1 having count(*) >= 2),
-    r as (select joined, any_value(n) as n, count(*) as merged, 'relation:' || substr(sha256(joined), 1, 20) as relation_id from g group by 1)"""
+    r as (select joined, any_value(n) as n, count(*) as merged, 'relation:' || substr(sha256('["' || joined || '"]'), 1, 20) as relation_id from g group by 1)"""
 SQL = {
-    "fact_nodes": """select 'fact:' || substr(sha256(concat_ws('|', 'numeric.unit', value, owner, 'pieces', scope, polarity)), 1, 20) as node_id, * from (select cast(l_quantity as integer) as value, l_suppkey as owner, l_linestatus as scope, l_returnflag as polarity, count(*) as evidence, min(l_orderkey) as source_order from lineitem group by 1, 2, 3, 4)""",
+    "fact_nodes": """select 'fact:' || substr(sha256('["' || concat_ws('","', 'numeric.unit', value, owner, 'pieces', scope, polarity) || '"]'), 1, 20) as node_id, * from (select cast(l_quantity as integer) as value, l_suppkey as owner, l_linestatus as scope, l_returnflag as polarity, count(*) as evidence, min(l_orderkey) as source_order from lineitem group by 1, 2, 3, 4)""",
     "span_nodes": "with s as (select l_orderkey, string_agg(distinct l_returnflag || l_linestatus, ',' order by l_returnflag || l_linestatus) as spans from lineitem group by 1) select spans, count(*) as merged, min(l_orderkey) as first_source from s group by 1",
     "relation_nodes": _R + " select relation_id, n as endpoints, merged from r",
     "node_relations": _R + ", x as (select relation_id, unnest(string_split(joined, ',')) as node from r) select node, count(distinct relation_id) as relations, min(relation_id) as first_relation from x group by 1",

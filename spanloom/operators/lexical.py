@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CLASSES, HELD, HOLDERS, MARKERS, ROLE, SENTENCE, STOP_WORDS, marker, match_rows, overlap_join
 from ..sources.tables import INCIDENT_SQL, dialogue_texts, incident_notes, read
+from .structured import SAID_SQL, dialogue_turns
 
 
 def typed_rows(texts: DataFrame) -> DataFrame:
@@ -74,10 +75,10 @@ def spans_of_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dialogue_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that correct the turn before them, with message ids made from place, role and digest."""
-    turns = read(spark, sf_dir, "conversations")
+    turns = dialogue_turns(spark, sf_dir)
     turns = turns.withColumn("message_id", F.concat_ws(":", F.lit("msg"), "turn", "role", F.substring(F.sha2("text", 256), 1, 16)))
     before = F.lag("message_id").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.withColumn("superseded", before).filter("superseded is not null").filter(F.col("text").rlike(r"(?i)\bon\b")).select("conv_id", "message_id", "superseded")
+    return turns.withColumn("superseded", before).filter("superseded is not null").filter(F.col("text").rlike(marker("temporal.correction"))).select("conv_id", "message_id", "superseded")
 
 
 _N = "with n as (select o_orderkey as k, o_orderdate, o_custkey, o_orderstatus, " + INCIDENT_SQL + " as t from orders), p as (select *, strpos(t, ' at ') + 3 as at_, strpos(t, ' version ') + 8 as ver, strpos(t, ' cost ') + 5 as cost, strpos(t, ' and ') + 4 as cur, strpos(t, ' share ') + 6 as share, strpos(t, ' load ') + 5 as load, strpos(t, ' for Depot') + 4 as dep, strpos(t, ' as REQ') + 3 as req, strpos(t, ' sum ') + 4 as hash from n)"
@@ -124,6 +125,6 @@ SQL = {
     "spans_of_sentences": """with m as (select doc_id, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]|$)') as s from documents), x as (select doc_id, unnest(range(len(s))) as i, unnest(s) as lex from m),
         w as (select doc_id, i, 'number' as class, unnest(regexp_extract_all(lex, '[0-9]+')) as w from x union all select doc_id, i, 'capital', unnest(regexp_extract_all(lex, '[A-Z][a-z]+')) from x)
         select class, count(*) as n, count(distinct (doc_id, i)) as sentences from w group by 1""",
-    "dialogue_corrections": """with t as (select *, 'msg:' || turn || ':' || role || ':' || substr(sha256(text), 1, 16) as message_id from conversations), l as (select *, lag(message_id) over (partition by conv_id order by turn) as superseded from t)
-        select conv_id, message_id, superseded from l where superseded is not null and list_contains(string_split_regex(lower(text), '[^a-z0-9_à-öø-ÿß]+'), 'on')""",
+    "dialogue_corrections": """with c as (select conv_id, turn, role, text || """ + SAID_SQL + """ as text from conversations), t as (select *, 'msg:' || turn || ':' || role || ':' || substr(sha256(text), 1, 16) as message_id from c), l as (select *, lag(message_id) over (partition by conv_id order by turn) as superseded from t)
+        select conv_id, message_id, superseded from l where superseded is not null and list_has_any(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), ['actually', 'instead', 'correction', 'corrected', 'supersedes', 'update', 'updated'])""",
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import domain_hash
+from ..functions.canonical import canonical, canonical_hash, stable_id
 from ..sources.tables import read
 
 # Keys of log fields. Fixed values.
 ID_FIELDS = "request_id|request|trace_id|trace|span_id|correlation_id|error_code|code|event_id|caused_by|previous_event|service"
+# A turn with one of these, wherever in a word, is kept.
+KEPT_WORDS = ("correction", "actually", "instead", "must", "prohibited", "commit")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
@@ -32,9 +34,15 @@ def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as canonical JSON (keys sorted, nulls kept, no blanks) under a hash of their domain."""
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("title")), {"ignoreNullFields": "false"}).alias("json"))
-    return rows.select("c_custkey", "json", domain_hash("spanloom.record", F.col("json")).alias("hash"))
+    """Customers as canonical JSON under a hash of their domain, and their short ids."""
+    odd = F.col("c_custkey") % 2 == 0
+    record = F.struct(
+        F.col("c_custkey").alias("id"), F.when(odd, F.col("c_name")).alias("title"), F.concat("c_mktsegment", F.lit('\t"\\\x1f')).alias("é"), F.array(F.col("c_acctbal").cast("double"), F.col("c_custkey") / 8, F.lit(1e21), F.lit(1e-7), F.lit(-0.0)).alias("Nums"),
+        F.create_map(F.lit("\ue000"), odd, F.lit("\U00010000"), F.col("c_custkey") % 3 == 0).alias("m"),
+    )
+    rows = read(spark, sf_dir, "customer").select("c_custkey", record.alias("record"))
+    kind = rows.schema["record"].dataType
+    return rows.select("c_custkey", canonical(F.col("record"), kind).alias("json"), canonical_hash("spanloom.record", F.col("record"), kind).alias("hash"), stable_id("c", F.col("c_custkey"), F.col("record.title")).alias("id"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,26 +101,40 @@ def log_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(kept.alias("verbatim"), F.when(~kept, F.col("template")).alias("template")).agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
 
 
-def compiled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with repeated lines: first and last place kept, those between one marker, rendered again in order."""
-    docs = read(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter("line <> ''")
-    same = Window.partitionBy("doc_id", "line")
+def document_segments(texts: DataFrame) -> DataFrame:
+    """(source_id, at, kind, text, occurrences): the lines of texts (source_id, text) without their ends and without empty ones;
+    of equal lines the first and the last stay, and those between become one marker at the second's place, which names how
+    often the line stands there in all."""
+    lines = texts.select("source_id", F.posexplode(F.split("text", LINE_BREAK)).alias("at", "line")).filter("line <> ''")
+    same = Window.partitionBy("source_id", "line")
     rows = lines.withColumn("n", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy("at")))
-    shown = F.when((F.col("nth") == 2) & (F.col("n") > 2), F.concat(F.lit("[repeated "), F.col("n") - 2, F.lit(" times]"))).when((F.col("nth") == 1) | (F.col("nth") == F.col("n")), F.col("line"))
-    made = rows.withColumn("shown", shown).filter("shown is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "shown"))).alias("lines"), F.max("n").alias("most"))
-    text = F.concat_ws("\n", F.transform("lines", lambda x: x["shown"]))
-    return made.filter("most > 1").select("doc_id", "most", F.sha2(text, 256).alias("digest"))
+    marker = (F.col("nth") == 2) & (F.col("n") > 2)
+    kept = rows.filter(marker | F.col("nth").isin(1) | (F.col("nth") == F.col("n")))
+    return kept.select("source_id", "at", F.when(marker, "repetition_marker").otherwise("document_segment").alias("kind"), F.when(marker, F.concat(F.lit("[repeated "), "n", F.lit(" times]"))).otherwise(F.col("line")).alias("text"), F.col("n").alias("occurrences"))
+
+
+def compiled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated lines marked, rendered again in order."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    made = document_segments(docs).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("lines"), F.max("occurrences").alias("most"), F.count_if(F.col("kind") == "repetition_marker").alias("markers"))
+    return made.select(F.col("source_id").alias("doc_id"), "most", "markers", F.sha2(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), 256).alias("digest"))
+
+
+def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, role, text): turns of conversations, some of which correct, promise or forbid something."""
+    said = F.expr("case (conv_id + turn) % 9 when 0 then ' Actually, make it seven.' when 1 then ' We are COMMITTED to it.' when 2 then ' PLEASE UPDATE it.' when 3 then ' mustard' when 4 then ' Never on Monday' else '' end")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", said).alias("text"))
 
 
 def required_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that must survive: those of systems and developers, the latest of the user, and those with a marker word."""
-    turns = read(spark, sf_dir, "conversations")
+    """Turns that must survive: those of systems and developers, the latest of the user, and those with a marker, also within a word."""
+    turns = dialogue_turns(spark, sf_dir)
     latest = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    why = F.array_compact(F.array(F.when(F.col("role").isin("system", "developer"), F.lit("role")), F.when((F.col("role") == "user") & (F.col("turn") == latest), F.lit("latest")), F.when(F.col("text").rlike(r"(?i)(?U)\b(must|not|never|instead)\b"), F.lit("marker"))))
+    why = F.array_compact(F.array(F.when(F.col("role").isin("system", "developer"), F.lit("role")), F.when((F.col("role") == "user") & (F.col("turn") == latest), F.lit("latest")), F.when(F.lower("text").rlike("|".join(KEPT_WORDS)), F.lit("marker"))))
     return turns.select("conv_id", "turn", F.concat_ws(",", why).alias("reasons")).filter("reasons <> ''")
 
 
+SAID_SQL = "case (conv_id + turn) % 9 when 0 then ' Actually, make it seven.' when 1 then ' We are COMMITTED to it.' when 2 then ' PLEASE UPDATE it.' when 3 then ' mustard' when 4 then ' Never on Monday' else '' end"
 _I = "with i as (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) = 1)"
 _E = """with e as (select user_id as source_id, event_id as ordinal, event_type, ts, event_id % 9 = 0 as bare, case when event_id % 4 = 0 then 'u' || event_id % 3 else 't' || event_id % 5 end as trace, case when event_id % 4 = 0 then 'api' else 'web' end as service,
     case when event_type = 'error' then 'E' || event_id % 7 end as code, case when event_id % 9 = 0 then null when event_type = 'error' then 'ERROR' when event_type = 'purchase' then 'WARN' else 'INFO' end as severity, event_id % 4 = 0 as two from events),
@@ -120,7 +142,9 @@ _E = """with e as (select user_id as source_id, event_id as ordinal, event_type,
 SQL = {
     "json_table": _I + """, l as (select l_orderkey, count(*) as n, '@schema id value flag' || chr(10) || '@types integer ' || case when count(*) filter (l_linenumber % 3 <> 0) > 0 then 'integer' else 'null' end || ' string' || chr(10) || '@rows=' || count(*) || chr(10) ||
         string_agg('@row ' || l_linenumber || ' ' || case when l_linenumber % 3 <> 0 then cast(cast(l_quantity as integer) as varchar) else '~' end || ' ' || l_returnflag, chr(10) order by l_linenumber) as t from i group by 1) select l_orderkey, n, sha256(t) as digest, strlen(t) as n_bytes from l""",
-    "canonical_hashes": """with j as (select c_custkey, '{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '","title":' || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || '}' as json from customer) select c_custkey, json, 'sha256:' || sha256('spanloom.record' || chr(0) || json) as hash from j""",
+    "canonical_hashes": """with j as (select c_custkey, '{"Nums":[' || regexp_replace(cast(cast(c_acctbal as double) as varchar), '\\.0$', '') || ',' || regexp_replace(cast(c_custkey / 8 as varchar), '\\.0$', '') || ',1e+21,1e-7,0],"id":' || c_custkey || ',"m":{"' || chr(65536) || '":' || (c_custkey % 3 = 0) || ',"' || chr(57344) || '":' || (c_custkey % 2 = 0) || '},"title":'
+        || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || ',"é":"' || c_mktsegment || '\\t\\"\\\\\\u001f"}' as json, '["' || c_custkey || '",' || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || ']' as parts from customer)
+        select c_custkey, json, 'sha256:' || sha256('spanloom.record' || chr(0) || json) as hash, 'c:' || substr(sha256(parts), 1, 20) as id from j""",
     "event_fields": _E + " select service, trace, code, case when code is not null then 'TimeoutError' end as exception, count(*) as n, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) as first_seen, count(severity) as severities from e group by 1, 2, 3, 4",
     "trace_transitions": _E + ", l as (select *, lag(severity) over (partition by source_id, trace order by ordinal) as before from e where severity is not null) select trace, before, severity, count(*) as n from l where before <> severity group by 1, 2, 3",
     "template_runs": _E + """, n as (select *, coalesce(severity in ('ERROR', 'WARN'), false) as kept, case when lag(template) over w is distinct from template then 1 else 0 end as new from t window w as (partition by source_id order by ordinal)), r as (select *, sum(new) over (partition by source_id order by ordinal) as run from n)
@@ -128,7 +152,8 @@ SQL = {
     "log_candidates": _E + """ select verbatim, template, count(*) as n, min(ordinal) as first, max(ordinal) as last from (select ordinal, severity in ('ERROR', 'WARN') is true or code is not null as verbatim,
         case when not (severity in ('ERROR', 'WARN') is true or code is not null) then '<timestamp> ' || coalesce(severity || ' ', '') || 'service=web trace=<id>' || case when two then ' trace=<id> service=api' else '' end || ' trace=<id> done' end as template from e) group by 1, 2""",
     "compiled_documents": """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as at_ from documents), c as (select *, count(*) over (partition by doc_id, line) as n, row_number() over (partition by doc_id, line order by at_) as nth from l where line <> ''),
-        s as (select *, case when nth = 2 and n > 2 then '[repeated ' || (n - 2) || ' times]' when nth = 1 or nth = n then line end as shown from c) select doc_id, max(n) as most, sha256(string_agg(shown, chr(10) order by at_)) as digest from s where shown is not null group by 1 having max(n) > 1""",
-    "required_turns": """with t as (select *, max(case when role = 'user' then turn end) over (partition by conv_id) as latest, string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') as words from conversations)
-        select conv_id, turn, concat_ws(',', case when role in ('system', 'developer') then 'role' end, case when role = 'user' and turn = latest then 'latest' end, case when list_has_any(words, ['must', 'not', 'never', 'instead']) then 'marker' end) as reasons from t where reasons <> ''""",
+        s as (select *, nth = 2 and n > 2 as mark, case when nth = 2 and n > 2 then '[repeated ' || n || ' times]' when nth = 1 or nth = n then line end as shown from c) select doc_id, max(n) as most, count(*) filter (mark) as markers, sha256(string_agg(shown, chr(10) order by at_)) as digest from s where shown is not null group by 1""",
+    "required_turns": """with t as (select *, max(case when role = 'user' then turn end) over (partition by conv_id) as latest, """+SAID_SQL+""" as said from conversations), m as (select *, lower(text || said) as low from t)
+        select conv_id, turn, concat_ws(',', case when role in ('system', 'developer') then 'role' end, case when role = 'user' and turn = latest then 'latest' end,
+        case when contains(low, 'correction') or contains(low, 'actually') or contains(low, 'instead') or contains(low, 'must') or contains(low, 'prohibited') or contains(low, 'commit') then 'marker' end) as reasons from m where reasons <> ''""",
 }
