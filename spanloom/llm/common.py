@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\f\r"
 MOST_BITS = 25
 ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +42,27 @@ def stash(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{what}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
+    with short_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, rows go to Python workers by at most BATCH_ROWS and BATCH_BYTES at a time, as whole texts are large; an
+    even smaller setting of the session stays."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in most}
+    try:
+        for k, v in most.items():
+            own = re.fullmatch(r"([1-9]\d*)b?", before[k])
+            spark.conf.set(k, str(min(v, int(own[1])) if own else v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def chunks_of(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of a text column; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -47,7 +47,7 @@ FOLDS = 5
 WEIGHT = 60
 MOST = 2_000_000
 KNOWN = 200_000
-HELD = 80_000
+HELD = 30_000
 LETTERS = 200
 _TINY = 1e-7
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,8 +229,8 @@ def _broadcast_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFram
         tables: dict[str, np.ndarray] = {}
         for whole in batches:
             best: list[tuple] = []
-            for at in range(0, whole.num_rows, 512):
-                langs, texts = (whole.column(i).slice(at, 512).to_pylist() for i in (2, 3))
+            for at in range(0, whole.num_rows, 128):
+                langs, texts = (whole.column(i).slice(at, 128).to_pylist() for i in (2, 3))
                 words = [_words(t) for t in texts]
                 tried = [[lang] if lang in known else own.langs for lang in langs]
                 for lang in own.langs:
