@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Patterns, word lists and stop words that results depend on. (?U): Unicode classes and word borders.
 # A sentence begins behind the end of another, so no other place is tried: long lines without an end stay linear.
 SENTENCE = r"(?d)(?<![^.!?\n])[^.!?\n]++(?:[.!?]|$)"
+CLAIM = r"[^\n.!?]++[.!?]*+"
 CLASSES = {
     "temporal.date": r"(?U)\b\d{4}[-/]\d{2}[-/]\d{2}\b",
     "identifier.version": r"(?U)(?<!\w)v?\d+\.\d+(?:\.\d+)+(?:[-+][0-9A-Za-z.-]+)?\b",

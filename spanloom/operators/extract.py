@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CLASSES, MARKERS, SENTENCE, domain_hash, marker, match_rows, normalized
+from ..functions.text import CLAIM, CLASSES, MARKERS, SENTENCE, domain_hash, marker, match_rows, normalized
 from ..sources.tables import order_notes, part_notes, read
 
 
@@ -38,10 +38,33 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", zero("n", "n_sentences"), zero("s", "sum_start"), zero("e", "sum_end"))
 
 
+def claims(texts: DataFrame) -> DataFrame:
+    """(source_id, start, sentence): claims of texts (source_id, text): up to the end of a line or with all the signs that end
+    a sentence, in which a carriage return counts as a line feed; blank ones are left out."""
+    rows = match_rows(texts, ["source_id"], "text", {"claim": CLAIM})
+    return rows.select("source_id", "start", F.regexp_replace("lexeme", "\r", "\n").alias("sentence")).filter(F.col("sentence").rlike(r"(?U)[^\s\x1c-\x1f]"))
+
+
+def document_candidates(texts: DataFrame) -> DataFrame:
+    """(source_id, place, kind, n, first_start, rendered): one candidate for equal claims, in the order of their first places; a
+    repeated one is rendered as an aggregate with its count."""
+    trimmed = F.regexp_replace("sentence", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    groups = claims(texts).groupBy("source_id", "sentence").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("first_start")) + 4999
+    many = F.col("n") > 1
+    rendered = F.when(many, F.concat(F.lit("- repeated_exact count="), F.col("n"), F.lit(" text="), trimmed)).otherwise(trimmed)
+    return groups.select("source_id", place.alias("place"), F.when(many, "document_aggregate").otherwise("document_sentence").alias("kind"), "n", "first_start", rendered.alias("rendered"))
+
+
 def duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that a document has more than once: how often, and where first."""
-    rows = match_rows(read(spark, sf_dir, "documents"), ["doc_id"], "text", {"sentence": SENTENCE})
-    return rows.groupBy("doc_id", F.col("lexeme").alias("sentence")).agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start")).filter("n > 1")
+    """Claims that a document has more than once: how often, and where first."""
+    rows = claims(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+    return rows.groupBy(F.col("source_id").alias("doc_id"), "sentence").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start")).filter("n > 1")
+
+
+def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_candidates(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+    return rows.select(F.col("source_id").alias("doc_id"), "place", "kind", "n", "first_start", F.sha2("rendered", 256).alias("digest"))
 
 
 def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +131,10 @@ def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.filter("role in ('system', 'developer') or latest_user").select("conv_id", "turn", "role", "latest_user", F.length("text").cast("long").alias("n_chars"))
 
 
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
+CLAIMS_SQL = """with m as (select doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]*') as s, regexp_split_to_array(text, '[^.!?\\n]+[.!?]*') as g from documents),
+    x as (select doc_id, unnest(range(1, len(s) + 1)) as i, unnest(s) as lex, unnest(g[1:len(s)]) as gap from m),
+    y as (select doc_id, lex, sum(length(gap) + length(lex)) over (partition by doc_id order by i) - length(lex) as st from x)"""
 SQL = {
     "source_identity": """select doc_id, 'src:' || doc_id || ':' || substr(sha256(text), 1, 16) as source_id,
         sha256(regexp_replace(regexp_replace(text, '^' || chr(65279), ''), '\\r\\n?', chr(10), 'g')) as normalized_sha256,
@@ -122,10 +149,10 @@ SQL = {
         x as (select doc_id, unnest(range(1, len(s) + 1)) as i, unnest(s) as lex, unnest(g[1:len(s)]) as gap from m),
         y as (select doc_id, sum(length(gap) + length(lex)) over (partition by doc_id order by i) as e, length(lex) as n from x)
         select d.doc_id, count(e) as n_sentences, cast(coalesce(sum(e - n), 0) as bigint) as sum_start, cast(coalesce(sum(e), 0) as bigint) as sum_end from documents d left join y using (doc_id) group by 1""",
-    "duplicate_sentences": """with m as (select doc_id, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]|$)') as s, regexp_split_to_array(text, '[^.!?\\n]+(?:[.!?]|$)') as g from documents),
-        x as (select doc_id, unnest(range(1, len(s) + 1)) as i, unnest(s) as lex, unnest(g[1:len(s)]) as gap from m),
-        y as (select doc_id, lex, sum(length(gap) + length(lex)) over (partition by doc_id order by i) - length(lex) as st from x)
-        select doc_id, lex as sentence, count(*) as n, cast(min(st) as bigint) as first_start from y group by 1, 2 having count(*) > 1""",
+    "duplicate_sentences": CLAIMS_SQL + " select doc_id, replace(lex, chr(13), chr(10)) as sentence, count(*) as n, cast(min(st) as bigint) as first_start from y where trim(lex, W) <> '' group by 1, 2 having count(*) > 1".replace("W", WHITE_SQL),
+    "claim_candidates": CLAIMS_SQL + """, g as (select doc_id, replace(lex, chr(13), chr(10)) as s, count(*) as n, cast(min(st) as bigint) as first_start from y where trim(lex, W) <> '' group by 1, 2)
+        select doc_id, cast(4999 + row_number() over (partition by doc_id order by first_start) as integer) as place, case when n > 1 then 'document_aggregate' else 'document_sentence' end as kind, n, first_start,
+        sha256(case when n > 1 then '- repeated_exact count=' || n || ' text=' else '' end || trim(s, W)) as digest from g""".replace("W", WHITE_SQL),
     "duplicate_lines": """with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as line from documents)
         select doc_id, text, count(*) as n, cast(min(line) as integer) as first_line, cast(max(line) as integer) as last_line, count(*) - 2 as n_marked from l where text <> '' group by 1, 2 having count(*) > 2""",
     "capitalised_words": """with w as (select doc_id, unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}+')) as entity from documents)

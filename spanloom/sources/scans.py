@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read
@@ -38,13 +38,28 @@ def portable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", made.alias("path")).select("c_custkey", portable.alias("portable"))
 
 
+# Names of kinds and media that tell the type of content. Fixed values, tried in this order.
+KINDS = {"dialogue": ("dialogue", "conversation", "messages"), "python": ("python", "code"), "json": ("json", "structured"), "log": ("log", "logs"), "document": ("text", "document", "markdown", "plain")}
+MEDIA = {"python": ("text/x-python", "application/x-python"), "document": ("text/plain", "text/markdown")}
+
+
+def content_type(asked: Column, kind: Column, media: Column, path: Column) -> Column:
+    """What is asked for; else what the source's kind or its media type tell, then the suffix .py; else unknown."""
+    kind, media = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(media, F.lit("")))
+    of = lambda name: kind.isin(*KINDS[name])
+    told = F.when(of("dialogue"), "dialogue").when(of("python") | media.isin(*MEDIA["python"]), "python").when(of("json") | media.contains("json"), "json").when(of("log") | media.contains("log"), "log")
+    return F.coalesce(asked, told.when(path.endswith(".py"), "python").when(of("document") | media.isin(*MEDIA["document"]), "document").otherwise("unknown"))
+
+
 def routed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind of content: what is asked for, else the source's kind, its media type, its suffix, else document, unknown without
-    any text; the first that tells wins."""
-    rows = read(spark, sf_dir, "orders").selectExpr("if(o_orderkey % 7 = 0, 'log', null) as asked", "case when o_orderkey % 5 = 0 then 'dialogue' when o_orderkey % 5 = 1 then 'other' end as kind", "case when o_orderkey % 3 = 0 then 'application/json' else 'text/plain' end as media_type", "concat('f', if(o_orderkey % 2 = 0, '.py', '.txt')) as path", "if(o_orderkey % 11 = 0, '', 'x') as text")
-    known = ("document", "dialogue", "json", "log", "python")
-    kind = F.coalesce("asked", F.when(F.col("kind").isin(*known), F.col("kind")), F.when(F.col("media_type") == "application/json", "json"), F.when(F.col("path").endswith(".py"), "python"), F.when(F.col("text") != "", "document"), F.lit("unknown"))
-    return rows.groupBy(kind.alias("content_type")).agg(F.count("*").alias("n"))
+    """Orders as sources of all kinds of kind, media type and path."""
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (F.expr(by) % len(names) + 1).cast("int"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("if(o_orderkey % 17 = 0, 'log', null)").alias("asked"), pick(ROUTED_KINDS, "o_orderkey").alias("kind"), pick(ROUTED_MEDIA, "o_orderkey div 3").alias("media_type"), F.expr("case o_custkey % 3 when 0 then concat(o_custkey, '.py') when 1 then 'a.txt' end").alias("path"))
+    return rows.select("o_orderkey", content_type(F.col("asked"), F.col("kind"), F.col("media_type"), F.col("path")).alias("content_type"))
+
+
+ROUTED_KINDS = ("Dialogue", "messages", "code", "structured", "LOGS", "markdown", "image", "conversation", "plain", "video", "text")
+ROUTED_MEDIA = ("application/x-python", "application/vnd.api+JSON", "text/x-log", "text/plain", "Text/Markdown", "image/png", "application/json-log")
 
 
 def _foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +97,9 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "decoded_sources": "select c_custkey, case when c_custkey % 5 <> 0 then c_name end as text, case when c_custkey % 5 = 0 then 'INVALID_BASE64' end as code from customer",
     "portable_paths": "select c_custkey, c_custkey % 6 = 5 as portable from customer",
-    "routed_sources": "select case when o_orderkey % 7 = 0 then 'log' when o_orderkey % 5 = 0 then 'dialogue' when o_orderkey % 3 = 0 then 'json' when o_orderkey % 2 = 0 then 'python' when o_orderkey % 11 <> 0 then 'document' else 'unknown' end as content_type, count(*) as n from orders group by 1",
+    "routed_sources": """with r as (select o_orderkey, case when o_orderkey % 17 = 0 then 'log' end as asked, lower(KINDS[1 + o_orderkey % 11]) as kind, lower(MEDIA[1 + o_orderkey // 3 % 7]) as media, case o_custkey % 3 when 0 then o_custkey || '.py' when 1 then 'a.txt' end as path from orders)
+        select o_orderkey, case when asked is not null then asked when kind in ('dialogue', 'conversation', 'messages') then 'dialogue' when kind in ('python', 'code') or media in ('text/x-python', 'application/x-python') then 'python' when kind in ('json', 'structured') or media like '%json%' then 'json'
+        when kind in ('log', 'logs') or media like '%log%' then 'log' when path like '%.py' then 'python' when kind in ('text', 'document', 'markdown', 'plain') or media in ('text/plain', 'text/markdown') then 'document' else 'unknown' end as content_type from r""".replace("KINDS", str(list(ROUTED_KINDS))).replace("MEDIA", str(list(ROUTED_MEDIA))),
     "coordinates": """with f as (select doc_id, case when doc_id % 2 = 1 then chr(65279) else '' end || replace(text, chr(10), case doc_id % 3 when 0 then chr(10) when 1 then chr(13) || chr(10) else chr(13) end) as t from documents), p as (select distinct doc_id, t, unnest([0, length(t) // 3, length(t)]) as place from f),
         q as (select doc_id, place, t[1:place] as l from p), r as (select *, string_split(replace(replace(l, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) as ls from q) select doc_id, cast(place as integer) as place, len(ls) as line, length(ls[-1]) as "column", strlen(l) as byte from r""",
     "filtered_ids": """with w as (select o_custkey as id, count(*) as n from orders group by 1), c as (select c_custkey as id from customer where c_custkey % 4 <> 0) select id, 'OK' as code from c where id in (select id from w) union all select id, 'UNKNOWN_ID' from w where id not in (select id from c) union all select id, 'DUPLICATE_ID' from w where n > 1""",
