@@ -70,10 +70,16 @@ ORDER_ITEMS_SQL = (
 )
 
 
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, nth, l_returnflag, item): the items of orders, numbered, as objects of JSON."""
+    item = _ITEM.format(value=_VALUE.format(whole="int", text="string"), rest=_REST.replace("SLASH", "\\\\"))
+    return read(spark, sf_dir, "lineitem").selectExpr("*", _NTH + " as nth").selectExpr("l_orderkey", "nth", "l_returnflag", item + " as item")
+
+
 def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, text): an order as JSON, with an array of all its items; some texts begin with a byte order mark, some are
     broken: a key twice, an open bracket, a number with a leading zero."""
-    items = read(spark, sf_dir, "lineitem").selectExpr("*", _NTH + " as nth").selectExpr("l_orderkey", "nth", _ITEM.format(value=_VALUE.format(whole="int", text="string"), rest=_REST.replace("SLASH", "\\\\")) + " as item")
+    items = order_items(spark, sf_dir)
     listed = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("nth", "item"))).alias("items"))
     tail = "case when l_orderkey % 11 = 0 then '],\"records\":0}' when l_orderkey % 13 = 0 then ']' when l_orderkey % 17 = 0 then '],\"x\":01}' else ']}' end"
     text = F.concat(F.expr(_HEAD.format(bom="cast(x'EFBBBF' as string)")), F.concat_ws(",", F.transform("items", lambda i: i["item"])), F.expr(tail))
