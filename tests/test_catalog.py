@@ -17,7 +17,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_rows(spark, duck, name):
     got = catalog.queries()[name](spark, DATA)
     columns = sorted(got.columns)
