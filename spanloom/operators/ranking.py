@@ -9,30 +9,29 @@ from ..functions.text import terms, wilson
 from ..sources.tables import read
 
 K1, B, TOP = 1.2, 0.75, 10
-ASKED = 5_000
+ASKED = 100_000
 
 
 def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text, by BM25 over the corpus.
 
-    The corpus is split into terms once; of those only the ones that a question has are exploded (by a set of up to ASKED
-    literals, else by a join), and counted per document before any shuffle.
+    Of a document's terms only those that a question has are counted; a document's terms combine where its text lies. Questions
+    of up to ASKED terms in all are sent to the documents, so that no common term gathers its documents in one task; counts then
+    lie by document, where scores add up, and only the best of each task are sent on.
     """
     docs, asked = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     query = asked.select("item_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times"))
+    few = query.limit(ASKED + 1).count() <= ASKED
+    near = F.broadcast if few else (lambda df: df)
     words = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     size = words.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    wanted = query.select("term").distinct()
-    few = wanted.limit(ASKED + 1).toPandas()["term"].tolist()
-    if len(few) <= ASKED:
-        rows = words.select("doc_id", "len", F.explode(F.filter("t", lambda w: w.isin(few))).alias("term"))
-    else:
-        rows = words.select("doc_id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    rows = words.select("doc_id", "len", F.explode("t").alias("term")).join(near(query.select("term").distinct()), "term", "left_semi")
     tf = rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(query, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    worth = query.join(df, "term").crossJoin(F.broadcast(size)).select("item_id", "term", (F.col("times") * idf).alias("worth"), "mean")
+    weight = F.col("worth") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = tf.repartition("doc_id").join(near(worth), "term")
     ranked = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.filter(F.col("rank") <= TOP)
