@@ -26,14 +26,21 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), full).otherwise(plain), F.lit('"'))
 
 
-def number_text(value: Column) -> Column:
-    """A double as ECMAScript writes it: the shortest digits that read back as the same; null if it isn't finite."""
-    size = F.abs(value)
-    tries = F.array(*[F.format_string(f"%.{p}e", size) for p in range(17)])
-    short = F.get(F.filter(tries, lambda s: s.cast("double") == size), F.lit(0))
+def _shortest(value: Column) -> tuple[Column, Column, Column]:
+    """The fewest digits that read back as the same double, how many, and where the point stands among them."""
+    tries = F.array(*[F.format_string(f"%.{p}e", F.abs(value)) for p in range(17)])
+    short = F.get(F.filter(tries, lambda s: s.cast("double") == F.abs(value)), F.lit(0))
     digits = F.regexp_replace(F.replace(F.substring_index(short, "e", 1), F.lit("."), F.lit("")), r"(?<=.)0+$", "")
-    point = F.substring_index(short, "e", -1).cast("int") + 1
-    k = F.length(digits)
+    return digits, F.length(digits), F.substring_index(short, "e", -1).cast("int") + 1
+
+
+def _finite(value: Column, made: Column, zero: Column) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.when(value == 0, zero).otherwise(F.concat(F.when(value < 0, "-").otherwise(""), made)))
+
+
+def number_text(value: Column) -> Column:
+    """A double as ECMAScript writes it; null if it isn't finite."""
+    digits, k, point = _shortest(value)
     exponent = F.concat(F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
     part = lambda a, n: F.substring(digits, a, n)
     made = (
@@ -42,8 +49,21 @@ def number_text(value: Column) -> Column:
         .when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
         .when(k == 1, F.concat(digits, exponent)).otherwise(F.concat(part(F.lit(1), F.lit(1)), F.lit("."), part(F.lit(2), k), exponent))
     )
-    sound = ~F.isnan(value) & (size != float("inf"))
-    return F.when(sound, F.when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), made)))
+    return _finite(value, made, F.lit("0"))
+
+
+def float_text(value: Column) -> Column:
+    """A double as it is mostly printed: with a point or an exponent, so that it can't be taken for an integer; null if it isn't finite."""
+    digits, k, point = _shortest(value)
+    exponent = F.concat(F.when(point > 0, "e+").otherwise("e-"), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.lit(2), F.length(F.abs(point - 1).cast("string"))), F.lit("0")))
+    part = lambda a, n: F.substring(digits, a, n)
+    made = (
+        F.when((point >= k) & (point <= 16), F.concat(digits, F.repeat(F.lit("0"), point - k), F.lit(".0")))
+        .when((point > 0) & (point <= 16), F.concat(part(F.lit(1), point), F.lit("."), part(point + 1, k)))
+        .when((point > -4) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(k == 1, F.concat(digits, exponent)).otherwise(F.concat(part(F.lit(1), F.lit(1)), F.lit("."), part(F.lit(2), k), exponent))
+    )
+    return _finite(value, made, F.when(value.cast("string").startswith("-"), "-0.0").otherwise("0.0"))
 
 
 def canonical(value: Column, kind: T.DataType) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import matches, overlap_join
+from ..sources.shared import written
 from ..sources.tables import ORDER_ITEMS_SQL, order_json
 
 # What JSON allows, and keys and words that tell what a value is.
@@ -211,7 +212,7 @@ def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that deviate from their peers or name a failure."""
-    return anomalous_rows(json_nodes(_parsed(spark, sf_dir)), order_json(spark, sf_dir))
+    return anomalous_rows(written(json_nodes(_parsed(spark, sf_dir)), "json-nodes"), order_json(spark, sf_dir))
 
 
 def json_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

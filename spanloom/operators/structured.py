@@ -15,24 +15,6 @@ KEPT_WORDS = ("correction", "actually", "instead", "must", "prohibited", "commit
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item per number of an order: the one of the smallest part, supplier and price."""
-    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
-    return read(spark, sf_dir, "lineitem").withColumn("nth", nth).filter("nth = 1").drop("nth")
-
-
-def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays of flat objects as a header (keys in order of first sight, types, number of rows) and a line per row, with ~
-    for what is missing; as a digest and its size."""
-    items = _items(spark, sf_dir)
-    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
-    rows = items.withColumn("value", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("int"))).withColumn("line", F.concat_ws(" ", F.lit("@row"), cell("l_linenumber"), cell("value"), cell("l_returnflag")))
-    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"), F.count("value").alias("valued"), F.count("*").alias("n"))
-    header = F.concat(F.lit("@schema id value flag\n@types integer "), F.when(F.col("valued") > 0, "integer").otherwise("null"), F.lit(" string\n@rows="), "n")
-    text = F.concat_ws("\n", header, F.concat_ws("\n", F.transform("lines", lambda x: x["line"])))
-    return listed.select("l_orderkey", "n", F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-
-
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as canonical JSON under a hash of their domain, and their short ids."""
     odd = F.col("c_custkey") % 2 == 0
@@ -135,13 +117,10 @@ def required_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAID_SQL = "case (conv_id + turn) % 9 when 0 then ' Actually, make it seven.' when 1 then ' We are COMMITTED to it.' when 2 then ' PLEASE UPDATE it.' when 3 then ' mustard' when 4 then ' Never on Monday' else '' end"
-_I = "with i as (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) = 1)"
 _E = """with e as (select user_id as source_id, event_id as ordinal, event_type, ts, event_id % 9 = 0 as bare, case when event_id % 4 = 0 then 'u' || event_id % 3 else 't' || event_id % 5 end as trace, case when event_id % 4 = 0 then 'api' else 'web' end as service,
     case when event_type = 'error' then 'E' || event_id % 7 end as code, case when event_id % 9 = 0 then null when event_type = 'error' then 'ERROR' when event_type = 'purchase' then 'WARN' else 'INFO' end as severity, event_id % 4 = 0 as two from events),
     t as (select *, coalesce(severity || ' ', '') || two || coalesce(code, '') as template from e)"""
 SQL = {
-    "json_table": _I + """, l as (select l_orderkey, count(*) as n, '@schema id value flag' || chr(10) || '@types integer ' || case when count(*) filter (l_linenumber % 3 <> 0) > 0 then 'integer' else 'null' end || ' string' || chr(10) || '@rows=' || count(*) || chr(10) ||
-        string_agg('@row ' || l_linenumber || ' ' || case when l_linenumber % 3 <> 0 then cast(cast(l_quantity as integer) as varchar) else '~' end || ' ' || l_returnflag, chr(10) order by l_linenumber) as t from i group by 1) select l_orderkey, n, sha256(t) as digest, strlen(t) as n_bytes from l""",
     "canonical_hashes": """with j as (select c_custkey, '{"Nums":[' || regexp_replace(cast(cast(c_acctbal as double) as varchar), '\\.0$', '') || ',' || regexp_replace(cast(c_custkey / 8 as varchar), '\\.0$', '') || ',1e+21,1e-7,0],"id":' || c_custkey || ',"m":{"' || chr(65536) || '":' || (c_custkey % 3 = 0) || ',"' || chr(57344) || '":' || (c_custkey % 2 = 0) || '},"title":'
         || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || ',"é":"' || c_mktsegment || '\\t\\"\\\\\\u001f"}' as json, '["' || c_custkey || '",' || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || ']' as parts from customer)
         select c_custkey, json, 'sha256:' || sha256('spanloom.record' || chr(0) || json) as hash, 'c:' || substr(sha256(parts), 1, 20) as id from j""",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import extract, graph, json_index, lexical, ranking, records, recovery, rendered, selection, stats, structured, verify
+from ..operators import extract, graph, json_index, json_table, lexical, ranking, records, recovery, rendered, selection, stats, structured, verify
 from ..sources import offsets, scans
 
-MODULES = (extract, lexical, records, json_index, structured, ranking, selection, rendered, recovery, graph, verify, stats, scans, offsets)
+MODULES = (extract, lexical, records, json_index, json_table, structured, ranking, selection, rendered, recovery, graph, verify, stats, scans, offsets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
