@@ -32,7 +32,8 @@ from .wordhash import mix, rolling, word_hashes
 
 SIZE = 50
 # Bytes of text at a time in a task, and windows in a bucket (of which there are at most 1 << MOST_BITS).
-CHUNK, BUCKET, MOST_BITS = 1 << 23, 1 << 20, 22
+CHUNK, BUCKET, MOST_BITS = 1 << 22, 1 << 20, 22
+FILES = 4
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 _RUN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("n", "<u4")])
@@ -151,6 +152,11 @@ def _meet(size: int):
     return run
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most FILES parts a core, whatever the number of shuffle partitions: it is small beside the texts, or short."""
+    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def identified(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, n_words, sha): every row, its text's hash, its number of words and the digest of its words joined by one space."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -161,9 +167,9 @@ def identified(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text")
 def _found(docs: DataFrame, size: int, doc_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): every row as in identified(), with `whole` (it goes whole, as a copy), and the maximal intervals
     [start, stop) of words to remove from the others (doc_id, key, spans, n_removed)."""
-    rows = stash(identified(docs, doc_col, text_col), "repeat-rows")
+    rows = stash(few_files(identified(docs, doc_col, text_col)), "repeat-rows")
     able = F.coalesce((F.col("n_words") >= size) & F.col("doc_id").isNotNull(), F.lit(False))
-    lowest = stash(rows.filter(able).groupBy("sha").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("_n"), F.max("n_words").alias("words")), "repeat-lowest")
+    lowest = stash(few_files(rows.filter(able).groupBy("sha").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("_n"), F.max("n_words").alias("words"))), "repeat-lowest")
     total = lowest.agg(F.sum("words")).first()[0] or 0
     bits = min(MOST_BITS, max(5, int(total // BUCKET).bit_length()))
 
@@ -179,7 +185,7 @@ def _found(docs: DataFrame, size: int, doc_col: str, text_col: str) -> tuple[Dat
     spans = merged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("n_removed"))
     copies = join_hot(rows.filter(able), lowest.select("sha", "lowest"), "sha", "inner", counts=lowest.select("sha", "_n")).withColumn("whole", F.col("doc_id") > F.col("lowest"))
     every = copies.select(*rows.columns, "whole").unionByName(rows.filter(~able).withColumn("whole", F.lit(False)))
-    return every, stash(spans, "repeat-spans")
+    return every, stash(few_files(spans), "repeat-spans")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +220,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_col: str = "doc_id", t
     alone = rows.filter("doc_id is null").select("*", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_sha"))
     n_removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     sha = F.when(F.col("n_removed") == 0, F.col("sha")).when(F.col("n_removed") == F.col("n_words"), F.lit(EMPTY)).otherwise(F.col("kept_sha"))
-    return held.unionByName(alone, allowMissingColumns=True).withColumn("n_removed", n_removed).select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))
+    return few_files(held.unionByName(alone, allowMissingColumns=True).withColumn("n_removed", n_removed).select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256")))
 
 
 def cleaned_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
