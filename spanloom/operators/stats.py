@@ -38,10 +38,11 @@ def paired_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which gates the runs pass: every expected item is there, none failed, mean, least and number of kinds above the mark."""
     runs, docs = _runs(spark, sf_dir), read(spark, sf_dir, "documents")
-    missing = docs.select(F.col("doc_id").alias("item")).join(runs.filter("item % 97 <> 0").select("item"), "item", "left_anti").count()
+    there = docs.select(F.col("doc_id").alias("item")).join(runs.filter("item % 97 <> 0").select("item", F.lit(True).alias("there")), "item", "left")
+    complete = there.agg((F.count_if(F.col("there").isNull()) == 0).alias("complete"))
     kinds = runs.groupBy("kind").agg((1 - F.sum("after") / F.sum("before")).alias("r"), F.bool_and(~F.col("failed")).alias("valid"))
     total = kinds.agg(F.bool_and("valid").alias("all_valid"), (F.avg("r") >= 0.5).alias("mean_reached"), (F.count_if(F.col("r") >= 0.5) >= 4).alias("enough_kinds"), (F.min("r") >= 0.3).alias("least_reached"))
-    return total.select((F.lit(missing) == 0).alias("complete"), "all_valid", "mean_reached", "enough_kinds", "least_reached")
+    return complete.crossJoin(total)
 
 
 def structural_risk(
@@ -77,11 +78,11 @@ def step_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pooled(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Blocks (score, total, n) in order, pooled until their means rise; a block's score is its last one."""
+    """Blocks (score, total, n) in order, pooled until their means rise strictly; a block's score is its last one."""
     out: list[list[float]] = []
     for score, total, n in zip(blocks["score"], blocks["total"], blocks["n"], strict=True):
         out.append([score, total, n])
-        while len(out) > 1 and out[-2][1] * out[-1][2] > out[-1][1] * out[-2][2]:
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
             last = out.pop()
             out[-1] = [last[0], out[-1][1] + last[1], out[-1][2] + last[2]]
     return pd.DataFrame(out, columns=["score", "total", "n"])
