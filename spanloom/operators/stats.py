@@ -228,8 +228,8 @@ SQL = {
         s as (select b.conv_id, b.turn, sum(least(b.n, c.n)) as shared from b join b c on c.conv_id = b.conv_id and c.turn = b.turn + 1 and c.w = b.w group by 1, 2)
         select c.conv_id, c.turn, case when z.size is null or y.size is null then cast(trim(c.text) = trim(d.text) as integer)::double else round(2 * coalesce(shared, 0) / (z.size + y.size), 6) end as f1 from c join c d on d.conv_id = c.conv_id and d.turn = c.turn + 1
         left join z on z.conv_id = c.conv_id and z.turn = c.turn left join z y on y.conv_id = c.conv_id and y.turn = c.turn + 1 left join s on s.conv_id = c.conv_id and s.turn = c.turn""",
-    "answer_scores": """with o as (select o_orderkey, o_orderkey % 8 as t, o_orderkey // 8 % 4 as v from orders) select o_orderkey, ['number', 'number_with_unit', 'date', 'short_free_text', 'ordered_list', 'set', 'text', 'exact_text'][t + 1] as kind,
-        case t when 0 then v <= 1 when 1 then v = 0 when 2 then v <= 1 when 3 then v = 0 when 4 then v <= 0 when 5 then v = 0 when 6 then v = 0 or v = 2 else v = 0 end as correct,
+    "answer_scores": """with o as (select o_orderkey, o_orderkey % 8 as t, o_orderkey // 8 % 4 as v, strftime(o_orderdate, '%Y-%m-%d') as d from orders) select o_orderkey, ['number', 'number_with_unit', 'date', 'short_free_text', 'ordered_list', 'set', 'text', 'exact_text'][t + 1] as kind,
+        case t when 0 then v <= 1 when 1 then v = 0 when 2 then v <= 1 or v = 3 and d = '1999-01-01' when 3 then v = 0 when 4 then v <= 0 when 5 then v = 0 when 6 then v = 0 or v = 2 else v = 0 end as correct,
         case when t = 3 then case v when 0 then 1.0 when 1 then 0.75 when 3 then 0.25 else 0.0 end else cast(correct as integer) end::double as score from o""",
     "token_costs": "select event_type, count(*) as n, case when event_type = 'error' then 0 else count(*) end as known, case when event_type <> 'error' then round(sum(floor(value) * cast(2.5 as double) / 1000000), 6) end as cost from events group by 1",
     "first_failures": "with l as (select event_type as a, lead(event_type) over w as b, lead(event_type, 2) over w as c from events window w as (partition by user_id order by event_id)) select a || '>' || b || '>' || c as path, count(*) as n from l where c is not null group by 1",
