@@ -1,8 +1,11 @@
-"""Functions on text: matches with their offsets, joins of spans, hashes, budgets. All run inside the JVM."""
+"""Functions on text: matches with their offsets, joins of spans, hashes, budgets. Patterns run inside the JVM; of the matches
+only lengths go to Python, a batch of texts at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, word lists and stop words that results depend on. (?U): Unicode classes and word borders.
@@ -35,6 +38,7 @@ MARKERS = {
     "temporal.correction": ("actually", "instead", "correction", "corrected", "supersedes", "updated?", "update"),
     "dialogue.commitment": ("will", "shall", "promise", "promised", "agree(?:d)?", "commit(?:ted)?", "must"),
 }
+SIGN = "\uffff"
 ROLE = r"(?im)^(system|developer|user|assistant|tool)\s*:"
 
 
@@ -42,25 +46,52 @@ def marker(name: str) -> str:
     return rf"(?Ui)\b(?:{'|'.join(MARKERS[name])})\b"
 
 
+def parted(text: Column, pattern: str) -> Column:
+    """An array of what lies before each match of `pattern` and the match, in turn, then the tail. One pass puts a sign around
+    the matches that cuts the text; one that has the sign already is cut by the pattern. A match is never empty."""
+    one = F.split(F.regexp_replace(text, f"({pattern})", f"{SIGN}$1{SIGN}"), SIGN, -1)
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("lexeme"))
+    two = F.array_compact(F.flatten(F.transform(pairs, lambda m: F.array(m["gap"], m["lexeme"]))))
+    return F.when(F.contains(text, F.lit(SIGN)), two).otherwise(one)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """An array of (gap, lexeme): what lies before each match of `pattern`, and the match; one more for the tail."""
-    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("lexeme"))
+    zipped = F.transform(F.array(parted(text, pattern)), lambda p: F.arrays_zip(F.filter(p, lambda x, i: i % 2 == 0).alias("gap"), F.filter(p, lambda x, i: i % 2 == 1).alias("lexeme")))
+    return F.get(zipped, F.lit(0))
+
+
+def _running(lists: pa.Array) -> pa.Array:
+    """Running sums within each list of each row's list of lists."""
+    inner = lists.flatten()
+    ends = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(inner.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    within = sums[1:] - np.repeat(sums[ends[:-1]], np.diff(ends))
+    outer = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(within)))
+
+
+def match_arrays(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
+    """(keys, found): for each text that isn't null, per pattern in order an array of (class, start, end, lexeme)."""
+    names = [f"_m{i}" for i in range(len(patterns))]
+    rows = df.filter(F.col(text).isNotNull()).select(*keys, *[parted(F.col(text), p).alias(n) for n, p in zip(names, patterns.values(), strict=True)])
+    running = F.arrow_udf(lambda lists: _running(lists), "array<array<bigint>>")
+    rows = rows.withColumn("_ends", running(F.array(*[F.transform(n, F.length) for n in names])))
+
+    def listed(i: int, name: str, kind: str) -> Column:
+        made = F.transform(F.arrays_zip(F.get("_ends", F.lit(i)).alias("end"), F.col(name).alias("lexeme")), lambda m: F.struct(F.lit(kind).alias("class"), (m["end"] - F.length(m["lexeme"])).alias("start"), m["end"].alias("end"), m["lexeme"].alias("lexeme")))
+        return F.filter(made, lambda m, j: j % 2 == 1)
+
+    return rows.select(*keys, F.array(*[listed(i, n, k) for i, (n, k) in enumerate(zip(names, patterns, strict=True))]).alias("found"))
 
 
 def match_rows(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
     """(keys, class, start, end, lexeme): the matches of all patterns in order, by code points, end exclusive.
 
-    A match starts behind the gaps and matches before it: running sums over the rows of a text, so that a text of any number
-    of matches costs their number. Only lengths and lexemes are shuffled.
+    A match starts behind the gaps and matches before it: running sums over the matches of a text, so that a text of any number
+    of matches costs their number. A text's matches are made where it lies: nothing is shuffled.
     """
-    def listed(name: str, pattern: str) -> Column:
-        return F.transform(matches(F.col(text), pattern), lambda m, i: F.struct(F.lit(name).alias("class"), i.alias("i"), F.length(m["gap"]).alias("gap"), m["lexeme"].alias("lexeme")))
-
-    found = [listed(name, p) for name, p in patterns.items()]
-    rows = df.select(*keys, F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m")).select(*keys, "m.*").filter("lexeme is not null")
-    upto = Window.partitionBy(*keys, "class").orderBy("i")
-    end = F.sum(F.col("gap") + F.length("lexeme")).over(upto)
-    return rows.withColumn("end", end).select(*keys, "class", (F.col("end") - F.length("lexeme")).alias("start"), "end", "lexeme")
+    return match_arrays(df, keys, text, patterns).select(*keys, F.explode(F.flatten("found")).alias("m")).select(*keys, "m.*")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = 1024, contains: bool = False) -> DataFrame:

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CLASSES, HELD, HOLDERS, MARKERS, ROLE, SENTENCE, STOP_WORDS, marker, match_rows, overlap_join
+from ..functions.text import CLASSES, HELD, HOLDERS, MARKERS, ROLE, SENTENCE, STOP_WORDS, marker, match_arrays, match_rows, overlap_join
 from ..sources.tables import INCIDENT_SQL, dialogue_texts, incident_notes, read
 from .structured import SAID_SQL, dialogue_turns
 
 
+def _begun_inside(places: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Per row which of its places lie in one of its ranges [start, end): all rows of a batch on one axis, each in a stretch of its own."""
+    sizes = lambda lists: lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lambda lists: lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at, low, high = flat(places), flat(starts), flat(ends)
+    stretch = 1 + max(at.max(initial=0), high.max(initial=0))
+    shift = lambda lists: np.repeat(np.arange(len(lists), dtype=np.int64) * stretch, sizes(lists))
+    at, low, high = at + shift(places), low + shift(starts), high + shift(ends)
+    order = np.argsort(low, kind="stable")
+    reach = np.concatenate([[-1], np.maximum.accumulate(high[order])])
+    inside = reach[np.searchsorted(low[order], at, "right")] > at
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes(places))]).astype(np.int32)), pa.array(inside))
+
+
 def typed_rows(texts: DataFrame) -> DataFrame:
     """All typed spans of texts (source_id, text); numbers and hexadecimal identities that start in a date or version are
     part of it, and single capitalised stop words are no names."""
-    rows = match_rows(texts, ["source_id"], "text", CLASSES)
-    holder, held = rows.filter(F.col("class").isin(*HOLDERS)), rows.filter(F.col("class").isin(*HELD))
-    first = held.withColumn("e", F.col("end")).withColumn("end", F.col("start") + 1)
-    inside = overlap_join(holder.select("source_id", "start", "end"), first, ["source_id"]).select("r.source_id", "r.class", "r.start").distinct()
-    named = (F.col("class") == "entity.named") & F.col("lexeme").isin(*STOP_WORDS)
-    return rows.filter(~named).join(inside, ["source_id", "class", "start"], "left_anti")
+    rows = match_arrays(texts, ["source_id"], "text", CLASSES)
+    of = lambda names: F.flatten(F.array(*[F.get("found", F.lit(list(CLASSES).index(k))) for k in names]))
+    begun = F.arrow_udf(lambda places, starts, ends: _begun_inside(places, starts, ends), "array<boolean>")
+    rows = rows.select("source_id", of(HELD).alias("held"), of(HOLDERS).alias("holders"), of([k for k in CLASSES if k not in HELD]).alias("others"))
+    rows = rows.withColumn("inside", begun(F.transform("held", lambda m: m["start"]), F.transform("holders", lambda m: m["start"]), F.transform("holders", lambda m: m["end"])))
+    free = F.filter("held", lambda m, i: ~F.get("inside", i))
+    named = lambda m: (m["class"] == "entity.named") & m["lexeme"].isin(*STOP_WORDS)
+    return rows.select("source_id", F.explode(F.concat(free, F.filter("others", lambda m: ~named(m)))).alias("m")).select("source_id", "m.*")
 
 
 def typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
