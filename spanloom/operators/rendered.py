@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import ORDER_ITEMS_SQL, order_items
 
 OMITTED = "@omitted_rows="
-_OUT = "source_id {kind}, rank long, state string, marker string, cost long, floor long, fits boolean"
+PLACES = ("first", "last", "kind", "candidate_id", "text")
+_OUT = "struct<states: array<string>, marker: string, cost: bigint, floor: bigint, fits: boolean>"
 
 
 class Ranges:
@@ -93,52 +94,59 @@ def fitted(cost: np.ndarray, mandatory: np.ndarray, row: np.ndarray, budget: int
     return state, f"{OMITTED}{left}" if left.starts else None, total, with_marker(floor, int(mandatory.sum())), total <= budget
 
 
+def _standing() -> tuple[Column, Column, Column]:
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return F.when(flag("mandatory"), 0).when(flag("structural"), 1).otherwise(2), (~flag("anomaly")).cast("int"), (~flag("protected")).cast("int")
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
     """candidates with `rank` within their source: what is mandatory or structural, anomalies, what protects something, then by place."""
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    priority = F.when(flag("mandatory"), 0).when(flag("structural"), 1).otherwise(2)
-    order = Window.partitionBy("source_id").orderBy(priority, (~flag("anomaly")).cast("int"), (~flag("protected")).cast("int"), "first", "last", "kind", "candidate_id", "text")
+    order = Window.partitionBy("source_id").orderBy(*_standing(), *PLACES)
     return candidates.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def _choose(batches_key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("rank")
-    cost, rank = table.column("cost").to_numpy(), table.column("rank").to_numpy()
-    mandatory = table.column("mandatory").to_numpy(zero_copy_only=False)
-    state, marker, total, floor, fits = fitted(cost, mandatory, table.column("row_index").to_numpy(), int(table.column("budget")[0].as_py()))
-    n = len(rank) + 1
-    key = table.column("source_id").combine_chunks()
-    none, last = [None] * (n - 1), n - 1
-    return pa.table({
-        "source_id": key.take(pa.array([0] * n)), "rank": pa.array([*rank.tolist(), 0], pa.int64()), "state": pa.array([*state, None], pa.string()), "marker": pa.array([*none, marker], pa.string()),
-        "cost": pa.array([None] * last + [total], pa.int64()), "floor": pa.array([None] * last + [floor], pa.int64()), "fits": pa.array([None] * last + [fits], pa.bool_()),
-    })
+def _choose(candidates: pa.Array, budgets: pa.Array) -> pa.Array:
+    """States, marker, cost, floor and fits for each row's list of (cost, mandatory, row_index), which is in the order of ranks."""
+    flat = candidates.flatten()
+    cost, mandatory, row = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    ends = np.concatenate([[0], np.cumsum(candidates.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+    made = [fitted(cost[a:b], mandatory[a:b], row[a:b], budget) for a, b, budget in zip(ends[:-1].tolist(), ends[1:].tolist(), budgets.to_pylist(), strict=True)]
+    states = pa.ListArray.from_arrays(pa.array(ends), pa.array([x for m in made for x in m[0]], pa.string()))
+    rest = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_()), 1)]
+    return pa.StructArray.from_arrays([states, *rest], ["states", "marker", "cost", "floor", "fits"])
 
 
 def selected(candidates: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(choices, sources): every candidate with rank and state; per source of `budgets` (source_id, budget) the text, its cost,
-    the cost of what must stay with the marker (floor), the marker and whether the text fits."""
-    rows = ranked(candidates).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    held = rows.join(budgets, "source_id").select("source_id", "rank", F.col("size").alias("cost"), F.coalesce("mandatory", F.lit(False)).alias("mandatory"), F.coalesce("row_index", F.lit(-1)).cast("long").alias("row_index"), "budget")
-    kind = dict(candidates.dtypes)["source_id"]
-    made = held.groupBy("source_id").applyInArrow(_choose, _OUT.format(kind=kind))
-    choices = rows.drop("size").join(made.filter("rank > 0").select("source_id", "rank", "state"), ["source_id", "rank"])
-    whole = made.filter("rank = 0").select("source_id", "marker", "cost", "floor", "fits")
-    stays = F.col("state").isin("mandatory", "taken")
-    gone = choices.filter(~stays & F.col("row_index").isNotNull()).groupBy("source_id").agg(F.min(F.struct("first", "last")).alias("place"))
-    marks = whole.filter("marker is not null").join(gone, "source_id").select("source_id", "place.first", "place.last", F.lit("").alias("kind"), F.col("marker").alias("text"), F.lit(0).cast("long").alias("rank"))
-    lines = choices.filter(stays).select("source_id", "first", "last", "kind", F.coalesce("text", F.lit("")).alias("text"), "rank").unionByName(marks)
-    texts = lines.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "kind", "rank", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return choices, whole.join(texts, "source_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    the cost of what must stay with the marker (floor), the marker and whether the text fits. A source's candidates are one
+    row; of these only costs and flags go to Python, many sources at once."""
+    others = [c for c in candidates.columns if c not in ("source_id", *PLACES)]
+    entry = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_standing())], *PLACES, *others)
+    held = candidates.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("c")).join(budgets.select("source_id", "budget"), "source_id")
+    size = lambda c: F.octet_length(F.coalesce(c["text"], F.lit(""))).cast("long")
+    sent = F.transform("c", lambda c: F.struct(size(c).alias("cost"), F.coalesce(c["mandatory"], F.lit(False)).alias("mandatory"), F.coalesce(c["row_index"], F.lit(-1)).cast("long").alias("row_index")))
+    choose = F.arrow_udf(lambda listed, budget: _choose(listed, budget), _OUT)
+    made = held.withColumn("r", choose(sent, F.col("budget").cast("long"))).withColumn("z", F.arrays_zip("c", F.col("r.states").alias("state")))
+    choices = made.select("source_id", F.posexplode("z").alias("i", "z")).select("source_id", *[F.col(f"z.c.{c}").alias(c) for c in candidates.columns if c != "source_id"], (F.col("i") + 1).cast("long").alias("rank"), "z.state")
+
+    stays = lambda z: z["state"].isin("mandatory", "taken")
+    line = lambda first, last, kind, rank, text: F.struct(first.alias("first"), last.alias("last"), kind.alias("kind"), rank.cast("long").alias("rank"), text.alias("text"))
+    ranks = F.transform("z", lambda z, i: F.struct(z.alias("z"), (i + 1).alias("rank")))
+    lines = F.transform(F.filter(ranks, lambda x: stays(x["z"])), lambda x: line(x["z"]["c"]["first"], x["z"]["c"]["last"], x["z"]["c"]["kind"], x["rank"], F.coalesce(x["z"]["c"]["text"], F.lit(""))))
+    gone = F.transform(F.filter("z", lambda z: ~stays(z) & z["c"]["row_index"].isNotNull()), lambda z: F.struct(z["c"]["first"].alias("first"), z["c"]["last"].alias("last")))
+    place, marker = F.array_min(gone), F.col("r.marker")
+    mark = F.when(marker.isNotNull(), F.array(line(place["first"], place["last"], F.lit(""), F.lit(0), marker))).otherwise(F.array().cast(f"array<struct<first:{dict(candidates.dtypes)['first']},last:{dict(candidates.dtypes)['last']},kind:string,rank:bigint,text:string>>"))
+    text = F.array_join(F.transform(F.array_sort(F.concat(lines, mark)), lambda x: x["text"]), "\n")
+    return choices, made.select("source_id", "r.marker", "r.cost", "r.floor", "r.fits", text.alias("text"))
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's items as candidates: a header that must stay, records, of which failed first items must stay too; those with
     a trace protect something, every fifth is an anomaly."""
-    items = order_items(spark, sf_dir)
-    head = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).selectExpr("l_orderkey as source_id", "'head' as candidate_id", "'json_schema' as kind", "concat('@rows=', n) as text", "true as mandatory", "true as structural", "false as anomaly", "false as protected", "cast(0 as bigint) as first", "cast(0 as bigint) as last", "cast(null as bigint) as row_index")
-    rows = items.selectExpr("l_orderkey as source_id", "concat('row:', nth) as candidate_id", "'json_row' as kind", "item as text", "nth = 1 and l_returnflag = 'R' as mandatory", "false as structural", "nth % 5 = 0 as anomaly", "nth % 4 = 0 as protected", "cast(nth * 1000 as bigint) as first", "cast(nth * 1000 + length(item) as bigint) as last", "cast(nth - 1 as bigint) as row_index")
-    return head.unionByName(rows)
+    items = order_items(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    head = F.expr("struct('head' as candidate_id, 'json_schema' as kind, concat('@rows=', n) as text, true as mandatory, true as structural, false as anomaly, false as protected, cast(0 as bigint) as first, cast(0 as bigint) as last, cast(null as bigint) as row_index)")
+    row = F.expr("struct(concat('row:', nth) as candidate_id, 'json_row' as kind, item as text, nth = 1 and l_returnflag = 'R' as mandatory, false as structural, nth % 5 = 0 as anomaly, nth % 4 = 0 as protected, cast(nth * 1000 as bigint) as first, cast(nth * 1000 + length(item) as bigint) as last, cast(nth - 1 as bigint) as row_index)")
+    return items.select(F.col("l_orderkey").alias("source_id"), F.explode(F.when(F.col("nth") == 1, F.array(head, row)).otherwise(F.array(row))).alias("c")).select("source_id", "c.*")
 
 
 def share_of(candidates: DataFrame, share: Column) -> DataFrame:
