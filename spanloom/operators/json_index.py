@@ -12,10 +12,14 @@ its beginning is skipped but counts as one character. Null is no JSON. Empty tab
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, overlap_join
+from ..functions.text import matches
 from ..sources.shared import written
 from ..sources.tables import ORDER_ITEMS_SQL, order_json
 
@@ -34,6 +38,7 @@ LEAVES = {
     "identifier.trace_request": ("trace_id", "request_id", "span_id", "correlation_id"),
     "identifier.error_code": ("error_code", "status_code", "code"),
 }
+PART = 2_000_000
 FAILURE = r"(?Ui)\b(?:error|failed|failure|critical)\b"
 
 
@@ -53,6 +58,12 @@ def json_tokens(texts: DataFrame) -> DataFrame:
     return rows.withColumn("mate_end", F.lead("end").over(among)).withColumn("mate", F.lead("i").over(among))
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """texts by source in parts of some PART characters, so that a part's tokens are sorted in memory, however many parts there are."""
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return texts.repartition(size // PART + 1, "source_id")
+
+
 def json_parsed(texts: DataFrame) -> DataFrame:
     """The tokens once for each container that they concern, with role, place in it and whether the text is to be rejected (bad)."""
     move, word = F.col("move"), F.col("lexeme")
@@ -60,7 +71,7 @@ def json_parsed(texts: DataFrame) -> DataFrame:
     own, below = F.col("level"), F.col("level") + 1
     places = F.when(move == 1, F.array(place(own, "value"), place(below, "open"))).when(move == -1, F.array(place(below, "close")))
     places = places.when(word == ":", F.array(place(own, "colon"))).when(word == ",", F.array(place(own, "comma"))).when(word.isNull(), F.array(place(F.lit(-1).cast("long"), "tail"))).otherwise(F.array(place(own, "value")))
-    rows = json_tokens(texts).withColumn("p", F.explode(places)).select("*", "p.k", "p.role").drop("p", "bracket")
+    rows = json_tokens(_dealt(texts)).withColumn("p", F.explode(places)).select("*", "p.k", "p.role").drop("p", "bracket")
 
     within = Window.partitionBy("source_id", "k").orderBy("i")
     opened = lambda c: F.last(F.when(F.col("role") == "open", c), ignorenulls=True).over(within)
@@ -101,6 +112,20 @@ def escaped(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def _pointers(listed: pa.Array) -> pa.Array:
+    """Pointers of the nodes of each row's list (node, parent, step): the parent's pointer and the step."""
+    flat = listed.flatten()
+    sizes = listed.value_lengths().to_pylist()
+    nodes = zip(*(flat.field(i).to_pylist() for i in range(3)), strict=True)
+    made = []
+    for size in sizes:
+        known: dict[int | None, str] = {None: ""}
+        for node, parent, step in islice(nodes, size):
+            known[node] = known[parent] + step
+            made.append(known[node])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(made, pa.string()))
+
+
 def json_nodes(parsed: DataFrame) -> DataFrame:
     """(source_id, node, parent, pointer, key, place, kind, start, end, key_start, key_end, value): every node of the valid
     texts. `node` and `parent` number the tokens that begin them, `place` counts within an array; `value` is a string's text
@@ -110,16 +135,17 @@ def json_nodes(parsed: DataFrame) -> DataFrame:
     kind = F.when(word == "{", "object").when(word == "[", "array").when(word.startswith('"'), "string").when(word.isin("true", "false"), "boolean").when(word == "null", "null").when(word.rlike(rf"\A{INTEGER}\z"), "integer").otherwise("number")
     place = F.when(F.col("shape") == "[", F.col("commas") - F.col("before"))
     rows = parsed.filter("not bad and role = 'value' and not is_key").select(
-        "source_id", F.col("i").alias("node"), F.col("box").alias("parent"), F.col("k").alias("depth"), "key", place.alias("place"), kind.alias("kind"), "start", F.when(opens, F.col("mate_end")).otherwise(F.col("end")).alias("end"),
-        *(F.when(F.col("key").isNotNull(), F.col(f"key_{c}")).alias(f"key_{c}") for c in ("start", "end")), F.when(~opens, F.coalesce("text_of", word)).alias("value"), F.when(opens, F.col("mate")).alias("mate"),
+        "source_id", F.col("i").alias("node"), F.col("box").alias("parent"), "key", place.alias("place"), kind.alias("kind"), "start", F.when(opens, F.col("mate_end")).otherwise(F.col("end")).alias("end"),
+        *(F.when(F.col("key").isNotNull(), F.col(f"key_{c}")).alias(f"key_{c}") for c in ("start", "end")), F.when(~opens, F.coalesce("text_of", word)).alias("value"),
     )
     step = F.when(F.col("parent").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce(escaped(F.col("key")), F.col("place").cast("string"))))
-    rows = rows.withColumn("step", step)
-    boxes = rows.filter("mate is not null").select("source_id", F.col("node").alias("start"), (F.col("mate") + 1).alias("end"), "depth", "step")
-    met = overlap_join(boxes, boxes.select("source_id", "start", "end"), ["source_id"], contains=True).groupBy("r.source_id", "r.start").agg(F.array_sort(F.collect_list(F.struct("l.depth", "l.step"))).alias("steps"))
-    paths = met.select("source_id", F.col("start").alias("parent"), F.concat_ws("", F.transform("steps", lambda s: s["step"])).alias("path"))
-    found = rows.join(paths, ["source_id", "parent"], "left")
-    return found.select("source_id", "node", "parent", F.concat(F.coalesce("path", F.lit("")), "step").alias("pointer"), "key", "place", "kind", "start", "end", "key_start", "key_end", "value")
+    # A source's nodes stay where they lie: in one row, in order, so that a parent stands before its children.
+    fields = ("node", "parent", "key", "place", "kind", "start", "end", "key_start", "key_end", "value")
+    held = rows.withColumn("step", step).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct(*fields, "step"))).alias("n"))
+    walk = F.arrow_udf(lambda listed: _pointers(listed), "array<string>")
+    steps = F.transform("n", lambda n: F.struct(n["node"].alias("node"), n["parent"].alias("parent"), n["step"].alias("step")))
+    found = held.withColumn("p", walk(steps)).select("source_id", F.explode(F.arrays_zip("n", "p")).alias("z"))
+    return found.select("source_id", "z.n.node", "z.n.parent", F.col("z.p").alias("pointer"), *[f"z.n.{c}" for c in fields[2:]])
 
 
 def path_obligations(nodes: DataFrame) -> DataFrame:

@@ -40,3 +40,23 @@ def test_what_begins_in_a_date_is_part_of_it(spark):
     got = typed_rows(frame).filter("class = 'numeric.number'")
     assert sorted((r.source_id, r.start, r.lexeme) for r in got.filter("source_id < 3").collect()) == [(1, 0, "7"), (1, 13, "8"), (2, 8, "9")]
     assert [r.lexeme for r in got.filter("source_id = 3").orderBy("start").collect()] == [str(d) for d in range(200)]
+
+
+def test_nodes_stay_with_their_source(spark):
+    from spanloom.operators.json_index import json_nodes, json_parsed
+
+    frame = spark.createDataFrame([(1, '{"a":[{"b":1},[2,{"~/":null}]]}'), (2, "[]"), (3, "[")], "source_id long, text string")
+    nodes = json_nodes(json_parsed(frame))
+    assert plan(nodes).count("Exchange ") == 1 and "Join" not in plan(nodes)
+    got = sorted((r.source_id, r.node, r.pointer) for r in nodes.collect())
+    assert [p for s, _, p in got if s == 1] == ["", "/a", "/a/0", "/a/0/b", "/a/1", "/a/1/0", "/a/1/1", "/a/1/1/~0~1"] and [p for s, _, p in got if s == 2] == [""]
+
+
+def test_choices_are_made_without_a_group_a_source(spark):
+    from spanloom.operators.rendered import selected
+
+    rows = [(s, str(i), "json_row", "x" * i, False, False, False, False, i, i + 1, i) for s in range(20) for i in range(1, 6)]
+    frame = spark.createDataFrame(rows, "source_id long, candidate_id string, kind string, text string, mandatory boolean, structural boolean, anomaly boolean, protected boolean, first long, last long, row_index long")
+    choices, texts = selected(frame, spark.createDataFrame([(s, 30) for s in range(20)], "source_id long, budget long"))
+    assert "FlatMapGroups" not in plan(choices) and "FlatMapGroups" not in plan(texts)
+    assert {r.text for r in texts.collect()} == {"\n".join("x" * i for i in range(1, 6))} and choices.filter("state = 'taken'").count() == 100
