@@ -67,7 +67,8 @@ def normalized_sources(texts: DataFrame) -> DataFrame:
 def foreign_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, text): documents as other systems write them: some with a byte order mark, and line ends of all three kinds
     in one text."""
-    ended = F.expr("""transform(split(text, '\\n'), (x, i) -> concat(x, case when i = size(split(text, '\\n')) - 1 then '' when (doc_id + i) % 3 = 0 then '\\n' when (doc_id + i) % 3 = 1 then '\\r\\n' else '\\r' end))""")
+    # The lines are bound once: a function of the text inside would cut it again for every line.
+    ended = F.expr("""flatten(transform(array(split(text, '\\n')), s -> transform(s, (x, i) -> concat(x, case when i = size(s) - 1 then '' when (doc_id + i) % 3 = 0 then '\\n' when (doc_id + i) % 3 = 1 then '\\r\\n' else '\\r' end))))""")
     mark = F.expr("if(doc_id % 2 = 1, cast(x'EFBBBF' as string), '')")
     return read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), F.concat(mark, F.array_join(ended, "")).alias("text"))
 
