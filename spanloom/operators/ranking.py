@@ -10,6 +10,8 @@ from ..sources.tables import read
 
 K1, B, TOP = 1.2, 0.75, 10
 ASKED = 100_000
+# Of so many pairs of a question and a document a task adds up the scores.
+PAIRS = 1_000_000
 
 
 def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,8 @@ def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     worth = query.join(df, "term").crossJoin(F.broadcast(size)).select("item_id", "term", (F.col("times") * idf).alias("worth"), "mean")
     weight = F.col("worth") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.repartition("doc_id").join(near(worth), "term")
+    parts = docs.count() * asked.count() // PAIRS + 1
+    scored = tf.repartition(parts, "doc_id").join(near(worth), "term")
     ranked = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.filter(F.col("rank") <= TOP)
