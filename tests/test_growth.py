@@ -60,3 +60,20 @@ def test_choices_are_made_without_a_group_a_source(spark):
     choices, texts = selected(frame, spark.createDataFrame([(s, 30) for s in range(20)], "source_id long, budget long"))
     assert "FlatMapGroups" not in plan(choices) and "FlatMapGroups" not in plan(texts)
     assert {r.text for r in texts.collect()} == {"\n".join("x" * i for i in range(1, 6))} and choices.filter("state = 'taken'").count() == 100
+
+
+def test_plans_of_differences_and_edges(spark):
+    from spanloom.operators import graph, ranking, verify
+    from spanloom.sources import offsets, scans
+
+    data = "/root/testdata/sf0.001"
+    assert "Join" not in plan(verify.extraction_differences(spark, data)) and "Generate" not in plan(verify.extraction_differences(spark, data))
+    assert "Generate" not in plan(graph.graph_edges(spark, data))
+    assert "regexp_extract" not in scans.coordinates(spark, data)._jdf.queryExecution().analyzed().toString()
+    assert offsets.foreign_documents(spark, data)._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    was, ranking.PAIRS = ranking.PAIRS, 1_000
+    try:
+        pairs = spark.read.parquet(f"{data}/documents.parquet").count() * spark.read.parquet(f"{data}/benchmark.parquet").count()
+        assert f"hashpartitioning(doc_id" in plan(ranking.bm25_top_k(spark, data)) and f", {pairs // 1_000 + 1})" in plan(ranking.bm25_top_k(spark, data))
+    finally:
+        ranking.PAIRS = was
