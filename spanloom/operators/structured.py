@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical, canonical_hash, stable_id
+from ..functions.canonical import canonical, stable_id
+from ..functions.text import domain_hash
 from ..sources.tables import read
 
 # Keys of log fields. Fixed values.
@@ -24,7 +25,8 @@ def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = read(spark, sf_dir, "customer").select("c_custkey", record.alias("record"))
     kind = rows.schema["record"].dataType
-    return rows.select("c_custkey", canonical(F.col("record"), kind).alias("json"), canonical_hash("spanloom.record", F.col("record"), kind).alias("hash"), stable_id("c", F.col("c_custkey"), F.col("record.title")).alias("id"))
+    made = rows.select("c_custkey", canonical(F.col("record"), kind).alias("json"), stable_id("c", F.col("c_custkey"), F.col("record.title")).alias("id"))
+    return made.select("c_custkey", "json", domain_hash("spanloom.record", F.col("json")).alias("hash"), "id")
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +122,36 @@ SAID_SQL = "case (conv_id + turn) % 9 when 0 then ' Actually, make it seven.' wh
 _E = """with e as (select user_id as source_id, event_id as ordinal, event_type, ts, event_id % 9 = 0 as bare, case when event_id % 4 = 0 then 'u' || event_id % 3 else 't' || event_id % 5 end as trace, case when event_id % 4 = 0 then 'api' else 'web' end as service,
     case when event_type = 'error' then 'E' || event_id % 7 end as code, case when event_id % 9 = 0 then null when event_type = 'error' then 'ERROR' when event_type = 'purchase' then 'WARN' else 'INFO' end as severity, event_id % 4 = 0 as two from events),
     t as (select *, coalesce(severity || ' ', '') || two || coalesce(code, '') as template from e)"""
+
+
+def _quoted(x: str) -> str:
+    """SQL of a string in quotes, with control characters escaped; null as such."""
+    made = f"""replace(replace({x}, '\\', '\\\\'), '"', '\\"')"""
+    for code in range(32):
+        made = f"""replace({made}, chr({code}), '{dict(zip((8, 9, 10, 12, 13), ("\\b", "\\t", "\\n", "\\f", "\\r"))).get(code, f"\\u{code:04x}")}')"""
+    return f"""coalesce('"' || {made} || '"', 'null')"""
+
+
+def _number(x: str) -> str:
+    """SQL of a double as ECMAScript writes it, from its digits and the place of the point; null as such, -0 is 0, and what isn't finite makes all null."""
+    d, n = f"{x}_digits", f"{x}_point"
+    return f"""case when {x} is null then 'null' when not isfinite({x}) then null when {x} = 0 then '0' else case when {x} < 0 then '-' else '' end || case when {n} between length({d}) and 21 then rpad({d}, cast({n} as integer), '0')
+        when {n} between 1 and 21 then substr({d}, 1, {n}) || '.' || substr({d}, {n} + 1) when {n} between -5 and 0 then '0.' || repeat('0', -{n}) || {d}
+        else substr({d}, 1, 1) || case when length({d}) > 1 then '.' || substr({d}, 2) else '' end || case when {n} > 0 then 'e+' else 'e-' end || abs({n} - 1) end end"""
+
+
+def _parted(x: str) -> str:
+    """SQL of the digits of a printed double, and the place of the point among them."""
+    first, lead = f"split_part(cast(abs({x}) as varchar), 'e', 1)", f"ltrim(replace(split_part(cast(abs({x}) as varchar), 'e', 1), '.', ''), '0')"
+    return f"rtrim({lead}, '0') as {x}_digits, length({lead}) - length(split_part({first}, '.', 2)) + coalesce(try_cast(split_part(cast(abs({x}) as varchar), 'e', 2) as integer), 0) as {x}_point"
+
+
+_C = f"""with c as (select *, cast(c_acctbal as double) as x, c_custkey / 8 as y from customer), d as (select *, {_parted("x")}, {_parted("y")}, case when c_custkey % 2 = 0 then {_quoted("c_name")} else 'null' end as title from c)"""
 SQL = {
-    "canonical_hashes": """with j as (select c_custkey, '{"Nums":[' || regexp_replace(cast(cast(c_acctbal as double) as varchar), '\\.0$', '') || ',' || regexp_replace(cast(c_custkey / 8 as varchar), '\\.0$', '') || ',1e+21,1e-7,0],"id":' || c_custkey || ',"m":{"' || chr(65536) || '":' || (c_custkey % 3 = 0) || ',"' || chr(57344) || '":' || (c_custkey % 2 = 0) || '},"title":'
-        || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || ',"é":"' || c_mktsegment || '\\t\\"\\\\\\u001f"}' as json, '["' || c_custkey || '",' || case when c_custkey % 2 = 0 then '"' || c_name || '"' else 'null' end || ']' as parts from customer)
-        select c_custkey, json, 'sha256:' || sha256('spanloom.record' || chr(0) || json) as hash, 'c:' || substr(sha256(parts), 1, 20) as id from j""",
+    "canonical_hashes": _C + f""" select c_custkey, json, 'sha256:' || sha256('spanloom.record' || chr(0) || json) as hash, 'c:' || substr(sha256(parts), 1, 20) as id from (
+        select c_custkey, case when c_custkey is null or abs(cast(c_custkey as hugeint)) <= 9007199254740991 then '{{"Nums":[' || {_number("x")} || ',' || {_number("y")} || ',1e+21,1e-7,0],"id":' || coalesce(cast(c_custkey as varchar), 'null')
+            || ',"m":{{"' || chr(65536) || '":' || coalesce(cast(c_custkey % 3 = 0 as varchar), 'null') || ',"' || chr(57344) || '":' || coalesce(cast(c_custkey % 2 = 0 as varchar), 'null') || '}},"title":' || title || ',"é":' || {_quoted("c_mktsegment || chr(9) || '" + '"' + chr(92) + "' || chr(31)")} || '}}' end as json,
+            '[' || coalesce('"' || c_custkey || '"', 'null') || ',' || title || ']' as parts from d)""",
     "event_fields": _E + " select service, trace, code, case when code is not null then 'TimeoutError' end as exception, count(*) as n, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) as first_seen, count(severity) as severities from e group by 1, 2, 3, 4",
     "trace_transitions": _E + ", l as (select *, lag(severity) over (partition by source_id, trace order by ordinal) as before from e where severity is not null) select trace, before, severity, count(*) as n from l where before <> severity group by 1, 2, 3",
     "template_runs": _E + """, n as (select *, coalesce(severity in ('ERROR', 'WARN'), false) as kept, case when lag(template) over w is distinct from template then 1 else 0 end as new from t window w as (partition by source_id order by ordinal)), r as (select *, sum(new) over (partition by source_id order by ordinal) as run from n)

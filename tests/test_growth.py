@@ -1,13 +1,16 @@
 """What larger tables brought out: results at keys and dates that the small ones don't have, and plans that must not grow."""
 
 import datetime
+import json
+import math
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions.canonical import number_text
 from spanloom.functions.text import SIGN, match_rows
-from spanloom.operators import stats
+from spanloom.operators import stats, structured
 from spanloom.operators.lexical import typed_rows
 
 
@@ -25,6 +28,31 @@ def test_answers_that_name_the_very_date(spark, tmp_path):
     assert got == sorted((r[0], r[2], r[3]) for r in con.sql(stats.SQL["answer_scores"]).fetchall()) == [(26, True, 1.0), (58, False, 0.0)]
 
 
+def test_customers_with_odd_values(spark, tmp_path):
+    balances = [-0.0, 0.0, None, math.nan, -math.inf, 1e-7, -1.5e-6, 1e21, -123456789012345680000.0, 9.678637210624652e17, 5e-324, 1e20, 0.05, -999.85]
+    rows = [(i, f"Customer#{i:09d}", b, "BUILDING") for i, b in enumerate(balances)]
+    rows += [(None, "n", 1.0, "x"), (-16, None, 2.5, None), (-3, "n", 2.5, "é"), (20, 'a"b\\c\n\x00\x7f\x1f', 1.0, "\b\f\r"), ((1 << 53) - 1, "n", 1.0, "x"), (1 << 53, "n", 1.0, "x"), (-(1 << 63), "n", 1.0, "x")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = {r[0]: tuple(r) for r in structured.canonical_hashes(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r for r in con.sql(structured.SQL["canonical_hashes"]).fetchall()} and len(got) == len(rows)
+    for key, name, balance, segment in rows:
+        if balance is not None and not math.isfinite(balance) or abs(key or 0) >= 1 << 53:
+            assert got[key][1] is None and got[key][2] is None and got[key][3]
+        else:
+            two = None if key is None else key % 2 == 0
+            want = {"Nums": [balance, None if key is None else key / 8, 1e21, 1e-7, 0], "id": key, "m": {"\U00010000": None if key is None else key % 3 == 0, "\ue000": two}, "title": name if two else None, "é": None if segment is None else segment + '\t"\\\x1f'}
+            assert json.loads(got[key][1], parse_int=float) == want and "[-0," not in got[key][1]
+
+
+def test_numbers_beyond_those_that_are_all_held(spark):
+    values = [9.678637210624652e17, 7.2602427694655594e19, 6.701415588617876e18, 9.020030787924212e17, 3.0438910442455304e25, 2.4398331771115212e25, 2.0**53, 2.0**121, 9007199254740994.0, 1e22, 1e23, 5e36, 2.0**89, 2.0**172]
+    got = spark.createDataFrame([(v, -v) for v in values], "v double, w double").select(number_text(F.col("v")), number_text(F.col("w"))).collect()
+    got = [(r[0].removeprefix("-"), r[1].removeprefix("-")) for r in got]
+    assert [x for x, y in got if x == y] == ["967863721062465200", "72602427694655594000", "6701415588617876000", "902003078792421200", "3.0438910442455304e+25", "2.4398331771115213e+25", "9007199254740992", "2.658455991569832e+36", "9007199254740994", "1e+22", "1e+23", "5e+36", "6.189700196426902e+26", "5.986310706507379e+51"]
+
+
 def test_matches_are_made_where_the_text_lies(spark):
     frame = spark.createDataFrame([(1, f"a12 {SIGN}b3 é45"), (2, "a12 b3 é45"), (3, None), (4, ""), (5, "none")], "source_id long, text string")
     rows = match_rows(frame, ["source_id"], "text", {"n": "[0-9]+", "w": "[a-zé]"})
