@@ -2,7 +2,8 @@
 
 The type of a key is an aggregate over its values: nothing below null, null below every scalar type, and two types or a nested
 value make the array no table. Keys stand in the order in which they are first seen. Built on the nodes of json_index.py, so
-every candidate has the place of its object in the source. Candidates have the columns that rendered.py chooses from.
+every candidate has the place of its object in the source. Candidates have the columns that rendered.py chooses from. They are
+made of a text's list of nodes where it lies: a flat object's fields are the nodes that follow it, so nothing is joined or grouped.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, float_text, quoted
-from ..sources.shared import written
 from ..sources.tables import read
-from .json_index import json_nodes, json_parsed
-from .rendered import selected, share_of
+from .json_index import json_node_lists, json_parsed
+from .rendered import selected
 
 # A record with one of these as its status must stay. Fixed values.
 FAILED = ("error", "failed", "failure", "critical", "fatal")
@@ -28,58 +28,57 @@ def scalar_text(kind: Column, value: Column) -> Column:
     return F.when(kind == "string", quoted(value)).when(kind == "integer", whole).when(kind == "number", float_text(value.cast("double"))).otherwise(value)
 
 
-def compact(parsed: DataFrame) -> DataFrame:
-    """(source_id, text): the valid texts without blanks, strings and numbers in their shortest form."""
-    word, string = F.col("lexeme"), F.col("lexeme").startswith('"')
-    number = word.rlike(r"\A-?[0-9]")
-    kind = F.when(string, "string").when(number & word.rlike(r"[.eE]"), "number").when(number, "integer")
-    rows = parsed.filter("not bad and role in ('value', 'colon', 'comma', 'close')").select("source_id", "i", F.when(kind.isNull(), word).otherwise(scalar_text(kind, F.when(string, F.col("text_of")).otherwise(word))).alias("piece"))
-    return rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("text"))
-
-
-def table_cells(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tables, cells): per source whose root is an array of two objects or more that are flat and uniform its keys in order of
-    first sight, their types and the number of rows; and every cell of these."""
-    root = nodes.filter("parent is null and kind = 'array'").select("source_id", F.col("node").alias("root"), F.col("end").alias("root_end"))
-    inside = nodes.join(root, "source_id")
-    rows = inside.filter(F.col("parent") == F.col("root"))
-    sound = rows.groupBy("source_id").agg(F.count("*").alias("rows"), F.bool_and(F.col("kind") == "object").alias("objects"), F.first("root_end").alias("root_end")).filter("objects and rows >= 2").drop("objects")
-    own = rows.select("source_id", F.col("node").alias("parent"), F.col("place").alias("row"))
-    cells = nodes.filter("key is not null").join(own, ["source_id", "parent"]).select("source_id", "row", "key", "node", "kind", "value")
-    # Types of a key: none but null, one, or a sign that it has no type.
-    some = F.when(F.col("kind") != "null", F.col("kind"))
-    typed = cells.groupBy("source_id", "key").agg(F.min("node").alias("first"), F.min(some).alias("low"), F.max(some).alias("high"))
-    name = F.when(F.col("low").isNull(), "null").when(F.col("low").isin("integer", "number"), "number").otherwise(F.col("low"))
-    flat = F.coalesce((F.col("low") == F.col("high")) & ~F.col("low").isin("object", "array"), F.lit(True))
-    keys = typed.groupBy("source_id").agg(F.bool_and(flat).alias("flat"), F.array_sort(F.collect_list(F.struct("first", "key", name.alias("type")))).alias("k"))
-    tables = sound.join(keys, "source_id", "left").filter(F.coalesce("flat", F.lit(True))).withColumn("k", F.coalesce("k", F.array().cast(dict(keys.dtypes)["k"])))
-    tables = tables.select("source_id", "rows", "root_end", F.transform("k", lambda x: x["key"]).alias("keys"), F.transform("k", lambda x: x["type"]).alias("types"))
-    return tables, cells.join(tables.select("source_id"), "source_id", "left_semi")
+def compact(nodes: Column) -> Column:
+    """The text of these nodes without blanks, strings and numbers in their shortest form."""
+    def pieces(n: Column) -> Column:
+        boxed = n["kind"].isin("object", "array")
+        own = F.when(n["kind"] == "object", "{").when(n["kind"] == "array", "[").otherwise(F.coalesce(scalar_text(n["kind"], n["value"]), F.lit("")))
+        begin = F.concat(F.when(n["first"], "").otherwise(","), F.when(n["key"].isNotNull(), F.concat(quoted(n["key"]), F.lit(":"))).otherwise(""), own)
+        end = F.struct((n["end"] - 1).alias("at"), F.when(n["kind"] == "object", "}").otherwise("]").alias("piece"))
+        return F.array_compact(F.array(F.struct(n["start"].alias("at"), begin.alias("piece")), F.when(boxed, end)))
+
+    return F.array_join(F.transform(F.sort_array(F.flatten(F.transform(nodes, pieces))), lambda x: x["piece"]), "")
+
+
+def _cell(n: Column) -> Column:
+    """A field of a row as it stands in the table: a string without its quotes."""
+    shown = quoted(n["value"])
+    return F.when(n["kind"] == "string", F.substring(shown, F.lit(2), F.length(shown) - 2)).otherwise(scalar_text(n["kind"], n["value"]))
 
 
 def json_candidates(texts: DataFrame) -> DataFrame:
-    """Candidates of every valid JSON text: a header and a record per object of a table, else one compact text. Tokens and
-    nodes are written once, as all parts of the result come from them."""
-    parsed = written(json_parsed(texts), "json-parsed")
-    nodes = written(json_nodes(parsed), "json-nodes")
-    tables, cells = table_cells(nodes)
-    listed = lambda c: canonical(F.col(c), TEXTS)
-    bare = F.when(F.col("kind") == "string", F.expr("substring(shown, 2, length(shown) - 2)")).otherwise(F.col("shown"))
-    shown = cells.withColumn("shown", scalar_text(F.col("kind"), F.col("value"))).withColumn("cell", bare)
-    failed = F.max((F.col("key") == "status") & (F.col("kind") == "string") & F.lower("value").isin(*FAILED)).alias("failed")
-    held = shown.groupBy("source_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("key", "cell"))).alias("m"), failed)
-    objects = nodes.filter("place is not null and kind = 'object'").join(nodes.filter("parent is null").select("source_id", F.col("node").alias("parent")), ["source_id", "parent"])
-    rows = objects.select("source_id", F.col("place").alias("row"), "start", "end").join(tables, "source_id").join(held, ["source_id", "row"], "left")
-    rows = rows.withColumn("m", F.coalesce("m", F.create_map().cast("map<string,string>"))).withColumn("missing", F.filter("keys", lambda k: ~F.map_contains_key("m", k)))
-    line = F.concat_ws("\t", F.lit("@row"), F.array_join(F.transform("keys", lambda k: F.coalesce(F.col("m")[k], F.lit("~"))), "\t"), F.concat(F.lit("missing="), listed("missing")))
-    made = lambda df, kind, text, must, struct, first, last, index: df.select(
-        "source_id", F.concat_ws(":", F.lit(kind), index.cast("string")).alias("candidate_id"), F.lit(kind).alias("kind"), text.alias("text"), must.alias("mandatory"), F.lit(struct).alias("structural"), F.lit(False).alias("anomaly"), F.lit(False).alias("protected"), first.cast("long").alias("first"), last.cast("long").alias("last"), index.cast("long").alias("row_index"))
-    header = F.concat(F.lit("@schema="), listed("keys"), F.lit("\n@types="), listed("types"), F.lit("\n@rows="), F.col("rows"))
-    none, yes = F.lit(None).cast("long"), F.lit(True)
-    heads = made(tables, "json_schema", header, yes, True, F.lit(0), F.col("root_end"), none)
-    records = made(rows, "json_row", line, F.coalesce("failed", F.lit(False)), False, F.col("start"), F.col("end"), F.col("row"))
-    others = compact(parsed).join(tables.select("source_id"), "source_id", "left_anti").join(nodes.filter("parent is null").select("source_id", "start", "end"), "source_id")
-    return heads.unionByName(records).unionByName(made(others, "json_compact", F.col("text"), yes, True, F.col("start"), F.col("end"), none))
+    """Candidates of every valid JSON text: a header and a record per object of a table, else one compact text. A table is an
+    array of two objects or more that are flat and uniform."""
+    rows = json_node_lists(json_parsed(texts)).filter(F.size("n") > 0).withColumn("root", F.get("n", F.lit(0)))
+    rows = rows.withColumn("cells", F.when((F.col("root.kind") == "array") & (F.col("root.size") >= 2) & (F.col("root.objects") == F.col("root.size")), F.filter("n", lambda n: n["holder"] == F.col("root.node"))))
+    # Types of a key: none but null, one, or it is no table. A type's name has no colon.
+    kinds = F.array_distinct(F.transform(F.filter("cells", lambda n: n["kind"] != "null"), lambda n: F.concat(n["kind"], F.lit(":"), n["key"])))
+    rows = rows.withColumn("keys", F.array_distinct(F.transform("cells", lambda n: n["key"]))).withColumn("kinds", kinds)
+    rows = rows.withColumn("typed", F.transform("kinds", lambda k: F.substring(k, F.locate(":", k) + 1, F.length(k))))
+    flat = ~F.exists("cells", lambda n: n["kind"].isin("object", "array")) & (F.size(F.array_distinct("typed")) == F.size("typed"))
+    rows = rows.withColumn("table", F.coalesce(F.col("cells").isNotNull() & flat, F.lit(False)))
+    part = lambda kind, row, first, last, nodes: F.struct(F.lit(kind).alias("kind"), row.cast("long").alias("row_index"), first.cast("long").alias("first"), last.cast("long").alias("last"), nodes.alias("nodes"))
+    none, root = F.lit(None), F.col("root")
+    records = F.transform("n", lambda n, i: F.when(n["parent"] == root["node"], part("json_row", n["place"], n["start"], n["end"], F.slice("n", i + 2, n["size"]))))
+    header = part("json_schema", none, F.lit(0), root["end"], F.slice("n", F.lit(1), F.lit(0)))
+    parts = F.when(F.col("table"), F.concat(F.array(header), F.array_compact(records))).otherwise(F.array(part("json_compact", none, root["start"], root["end"], F.col("n"))))
+    rows = rows.select("source_id", "keys", "kinds", "typed", F.col("root.size").alias("rows"), F.explode(parts).alias("p")).select("source_id", "keys", "kinds", "typed", "rows", "p.*")
+
+    listed = lambda c: canonical(c, TEXTS)
+    kind = lambda k: F.substring_index(F.get("kinds", F.array_position("typed", k).cast("int") - 1), ":", 1)
+    types = F.transform("keys", lambda k: F.coalesce(F.when(kind(k) == "integer", "number").otherwise(kind(k)), F.lit("null")))
+    schema = F.concat(F.lit("@schema="), listed(F.col("keys")), F.lit("\n@types="), listed(types), F.lit("\n@rows="), F.col("rows"))
+    names, shown = F.transform("nodes", lambda n: n["key"]), F.transform("nodes", _cell)
+    rows = rows.withColumn("names", F.when(F.col("kind") == "json_row", names)).withColumn("shown", F.when(F.col("kind") == "json_row", shown))
+    missing = F.filter("keys", lambda k: ~F.array_contains("names", k))
+    line = F.concat_ws("\t", F.lit("@row"), F.array_join(F.transform("keys", lambda k: F.coalesce(F.get("shown", F.array_position("names", k).cast("int") - 1), F.lit("~"))), "\t"), F.concat(F.lit("missing="), listed(missing)))
+    failed = F.exists("nodes", lambda n: (n["key"] == "status") & (n["kind"] == "string") & F.lower(n["value"]).isin(*FAILED))
+    record = F.col("kind") == "json_row"
+    text = F.when(record, line).when(F.col("kind") == "json_schema", schema).otherwise(compact(F.col("nodes")))
+    return rows.select(
+        "source_id", F.concat_ws(":", "kind", F.col("row_index").cast("string")).alias("candidate_id"), "kind", text.alias("text"), F.when(record, F.coalesce(failed, F.lit(False))).otherwise(True).alias("mandatory"),
+        (F.col("kind") == "json_schema").alias("structural"), F.lit(False).alias("anomaly"), F.lit(False).alias("protected"), "first", "last", "row_index",
+    )
 
 
 def item_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +101,7 @@ def json_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_table_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rendered within two thirds of their cost, with the records left out named; tests hold this against a plain version."""
     rows = json_candidates(item_arrays(spark, sf_dir))
-    return selected(rows, share_of(rows, F.lit(66)))[1].select("source_id", "cost", "floor", "fits", "marker", F.sha2("text", 256).alias("digest"))
+    return selected(rows, F.lit(66))[1].select("source_id", "cost", "floor", "fits", "marker", F.sha2("text", 256).alias("digest"))
 
 
 UNSTATED = ("json_table_selection",)

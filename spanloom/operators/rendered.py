@@ -23,6 +23,7 @@ from ..sources.tables import ORDER_ITEMS_SQL, order_items
 
 OMITTED = "@omitted_rows="
 PLACES = ("first", "last", "kind", "candidate_id", "text")
+_SIZE = "sum(octet_length(text) + 1) - 1"
 _OUT = "struct<states: array<string>, marker: string, cost: bigint, floor: bigint, fits: boolean>"
 
 
@@ -116,13 +117,19 @@ def _choose(candidates: pa.Array, budgets: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([states, *rest], ["states", "marker", "cost", "floor", "fits"])
 
 
-def selected(candidates: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _share(size: Column, share: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(size * share / 100)).cast("long")
+
+
+def selected(candidates: DataFrame, budgets: DataFrame | Column) -> tuple[DataFrame, DataFrame]:
     """(choices, sources): every candidate with rank and state; per source of `budgets` (source_id, budget) the text, its cost,
     the cost of what must stay with the marker (floor), the marker and whether the text fits. A source's candidates are one
-    row; of these only costs and flags go to Python, many sources at once."""
+    row; of these only costs and flags go to Python, many sources at once. A column in place of the budgets is a share as in
+    share_of, of which the budget is made where the candidates lie."""
     others = [c for c in candidates.columns if c not in ("source_id", *PLACES)]
     entry = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_standing())], *PLACES, *others)
-    held = candidates.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("c")).join(budgets.select("source_id", "budget"), "source_id")
+    held = candidates.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.expr(_SIZE).alias("n"))
+    held = held.withColumn("budget", _share(F.col("n"), budgets)) if isinstance(budgets, Column) else held.join(budgets.select("source_id", "budget"), "source_id")
     size = lambda c: F.octet_length(F.coalesce(c["text"], F.lit(""))).cast("long")
     sent = F.transform("c", lambda c: F.struct(size(c).alias("cost"), F.coalesce(c["mandatory"], F.lit(False)).alias("mandatory"), F.coalesce(c["row_index"], F.lit(-1)).cast("long").alias("row_index")))
     choose = F.arrow_udf(lambda listed, budget: _choose(listed, budget), _OUT)
@@ -151,8 +158,8 @@ def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_of(candidates: DataFrame, share: Column) -> DataFrame:
     """(source_id, budget): this share, in hundredths, of the cost of all candidates of a source, at least 1."""
-    sizes = candidates.groupBy("source_id").agg((F.sum(F.octet_length("text") + 1) - 1).alias("n"))
-    return sizes.select("source_id", F.greatest(F.lit(1), F.floor(F.col("n") * share / 100)).cast("long").alias("budget"))
+    sizes = candidates.groupBy("source_id").agg(F.expr(_SIZE).alias("n"))
+    return sizes.select("source_id", _share(F.col("n"), share).alias("budget"))
 
 
 def rendered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

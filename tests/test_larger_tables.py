@@ -57,3 +57,20 @@ def test_anomalies_of_rows_with_two_forms_of_a_key(spark):
     nodes = json_index.json_nodes(json_index.json_parsed(spark.createDataFrame(rows, "source_id long, text string")))
     got = sorted((r.source_id, r.pointer, r.peer, r.status) for r in json_index.anomalous_rows(nodes).collect())
     assert got == [(1, "/0", False, False), (1, "/1", True, True), (1, "/2", True, False)][1:] + [(3, "/0/x/1", True, False), (3, "/1", True, False), (3, "/1/x/1", True, False), (5, "/1", True, False), (5, "/2", True, False)]
+
+
+def test_tables_are_made_where_the_text_lies(spark):
+    """json_table wrote tokens and nodes, and joined cells, keys and rows; its selection read all of that twice."""
+    from spanloom.operators import json_table
+
+    shown = plan(json_table.json_table(spark, DATA))
+    assert "Join" not in shown and "tables/json" not in shown and shown.count("Scan parquet") == 1 and shown.count("Exchange hashpartitioning") <= 2
+    assert plan(json_table.json_table_selection(spark, DATA)).count("Scan parquet") == 1
+    texts = ['[{"b":"x:y","a:b":null},{"a:b":1,"b":":"}]', '[{"a":1e400},{"b":-0}]', '[{"a":[ {} , { "x" : 1e400 } ]},{}]', '[{"a":1},{"a":null},{"status":"fatal"}]']
+    got = sorted((r.source_id, r.kind, r.row_index or 0, r.mandatory, r.text) for r in json_table.json_candidates(spark.createDataFrame(list(enumerate(texts)), "source_id long, text string")).collect())
+    assert got == sorted([
+        (0, "json_row", 0, False, '@row\tx:y\tnull\tmissing=[]'), (0, "json_row", 1, False, '@row\t:\t1\tmissing=[]'), (0, "json_schema", 0, True, '@schema=["b","a:b"]\n@types=["string","number"]\n@rows=2'),
+        (1, "json_row", 0, False, '@row\t~\t~\tmissing=["b"]'), (1, "json_row", 1, False, '@row\t~\t0\tmissing=["a"]'), (1, "json_schema", 0, True, '@schema=["a","b"]\n@types=["number","number"]\n@rows=2'),
+        (2, "json_compact", 0, True, '[{"a":[{},{"x":}]},{}]'),
+        (3, "json_row", 0, False, '@row\t1\t~\tmissing=["status"]'), (3, "json_row", 1, False, '@row\tnull\t~\tmissing=["status"]'), (3, "json_row", 2, True, '@row\t~\tfatal\tmissing=["a"]'), (3, "json_schema", 0, True, '@schema=["a","status"]\n@types=["number","string"]\n@rows=3'),
+    ])
