@@ -3,6 +3,8 @@ only lengths go to Python, a batch of texts at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,7 +63,7 @@ def matches(text: Column, pattern: str) -> Column:
     return F.get(zipped, F.lit(0))
 
 
-def _running(lists: pa.Array) -> pa.Array:
+def running(lists: pa.Array) -> pa.Array:
     """Running sums within each list of each row's list of lists."""
     inner = lists.flatten()
     ends = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -71,16 +73,17 @@ def _running(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(within)))
 
 
-def match_arrays(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
-    """(keys, found): for each text that isn't null, per pattern in order an array of (class, start, end, lexeme)."""
+def match_arrays(df: DataFrame, keys: list[str], text: str, patterns: dict[str, str], places: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(keys, found): for each text that isn't null, per pattern in order an array of (class, start, end, lexeme). `places` may make
+    the running sums of lengths in its own way; a match whose sum is null there is left out."""
     names = [f"_m{i}" for i in range(len(patterns))]
     rows = df.filter(F.col(text).isNotNull()).select(*keys, *[parted(F.col(text), p).alias(n) for n, p in zip(names, patterns.values(), strict=True)])
-    running = F.arrow_udf(lambda lists: _running(lists), "array<array<bigint>>")
-    rows = rows.withColumn("_ends", running(F.array(*[F.transform(n, F.length) for n in names])))
+    places = places or F.arrow_udf(lambda lists: running(lists), "array<array<bigint>>")
+    rows = rows.withColumn("_ends", places(F.array(*[F.transform(n, F.length) for n in names])))
 
     def listed(i: int, name: str, kind: str) -> Column:
         made = F.transform(F.arrays_zip(F.get("_ends", F.lit(i)).alias("end"), F.col(name).alias("lexeme")), lambda m: F.struct(F.lit(kind).alias("class"), (m["end"] - F.length(m["lexeme"])).alias("start"), m["end"].alias("end"), m["lexeme"].alias("lexeme")))
-        return F.filter(made, lambda m, j: j % 2 == 1)
+        return F.filter(made, lambda m, j: (j % 2 == 1) & m["end"].isNotNull())
 
     return rows.select(*keys, F.array(*[listed(i, n, k) for i, (n, k) in enumerate(zip(names, patterns, strict=True))]).alias("found"))
 

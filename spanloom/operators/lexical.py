@@ -7,47 +7,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CLASSES, HELD, HOLDERS, MARKERS, ROLE, SENTENCE, STOP_WORDS, marker, match_arrays, match_rows, overlap_join
+from ..functions.text import CLASSES, HELD, HOLDERS, MARKERS, ROLE, SENTENCE, STOP_WORDS, marker, match_arrays, match_rows, overlap_join, running
 from ..sources.tables import INCIDENT_SQL, dialogue_texts, incident_notes, read
 from .structured import SAID_SQL, dialogue_turns
 
 
-def _begun_inside(places: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    """Per row which of its places lie in one of its ranges [start, end): all rows of a batch on one axis, each in a stretch of its own."""
-    sizes = lambda lists: lists.value_lengths().to_numpy(zero_copy_only=False)
-    flat = lambda lists: lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    at, low, high = flat(places), flat(starts), flat(ends)
-    stretch = 1 + max(at.max(initial=0), high.max(initial=0))
-    shift = lambda lists: np.repeat(np.arange(len(lists), dtype=np.int64) * stretch, sizes(lists))
-    at, low, high = at + shift(places), low + shift(starts), high + shift(ends)
-    order = np.argsort(low, kind="stable")
-    reach = np.concatenate([[-1], np.maximum.accumulate(high[order])])
-    inside = reach[np.searchsorted(low[order], at, "right")] > at
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes(places))]).astype(np.int32)), pa.array(inside))
-
-
-def typed_rows(texts: DataFrame) -> DataFrame:
-    """All typed spans of texts (source_id, text); numbers and hexadecimal identities that start in a date or version are
-    part of it, and single capitalised stop words are no names."""
-    rows = match_arrays(texts, ["source_id"], "text", CLASSES)
-    of = lambda names: F.flatten(F.array(*[F.get("found", F.lit(list(CLASSES).index(k))) for k in names]))
-    begun = F.arrow_udf(lambda places, starts, ends: _begun_inside(places, starts, ends), "array<boolean>")
-    rows = rows.select("source_id", of(HELD).alias("held"), of(HOLDERS).alias("holders"), of([k for k in CLASSES if k not in HELD]).alias("others"))
-    rows = rows.withColumn("inside", begun(F.transform("held", lambda m: m["start"]), F.transform("holders", lambda m: m["start"]), F.transform("holders", lambda m: m["end"])))
-    free = F.filter("held", lambda m, i: ~F.get("inside", i))
-    named = lambda m: (m["class"] == "entity.named") & m["lexeme"].isin(*STOP_WORDS)
-    return rows.select("source_id", F.explode(F.concat(free, F.filter("others", lambda m: ~named(m)))).alias("m")).select("source_id", "m.*")
+def _placed(lists: pa.Array, held: list[int], holders: list[int]) -> pa.Array:
+    """The running sums of each pattern's lengths, without those of matches of the patterns `held` that begin in one of `holders`:
+    all texts of a batch on one axis, each in a stretch of its own. A text's lengths are one list a pattern, gaps and matches in turn."""
+    inner, counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    ends = running(lists).flatten()
+    starts = ends.flatten().to_numpy(zero_copy_only=False) - inner.flatten().to_numpy(zero_copy_only=False)
+    sizes = inner.value_lengths().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    pattern = np.repeat(np.concatenate([np.arange(n) for n in counts] or [np.zeros(0, int)]), sizes)
+    stops = ends.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.repeat(np.arange(len(lists)), counts), sizes) * (1 + stops.max(initial=0))
+    match = (np.arange(starts.size) - np.repeat(bounds[:-1], sizes)) % 2 == 1
+    of = lambda which: np.flatnonzero(match & np.isin(pattern, which))
+    among, at = of(holders), of(held)
+    among = among[np.argsort((starts + row)[among], kind="stable")]
+    reach = np.concatenate([[-1], np.maximum.accumulate((stops + row)[among])])
+    gone = np.zeros(starts.size, bool)
+    gone[at] = reach[np.searchsorted((starts + row)[among], (starts + row)[at], "right")] > (starts + row)[at]
+    cuts = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    return pa.ListArray.from_arrays(cuts(counts), pa.ListArray.from_arrays(cuts(sizes), pa.array(stops, mask=gone)))
+
+
+def typed_lists(texts: DataFrame, classes: list[str]) -> DataFrame:
+    """(source_id, found): per text that isn't null and class in order an array of its spans (class, start, end, lexeme). Numbers
+    and hexadecimal identities that start in a date or version are part of it, and single capitalised stop words are no names."""
+    tried = [k for k in CLASSES if k in classes or k in HOLDERS and set(HELD) & set(classes)]
+    index = lambda names: [i for i, k in enumerate(tried) if k in names]
+    places = F.arrow_udf(lambda lists: _placed(lists, index(HELD), index(HOLDERS)), "array<array<bigint>>")
+    free = lambda m: ~m["lexeme"].isin(*STOP_WORDS)
+    rows = match_arrays(texts, ["source_id"], "text", {k: CLASSES[k] for k in tried}, places)
+    wanted = [F.filter(f, free) if k == "entity.named" else f for k in classes for f in [F.get("found", F.lit(tried.index(k)))]]
+    return rows.select("source_id", F.array(*wanted).alias("found"))
+
+
+def typed_rows(texts: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """All typed spans of texts (source_id, text), or those of some classes, one a row."""
+    return typed_lists(texts, classes or list(CLASSES)).select("source_id", F.explode(F.flatten("found")).alias("m")).select("source_id", "m.*")
 
 
 def typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans per class: how many, their places summed up, the smallest and the largest lexeme."""
-    rows = typed_rows(incident_notes(spark, sf_dir))
-    return rows.groupBy("class").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.min("lexeme").alias("low"), F.max("lexeme").alias("high"))
+    """Spans per class: how many, their places summed up, the smallest and the largest lexeme. Of each text only these go on, in
+    a column each: grouped by class, spans would be sorted on disk, as there are texts among the sums."""
+    rows = typed_lists(incident_notes(spark, sf_dir), list(CLASSES))
+    summed = lambda f, c: F.aggregate(f, F.lit(0).cast("long"), lambda s, m: s + m[c])
+    lexemes = lambda f: F.transform(f, lambda m: m["lexeme"])
+    columns, made = [], []
+    for i, name in enumerate(CLASSES):
+        f = F.get("found", F.lit(i))
+        columns += [F.size(f).alias(f"n{i}"), summed(f, "start").alias(f"s{i}"), summed(f, "end").alias(f"e{i}"), F.array_min(lexemes(f)).alias(f"l{i}"), F.array_max(lexemes(f)).alias(f"h{i}")]
+        sums = [F.sum(f"n{i}").alias("n"), F.sum(f"s{i}").alias("starts"), F.sum(f"e{i}").alias("ends"), F.min(f"l{i}").alias("low"), F.max(f"h{i}").alias("high")]
+        made.append(F.struct(F.lit(name).alias("class"), *sums))
+    return rows.select(*columns).agg(F.array(*made).alias("c")).select(F.explode("c").alias("c")).select("c.*").filter("n > 0")
 
 
 def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every number that stands for itself, with its place."""
-    return typed_rows(incident_notes(spark, sf_dir)).filter("class = 'numeric.number'").select("source_id", "start", "lexeme")
+    return typed_rows(incident_notes(spark, sf_dir), ["numeric.number"]).select("source_id", "start", "lexeme")
 
 
 def marker_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

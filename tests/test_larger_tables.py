@@ -74,3 +74,18 @@ def test_tables_are_made_where_the_text_lies(spark):
         (2, "json_compact", 0, True, '[{"a":[{},{"x":}]},{}]'),
         (3, "json_row", 0, False, '@row\t1\t~\tmissing=["status"]'), (3, "json_row", 1, False, '@row\tnull\t~\tmissing=["status"]'), (3, "json_row", 2, True, '@row\t~\tfatal\tmissing=["a"]'), (3, "json_schema", 0, True, '@schema=["a","status"]\n@types=["number","string"]\n@rows=3'),
     ])
+
+
+def test_spans_are_summed_up_without_a_sort(spark):
+    """typed_spans sorted every span by class, as sums of texts can't be hashed; number_spans looked for all classes, in two calls."""
+    from spanloom.operators import lexical
+
+    shown = plan(lexical.typed_spans(spark, DATA))
+    assert "Sort " not in shown and "Exchange hashpartitioning" not in shown
+    numbers = lexical.number_spans(spark, DATA)
+    assert plan(numbers).count("ArrowEvalPython [") == 1 and plan(lexical.typed_spans(spark, DATA)).count("ArrowEvalPython [") == 1
+    frame = spark.createDataFrame([(1, "On 2024-01-15 The v1.2.3 cost 7 kg"), (2, None), (3, ""), (4, "2024-01-15"), (5, "Ada 5")], "source_id long, text string")
+    some = lambda *names: sorted((r.source_id, r.start, r.lexeme) for r in lexical.typed_rows(frame, list(names)).collect())
+    assert some("numeric.number") == [(1, 30, "7"), (5, 4, "5")] and some("entity.named") == [(1, 0, "On"), (5, 0, "Ada")]
+    every = sorted((r.source_id, r.start, r.lexeme) for r in lexical.typed_rows(frame).filter("class = 'numeric.number'").collect())
+    assert every == some("numeric.number")
