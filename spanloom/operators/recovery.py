@@ -3,8 +3,9 @@
 Requests are (source_id, budget, maximum); candidates are those of rendered.py; `required` (source_id, span_id, first, last)
 names what the text must hold. An attempt selects within the budget and looks which spans no chosen candidate covers. What is
 valid is emitted. What doesn't fit gets more budget; missing spans make the candidates that overlap them mandatory; what can
-do neither, and whatever fails the last attempt, falls back to the whole source. Every attempt is one written table, and the
-next one reads only those requests that go on. Each attempt's hash takes in the one before, so the history is a chain.
+do neither, and whatever fails the last attempt, falls back to the whole source. A request is one row with its candidates and
+spans, grouped once; every attempt is one written table, and the next one reads only those rows that go on, without a shuffle.
+Each attempt's hash takes in the one before, so the history is a chain.
 
 Sources without candidates have an empty text, which is valid if nothing is required of them. A request appears once a source.
 """
@@ -13,12 +14,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import domain_hash, overlap_join
+from ..functions.text import domain_hash
 from ..sources.shared import written
-from .rendered import order_candidates, selected, share_of
+from .rendered import order_candidates, ranked_entry, settled, share_of, stays
 
 MARGIN, SPAN_LIMIT, ATTEMPTS = 8, 8, 5
 EMIT, EXPAND, RESTORE, FALLBACK = "emit", "expand_budget", "restore_spans", "full_fallback"
@@ -42,52 +46,72 @@ def planned(codes: Column, incompressible: Column, spans: Column, budget: Column
     return F.when(plan["action"].isin(*allowed), plan).otherwise(none)
 
 
-def uncovered(choices: DataFrame, required: DataFrame) -> DataFrame:
-    """The required spans that lie in no candidate that stays."""
-    kept = choices.filter("state in ('mandatory', 'taken')").select("source_id", F.col("first").alias("start"), F.col("last").alias("end"))
-    asked = required.select("source_id", "span_id", F.col("first").alias("start"), F.col("last").alias("end"))
-    held = overlap_join(kept, asked, ["source_id"], contains=True).select("r.source_id", "r.span_id").distinct()
-    return required.join(held, ["source_id", "span_id"], "left_anti")
+def _met(low: pa.Array, high: pa.Array, first: pa.Array, last: pa.Array, contains: bool) -> pa.Array:
+    """Per row which of its spans [first, last) lie in one of its ranges [low, high), or overlap one; a null meets nothing. All rows
+    of a batch lie on one axis, each in a stretch of its own: of the ranges that begin early enough, one must reach far enough."""
+    lists = (low, high, first, last)
+    flat = [x.flatten() for x in lists]
+    known = np.concatenate([x.drop_null().to_numpy() for x in flat])
+    least, most = int(known.min(initial=0)), int(known.max(initial=0))
+    values = lambda i, null: pc.fill_null(flat[i], null).to_numpy() - least
+    rows = lambda x: np.repeat(np.arange(len(x)) * (most - least + 3), x.value_lengths().to_numpy(zero_copy_only=False))
+    begin, reach = values(0, most) + rows(low), values(1, least - 1) + rows(low)
+    order = np.argsort(begin, kind="stable")
+    reach = np.concatenate([[-1], np.maximum.accumulate(reach[order])])
+    if contains:
+        met = reach[np.searchsorted(begin[order], values(2, least - 1) + rows(first), "right")] >= values(3, most + 1) + rows(first)
+    else:
+        met = reach[np.searchsorted(begin[order], values(3, least - 1) + rows(first), "left")] > values(2, most + 1) + rows(first)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)), pa.array(met))
 
 
-def restored(candidates: DataFrame, spans: DataFrame) -> DataFrame:
-    """candidates, of which those that overlap one of these spans are mandatory."""
-    own = candidates.select("source_id", "candidate_id", "first", F.col("first").alias("start"), F.col("last").alias("end"))
-    met = overlap_join(own, spans.select("source_id", F.col("first").alias("start"), F.col("last").alias("end")), ["source_id"]).select("l.source_id", "l.candidate_id", "l.first").distinct().withColumn("forced", F.lit(True))
-    return candidates.join(met, ["source_id", "candidate_id", "first"], "left").withColumn("mandatory", F.coalesce("mandatory", F.lit(False)) | F.coalesce("forced", F.lit(False))).drop("forced")
+def met(ranges: Column, spans: Column, contains: bool = False) -> Column:
+    """An array of booleans: which of the spans (first, last) overlap one of the ranges, or lie in one."""
+    found = F.arrow_udf(lambda low, high, first, last: _met(low, high, first, last, contains), "array<boolean>")
+    return found(*[F.transform(x, lambda v: v[c].cast("long")) for x in (ranges, spans) for c in ("first", "last")])
 
 
 def recovered(requests: DataFrame, candidates: DataFrame, required: DataFrame, attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
     """(results, history): per source the final action, text (null after a fallback), cost and number of attempts; and every
     attempt with its codes, missing spans, action, budgets, parent and hash."""
-    live = written(requests.select("source_id", F.col("budget").cast("long"), F.col("maximum").cast("long"), F.lit(None).cast("string").alias("parent")), "recovery-requests")
+    columns = [c for c in candidates.columns if c != "source_id"]
+    own = candidates.groupBy("source_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
+    asked = required.groupBy("source_id").agg(F.collect_list(F.struct("span_id", "first", "last")).alias("q"))
+    live = requests.select("source_id", F.col("budget").cast("long"), F.col("maximum").cast("long"), F.lit(None).cast("string").alias("parent"))
+    # As sides of a merge, so that the driver holds none of them.
+    live = live.join(own.hint("merge"), "source_id", "left").join(asked.hint("merge"), "source_id", "left")
+    live = live.select("source_id", "budget", "maximum", "parent", *[F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c) for c, df in (("c", own), ("q", asked))])
     history = []
     for attempt in range(1, attempts + 1):
-        mine = live.select("source_id")
-        own, asked = candidates.join(mine, "source_id", "left_semi"), required.join(mine, "source_id", "left_semi")
-        choices, texts = selected(own, live.select("source_id", "budget"))
-        missing = written(uncovered(choices, asked), "recovery-missing")
-        spans = missing.groupBy("source_id").agg(F.array_sort(F.collect_set("span_id")).alias("missing"))
-        rows = live.join(texts, "source_id", "left").join(spans, "source_id", "left")
-        rows = rows.withColumn("missing", F.coalesce("missing", F.array().cast(dict(spans.dtypes)["missing"]))).withColumn("floor", F.coalesce("floor", F.lit(0))).withColumn("cost", F.coalesce("cost", F.lit(0)))
+        rows = live.withColumnRenamed("c", "own").withColumn("c", F.sort_array(F.transform("own", lambda x: ranked_entry(columns, lambda c: x[c]))))
+        rows = settled(rows).withColumn("cost", F.col("r.cost")).withColumn("floor", F.col("r.floor"))
+        rows = rows.withColumn("held", met(F.transform(F.filter("z", stays), lambda z: z["c"]), F.col("q"), contains=True))
+        ids = F.transform("q", lambda q: q["span_id"])
+        rows = rows.withColumn("missing", F.array_sort(F.array_except(ids, F.filter(ids, lambda _, i: F.get("held", i)))))
         codes = F.array_compact(F.array(F.when(F.size("missing") > 0, "OBLIGATION_NOT_REPRESENTED"), F.when(F.col("cost") > F.col("budget"), "TOKEN_BUDGET_EXCEEDED")))
         rows = rows.withColumn("codes", codes).withColumn("plan", planned(F.col("codes"), F.col("floor") > F.col("budget"), F.size("missing"), F.col("budget"), F.col("floor"), F.col("maximum")))
         action = F.col("plan.action")
         action = F.when(action != EMIT, FALLBACK).otherwise(action) if attempt == attempts else action
-        rows = rows.select("source_id", F.lit(attempt).alias("attempt"), action.alias("action"), "codes", "missing", "budget", "maximum", F.when(action.isin(EXPAND, RESTORE), F.col("plan.proposed")).alias("proposed"), "cost", "floor", "text", "parent")
+        # What overlaps a missing span must stay from now on.
+        again = F.when(action == RESTORE, F.filter("q", lambda q: F.array_contains("missing", q["span_id"]))).otherwise(F.slice("q", 1, 0))
+        rows = rows.withColumn("forced", met(again, F.col("own")))
+        forced = F.transform("own", lambda x, i: x.withField("mandatory", F.coalesce(x["mandatory"], F.lit(False)) | F.get("forced", i)))
+        goes_on = action.isin(EXPAND, RESTORE)
+        rows = rows.select(
+            "source_id", F.lit(attempt).alias("attempt"), action.alias("action"), "codes", "missing", "budget", "maximum", F.when(goes_on, F.col("plan.proposed")).alias("proposed"), "cost", "floor", "parent",
+            F.when(action == EMIT, F.col("text")).alias("text"), F.when(goes_on, forced).alias("c"), F.when(goes_on, F.col("q")).alias("q"),
+        )
         record = F.to_json(F.struct("attempt", "action", "codes", "missing", "budget", "proposed", "cost", "floor", "parent"), {"ignoreNullFields": "false"})
         done = written(rows.withColumn("hash", domain_hash("spanloom.recovery", record)), "recovery-attempt")
         history.append(done)
         onward = done.filter(F.col("action").isin(EXPAND, RESTORE))
         if attempt == attempts or not onward.limit(1).count():
             break
-        again = missing.join(onward.filter(F.col("action") == RESTORE).select("source_id"), "source_id", "left_semi")
-        candidates = written(restored(own.join(onward.select("source_id"), "source_id", "left_semi"), again), "recovery-candidates")
-        live = onward.select("source_id", F.col("proposed").alias("budget"), "maximum", F.col("hash").alias("parent"))
+        live = onward.select("source_id", F.col("proposed").alias("budget"), "maximum", F.col("hash").alias("parent"), "c", "q")
     every = reduce(DataFrame.unionByName, history)
     ended = every.filter(F.col("action").isin(EMIT, FALLBACK))
     results = ended.select("source_id", "action", F.when(F.col("action") == EMIT, F.coalesce("text", F.lit(""))).alias("text"), F.when(F.col("action") == EMIT, F.col("cost")).alias("cost"), F.col("attempt").alias("attempts"), "hash")
-    return results, every.drop("text")
+    return results, every.drop("text", "c", "q")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ Equal candidate ids of one source are kept apart by their places; null flags cou
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +95,8 @@ def fitted(cost: np.ndarray, mandatory: np.ndarray, row: np.ndarray, budget: int
     return state, f"{OMITTED}{left}" if left.starts else None, total, with_marker(floor, int(mandatory.sum())), total <= budget
 
 
-def _standing() -> tuple[Column, Column, Column]:
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+def _standing(of: Callable[[str], Column] = F.col) -> tuple[Column, Column, Column]:
+    flag = lambda c: F.coalesce(of(c), F.lit(False))
     return F.when(flag("mandatory"), 0).when(flag("structural"), 1).otherwise(2), (~flag("anomaly")).cast("int"), (~flag("protected")).cast("int")
 
 
@@ -109,7 +109,7 @@ def ranked(candidates: DataFrame) -> DataFrame:
 def _choose(candidates: pa.Array, budgets: pa.Array) -> pa.Array:
     """States, marker, cost, floor and fits for each row's list of (cost, mandatory, row_index), which is in the order of ranks."""
     flat = candidates.flatten()
-    cost, mandatory, row = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    cost, mandatory, row = (flat.field(i).to_numpy(zero_copy_only=False).astype(kind) for i, kind in enumerate((np.int64, bool, np.int64)))
     ends = np.concatenate([[0], np.cumsum(candidates.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
     made = [fitted(cost[a:b], mandatory[a:b], row[a:b], budget) for a, b, budget in zip(ends[:-1].tolist(), ends[1:].tolist(), budgets.to_pylist(), strict=True)]
     states = pa.ListArray.from_arrays(pa.array(ends), pa.array([x for m in made for x in m[0]], pa.string()))
@@ -117,34 +117,49 @@ def _choose(candidates: pa.Array, budgets: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([states, *rest], ["states", "marker", "cost", "floor", "fits"])
 
 
-def _share(size: Column, share: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(size * share / 100)).cast("long")
+def ranked_entry(columns: list[str], of: Callable[[str], Column] = F.col) -> Column:
+    """A candidate with these columns as a struct that sorts by rank."""
+    others = [c for c in columns if c not in ("source_id", *PLACES)]
+    return F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_standing(of))], *[of(c).alias(c) for c in (*PLACES, *others)])
 
 
-def selected(candidates: DataFrame, budgets: DataFrame | Column) -> tuple[DataFrame, DataFrame]:
-    """(choices, sources): every candidate with rank and state; per source of `budgets` (source_id, budget) the text, its cost,
-    the cost of what must stay with the marker (floor), the marker and whether the text fits. A source's candidates are one
-    row; of these only costs and flags go to Python, many sources at once. A column in place of the budgets is a share as in
-    share_of, of which the budget is made where the candidates lie."""
-    others = [c for c in candidates.columns if c not in ("source_id", *PLACES)]
-    entry = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_standing())], *PLACES, *others)
-    held = candidates.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.expr(_SIZE).alias("n"))
-    held = held.withColumn("budget", _share(F.col("n"), budgets)) if isinstance(budgets, Column) else held.join(budgets.select("source_id", "budget"), "source_id")
+def stays(z: Column) -> Column:
+    return z["state"].isin("mandatory", "taken")
+
+
+def settled(held: DataFrame) -> DataFrame:
+    """held, with a source's candidates in the order of their rank (c) and its budget, and what is chosen of them: states, marker,
+    cost, floor and fits (r), candidates with their states (z), and the text."""
     size = lambda c: F.octet_length(F.coalesce(c["text"], F.lit(""))).cast("long")
     sent = F.transform("c", lambda c: F.struct(size(c).alias("cost"), F.coalesce(c["mandatory"], F.lit(False)).alias("mandatory"), F.coalesce(c["row_index"], F.lit(-1)).cast("long").alias("row_index")))
     choose = F.arrow_udf(lambda listed, budget: _choose(listed, budget), _OUT)
     made = held.withColumn("r", choose(sent, F.col("budget").cast("long"))).withColumn("z", F.arrays_zip("c", F.col("r.states").alias("state")))
-    choices = made.select("source_id", F.posexplode("z").alias("i", "z")).select("source_id", *[F.col(f"z.c.{c}").alias(c) for c in candidates.columns if c != "source_id"], (F.col("i") + 1).cast("long").alias("rank"), "z.state")
-
-    stays = lambda z: z["state"].isin("mandatory", "taken")
+    kind = lambda c: held.schema["c"].dataType.elementType[c].dataType.simpleString()
     line = lambda first, last, kind, rank, text: F.struct(first.alias("first"), last.alias("last"), kind.alias("kind"), rank.cast("long").alias("rank"), text.alias("text"))
     ranks = F.transform("z", lambda z, i: F.struct(z.alias("z"), (i + 1).alias("rank")))
     lines = F.transform(F.filter(ranks, lambda x: stays(x["z"])), lambda x: line(x["z"]["c"]["first"], x["z"]["c"]["last"], x["z"]["c"]["kind"], x["rank"], F.coalesce(x["z"]["c"]["text"], F.lit(""))))
     gone = F.transform(F.filter("z", lambda z: ~stays(z) & z["c"]["row_index"].isNotNull()), lambda z: F.struct(z["c"]["first"].alias("first"), z["c"]["last"].alias("last")))
     place, marker = F.array_min(gone), F.col("r.marker")
-    mark = F.when(marker.isNotNull(), F.array(line(place["first"], place["last"], F.lit(""), F.lit(0), marker))).otherwise(F.array().cast(f"array<struct<first:{dict(candidates.dtypes)['first']},last:{dict(candidates.dtypes)['last']},kind:string,rank:bigint,text:string>>"))
+    mark = F.when(marker.isNotNull(), F.array(line(place["first"], place["last"], F.lit(""), F.lit(0), marker))).otherwise(F.array().cast(f"array<struct<first:{kind('first')},last:{kind('last')},kind:string,rank:bigint,text:string>>"))
     text = F.array_join(F.transform(F.array_sort(F.concat(lines, mark)), lambda x: x["text"]), "\n")
-    return choices, made.select("source_id", "r.marker", "r.cost", "r.floor", "r.fits", text.alias("text"))
+    return made.withColumn("text", text)
+
+
+def _share(size: Column, share: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(size * share / 100)).cast("long")
+
+
+def selected(candidates: DataFrame, budgets: DataFrame | Column) -> tuple[DataFrame, DataFrame]:
+    """(choices, sources): every candidate with rank and state; per source of `budgets` (source_id, budget) the text, its cost,
+    the cost of what must stay with the marker (floor), the marker and whether the text fits. A source's candidates are one
+    row; of these only costs and flags go to Python, many sources at once. A column in place of the budgets is a share as in
+    share_of, of which the budget is made where the candidates lie."""
+    entry = ranked_entry(candidates.columns)
+    held = candidates.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.expr(_SIZE).alias("n"))
+    held = held.withColumn("budget", _share(F.col("n"), budgets)) if isinstance(budgets, Column) else held.join(budgets.select("source_id", "budget"), "source_id")
+    made = settled(held)
+    choices = made.select("source_id", F.posexplode("z").alias("i", "z")).select("source_id", *[F.col(f"z.c.{c}").alias(c) for c in candidates.columns if c != "source_id"], (F.col("i") + 1).cast("long").alias("rank"), "z.state")
+    return choices, made.select("source_id", "r.marker", "r.cost", "r.floor", "r.fits", "text")
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,32 @@ def test_spans_are_summed_up_without_a_sort(spark):
     assert some("numeric.number") == [(1, 30, "7"), (5, 4, "5")] and some("entity.named") == [(1, 0, "On"), (5, 0, "Ada")]
     every = sorted((r.source_id, r.start, r.lexeme) for r in lexical.typed_rows(frame).filter("class = 'numeric.number'").collect())
     assert every == some("numeric.number")
+
+
+def test_attempts_go_on_without_a_shuffle(spark, monkeypatch):
+    """Every attempt made the candidates anew, joined and grouped them, and wrote three tables."""
+    from spanloom.operators import recovery
+
+    seen, write = [], recovery.written
+    monkeypatch.setattr(recovery, "written", lambda df, what: seen.append(plan(df)) or write(df, what))
+    history = recovery.recovery_history(spark, DATA)
+    attempts = [r.attempt for r in history.select("attempt").distinct().collect()]
+    assert len(seen) == max(attempts) > 2 and "Exchange" in seen[0] and "BroadcastHashJoin" not in seen[0]
+    assert not any("Exchange" in p or "Join" in p for p in seen[1:])
+
+
+def test_spans_in_ranges_and_over_them(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spanloom.operators.recovery import met
+
+    rng = random.Random(5)
+    pair = lambda: rng.choice([(a := rng.randint(-5, 20), a + rng.randint(0, 6))] * 6 + [(None, 3), (2, None), (None, None)])
+    rows = [(i, [pair() for _ in range(rng.randint(0, 5))], [pair() for _ in range(rng.randint(0, 6))]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "i long, a array<struct<first:long,last:long>>, b array<struct<first:long,last:long>>")
+    whole = lambda a, b: None not in (*a, *b)
+    for r in frame.select("a", "b", met(F.col("a"), F.col("b")).alias("over"), met(F.col("a"), F.col("b"), contains=True).alias("within")).collect():
+        assert r.over == [any(whole(a, b) and a[0] < b[1] and b[0] < a[1] for a in r.a) for b in r.b]
+        assert r.within == [any(whole(a, b) and a[0] <= b[0] and b[1] <= a[1] for a in r.a) for b in r.b]
