@@ -71,6 +71,11 @@ def met(ranges: Column, spans: Column, contains: bool = False) -> Column:
     return found(*[F.transform(x, lambda v: v[c].cast("long")) for x in (ranges, spans) for c in ("first", "last")])
 
 
+def _once(rows: DataFrame, name: str, made: Column) -> DataFrame:
+    """rows with this column, computed once however often it is named later on: behind a generator nothing is put in its place."""
+    return rows.select("*", F.explode(F.array(made)).alias(name))
+
+
 def recovered(requests: DataFrame, candidates: DataFrame, required: DataFrame, attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
     """(results, history): per source the final action, text (null after a fallback), cost and number of attempts; and every
     attempt with its codes, missing spans, action, budgets, parent and hash."""
@@ -87,14 +92,14 @@ def recovered(requests: DataFrame, candidates: DataFrame, required: DataFrame, a
         rows = settled(rows).withColumn("cost", F.col("r.cost")).withColumn("floor", F.col("r.floor"))
         rows = rows.withColumn("held", met(F.transform(F.filter("z", stays), lambda z: z["c"]), F.col("q"), contains=True))
         ids = F.transform("q", lambda q: q["span_id"])
-        rows = rows.withColumn("missing", F.array_sort(F.array_except(ids, F.filter(ids, lambda _, i: F.get("held", i)))))
+        rows = _once(rows, "missing", F.array_sort(F.array_except(ids, F.filter(ids, lambda _, i: F.get("held", i)))))
         codes = F.array_compact(F.array(F.when(F.size("missing") > 0, "OBLIGATION_NOT_REPRESENTED"), F.when(F.col("cost") > F.col("budget"), "TOKEN_BUDGET_EXCEEDED")))
-        rows = rows.withColumn("codes", codes).withColumn("plan", planned(F.col("codes"), F.col("floor") > F.col("budget"), F.size("missing"), F.col("budget"), F.col("floor"), F.col("maximum")))
+        rows = _once(_once(rows, "codes", codes), "plan", planned(F.col("codes"), F.col("floor") > F.col("budget"), F.size("missing"), F.col("budget"), F.col("floor"), F.col("maximum")))
         action = F.col("plan.action")
         action = F.when(action != EMIT, FALLBACK).otherwise(action) if attempt == attempts else action
         # What overlaps a missing span must stay from now on.
         again = F.when(action == RESTORE, F.filter("q", lambda q: F.array_contains("missing", q["span_id"]))).otherwise(F.slice("q", 1, 0))
-        rows = rows.withColumn("forced", met(again, F.col("own")))
+        rows = _once(rows, "again", again).withColumn("forced", met(F.col("again"), F.col("own")))
         forced = F.transform("own", lambda x, i: x.withField("mandatory", F.coalesce(x["mandatory"], F.lit(False)) | F.get("forced", i)))
         goes_on = action.isin(EXPAND, RESTORE)
         rows = rows.select(
